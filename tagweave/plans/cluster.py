@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.functions.vectors import as_double, with_unit_vector
+from tagweave.functions.vectors import as_double, l2_normalize
 from tagweave.operators import blocks as B
 from tagweave.operators.features import PcaModel, fit_pca, to_ml_vector
 from tagweave.operators.metrics import cluster_sizes, nmi
@@ -26,7 +26,7 @@ class ClusterModel:
     centres: np.ndarray
 
     def assign(self, df: DataFrame, id_col: str = ID, vec: str = "embedding") -> DataFrame:
-        reduced = with_unit_vector(self.pca.transform(df.select(id_col, vec), vec, whiten=True), vec)
+        reduced = self.pca.transform(df.select(id_col, vec), vec, whiten=True).withColumn(vec, l2_normalize(vec))
         return nearest_unit(reduced, self.centres, id_col, vec)
 
 
@@ -52,8 +52,8 @@ def deepcluster_fit(df: DataFrame, pca_dim: int = 256, k: int = 100, restarts: i
                     id_col: str = ID, vec: str = "embedding") -> ClusterModel:
     """Standardise, whitened PCA, unit rows, k-means with restarts; empty clusters restart next to an occupied centre."""
     pca = fit_pca(df, pca_dim, vec)
-    points = to_ml_vector(with_unit_vector(pca.transform(df.select(id_col, vec), vec, whiten=True), vec), vec).select(
-        id_col, vec, "features").persist()
+    reduced = pca.transform(df.select(id_col, vec), vec, whiten=True).withColumn(vec, l2_normalize(vec))
+    points = to_ml_vector(reduced, vec).select(id_col, vec, "features").persist()
     try:
         fits = [KMeans(k=k, seed=seed + r, maxIter=max_iter, initMode="k-means||", predictionCol="cluster").fit(points)
                 for r in range(restarts)]
