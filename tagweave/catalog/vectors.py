@@ -116,7 +116,7 @@ def _(spark, sf):
 
 
 @query("c03_knn_query_ranked_all", sql("embed_table", body="""
-    SELECT q.item_id AS src, c.item_id AS dst, round(1 - list_cosine_similarity(q.embedding, c.embedding), 6) + 0.0 AS dist
+    SELECT q.item_id AS src, c.item_id AS dst, round(round(1 - list_cosine_similarity(q.embedding, c.embedding), 9), 6) + 0.0 AS dist
     FROM (SELECT * FROM embed_table WHERE item_id = (SELECT min(item_id) FROM embed_table)) q, embed_table c"""))
 def _(spark, sf):
     e = embed_table(spark, sf)
@@ -125,7 +125,7 @@ def _(spark, sf):
 
 
 @query("c04_nearest_in_queue", sql("embed_table", "view_pairs", body="""
-    SELECT item_id, nn_id, round(dot, 6) AS dot, round(nn[1], 6) AS first_value FROM (
+    SELECT item_id, nn_id, round(round(dot, 9), 6) AS dot, round(nn[1], 6) AS first_value FROM (
       SELECT v.pair_id AS item_id, q.item_id AS nn_id, list_dot_product(v.z2, q.embedding) AS dot, q.embedding AS nn,
              row_number() OVER (PARTITION BY v.pair_id ORDER BY round(-list_dot_product(v.z2, q.embedding), 9), q.item_id) AS r
       FROM view_pairs v, embed_table q) WHERE r = 1"""))
@@ -177,7 +177,7 @@ _TOP = """SELECT src, q, dst, v, d, CAST(r AS INTEGER) AS rank FROM (
         SELECT s.src, 'mix_query', s.slot, s.q, list_transform(range(1, 65), lambda i:
           0.5::DOUBLE * {u('0:beta', 's.src', 's.slot')} * s.q[i] + (1.0::DOUBLE - 0.5::DOUBLE * {u('0:beta', 's.src', 's.slot')}) * b.v[i])
         FROM slots s JOIN top b ON b.src = s.src AND b.rank = floor({u('0:n3', 's.src', 's.slot')} * 6) + 1 WHERE s.slot <= 2"""}, body="""
-    SELECT src AS item_id, 'top' AS kind, rank AS slot, round(d, 6) AS dot FROM top
+    SELECT src AS item_id, 'top' AS kind, rank AS slot, round(round(d, 9), 6) AS dot FROM top
     UNION ALL SELECT src, kind, slot, round(list_dot_product(m, q) / sqrt(list_dot_product(m, m)), 6) FROM mixed"""))
 def _(spark, sf):
     q = view_pairs(spark, sf).select(F.col("pair_id").alias("item_id"), F.col("z2").alias("embedding"))

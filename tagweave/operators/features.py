@@ -72,7 +72,7 @@ def multiply(df: DataFrame, matrix: np.ndarray, vec: str = "embedding", out: str
 
     source = df.select(*others, as_double(vec).alias("_v"))
     schema = df.select(*others, as_double(vec).alias(out)).schema
-    return source.mapInArrow(kernel, schema).select(*[c for c in df.columns if c != out], out)
+    return source.mapInArrow(kernel, schema)
 
 
 def random_projection(df: DataFrame, d_out: int, seed: int = 0, vec: str = "embedding") -> DataFrame:

@@ -63,7 +63,7 @@ def _one_experiment(train_y, test_y, vectors, c, n, rescale, id_col, vec):
     if rescale:
         test = standardize(test, train, vec)
         train = standardize(train, train, vec)
-    train, test = (d.select("y", array_to_vector(as_double(vec)).alias("features")) for d in (train, test))
+    train, test = (d.select("y", array_to_vector(as_double(vec)).alias("features")).persist() for d in (train, test))
     # The penalty 1/C on a summed loss is 1/(C·n) on MLlib's mean loss.
     model = LogisticRegression(labelCol="y", regParam=1.0 / (c * n), standardization=False, maxIter=100).fit(train)
     scored = None
@@ -71,6 +71,8 @@ def _one_experiment(train_y, test_y, vectors, c, n, rescale, id_col, vec):
         part = model.transform(rows).select(F.lit(side).alias("side"), "y", F.element_at(vector_to_array("probability"), 2).alias("p"))
         scored = part if scored is None else scored.unionByName(part)
     found = {r["side"]: r for r in auc_by_group(scored, ["side"]).collect()}
+    for d in (train, test):
+        d.unpersist()
     tr, te = found["train"], found["test"]
     return tr["accuracy"], te["accuracy"], 1 - tr["accuracy"], 1 - te["accuracy"], tr["auc"], te["auc"]
 
