@@ -209,11 +209,14 @@ def _(spark, sf):
     return streams.latest_counts(spark, path)
 
 
-@query("j02_windowed_label_counts")
+@query("j02_windowed_label_counts", sql("label_events", body="""
+    SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, field, count(*) AS n FROM label_events
+    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM label_events) GROUP BY 1, 2"""))
 def _(spark, sf):
     path = scratch_path(spark, "windows")
     _finish(streams.windowed_label_counts(_events(spark, sf), path, scratch_path(spark, "windows-mark")))
-    return spark.read.schema("window_start timestamp, field string, n long").parquet(path)
+    closed = spark.read.schema("window_start timestamp, field string, n long").parquet(path)
+    return closed.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "field", "n")
 
 
 @query("j03_stream_latest_k", "SELECT vec_id, label FROM embeddings ORDER BY vec_id DESC LIMIT 64")

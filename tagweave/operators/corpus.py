@@ -17,7 +17,12 @@ FIRST_WORD = 4
 def words(text) -> Column:
     """Lower-case runs of letters and digits."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) > 0)
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def leading_words(text: Column, n: int) -> Column:
+    """The first n words, and one more element if the text has more: the splitter stops there and leaves the rest whole."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+", n + 2), lambda w: w != "")
 
 
 def build_vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
@@ -32,14 +37,14 @@ def encode_corpus(df: DataFrame, vocabulary: DataFrame | None = None, maxlen: in
     """(id, token_ids): begin mark, words, end mark, cut to `maxlen` and padded.
 
     `prompt_fn` maps a text Column to a Column (a built-in expression or a pandas UDF); `tokenizer` is a pandas UDF
-    text -> ARRAY<INT> used instead of the vocabulary. Only the first `maxlen` words can survive the cut, so only they
-    are looked up.
+    text -> ARRAY<INT> used instead of the vocabulary. No word after the first `maxlen` survives the cut, so none is
+    looked up.
     """
     source = df.select(id_col, (prompt_fn(F.col(text)) if prompt_fn else F.col(text)).alias("_t"))
     if tokenizer is not None:
         marked = source.select(id_col, tokenizer(F.col("_t")).alias("_ids"))
     else:
-        kept = source.select(id_col, words("_t").alias("_w")).withColumn("_n", F.size("_w"))
+        kept = source.select(id_col, leading_words(F.col("_t"), maxlen).alias("_w")).withColumn("_n", F.size("_w"))
         tokens = kept.select(id_col, F.posexplode(F.slice("_w", 1, maxlen)).alias("pos", "token"))
         found = tokens.join(vocabulary.select("token", "token_id"), "token", "left")
         ids = found.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(

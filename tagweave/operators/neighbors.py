@@ -17,7 +17,7 @@ from tagweave.schema import ID
 from tagweave.session import cut_lineage
 
 DIGITS = 9            # distances are compared after rounding, so ties break by id in every engine
-MAX_CELLS = 256
+MAX_CELLS = 2048      # pivots known to every task
 EDGE = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()),
                      T.StructField("dist", T.DoubleType())])
 
@@ -127,8 +127,8 @@ def _search(items: DataFrame, n: int, k: int, block_rows: int) -> DataFrame:
              placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("rho").alias("radius")).collect()}
     chunks = np.array([-(-stats[c][0] // block_rows) if c in stats else 0 for c in range(len(pivots))])
     radius = np.array([stats[c][1] if c in stats else -1.0 for c in range(len(pivots))])
-    per_cell = F.create_map(*[x for c in range(len(pivots)) for x in (F.lit(c), F.lit(int(max(chunks[c], 1))))])
-    chunk = F.pmod(F.xxhash64("id"), F.element_at(per_cell, F.col("cell"))).cast("int")
+    per_cell = F.array(*[F.lit(int(max(c, 1))) for c in chunks])
+    chunk = F.pmod(F.xxhash64("id"), F.element_at(per_cell, F.col("cell") + 1)).cast("int")
     packed = B.pack(placed.withColumn("chunk", chunk), ["cell", "chunk"], "id", ["v"])
     if chunks.sum() > 1:
         packed = cut_lineage(packed)

@@ -16,14 +16,18 @@ from tagweave.session import cut_lineage
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
-def hash_index(df: DataFrame, key: str, group=(), seed="row", buckets: int = 1024, out: str = "row_no") -> DataFrame:
+def hash_index(df: DataFrame, key: str, group=(), seed="row", buckets: int | None = None, out: str = "row_no") -> DataFrame:
     """0-based dense row number in the order of (hash_uniform(seed, key), key) within `group`.
 
-    The order is that of a seeded shuffle, so the number doubles as a shuffled position.
+    The order is that of a seeded shuffle, so the number doubles as a shuffled position. The number of buckets changes
+    the plan but not the result.
     """
     group = list(group)
+    if buckets is None:
+        buckets = max(1024, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     u = hash_uniform(seed, key)
-    marked = df.withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * buckets).cast("int"))
+    bucket = F.coalesce(F.floor(F.col("_u") * buckets).cast("int"), F.lit(0))
+    marked = df.withColumn("_u", u).withColumn("_b", bucket)
     per_bucket = Window.partitionBy(*group, "_b").orderBy("_u", key)
     numbered = marked.withColumn("_r", F.row_number().over(per_bucket) - 1)
     offsets = bucket_offsets(marked, group)

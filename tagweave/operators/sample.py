@@ -132,12 +132,17 @@ def tag_batch(df: DataFrame, cls: str, how: str = "uniform", n: int = 9, id_col:
 def cluster_stratified(assignment: DataFrame, mult: int = 1, cluster: str = "cluster", id_col: str = ID,
                        seed=0) -> DataFrame:
     """mult·⌊N/K⌋ draws from each non-empty cluster (K = largest cluster number + 1), with a shuffled order key."""
+    from tagweave.operators.ranking import ordered_index
+
     total, top = assignment.agg(F.count(F.lit(1)), F.max(cluster)).first()
     per = mult * (total // (int(top) + 1))
     sizes = assignment.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
-    slots = sizes.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(max(per - 1, 0))))).where(F.lit(per > 0))
-    draws = slots.select(cluster, "slot", F.floor(hash_uniform(f"{seed}:row", cluster, "slot") * F.col("n"))
-                         .cast("long").alias("row_no"), hash_uniform(f"{seed}:order", cluster, "slot").alias("order_key"))
+    numbered = ordered_index(sizes, [cluster], out="ordinal")
+    slots = assignment.sparkSession.range(numbered.count() * per).select(
+        F.floor(F.col("id") / max(per, 1)).cast("long").alias("ordinal"), F.pmod("id", F.lit(max(per, 1))).alias("slot"))
+    draws = slots.join(numbered, "ordinal").select(
+        cluster, "slot", F.floor(hash_uniform(f"{seed}:row", cluster, "slot") * F.col("n")).cast("long").alias("row_no"),
+        hash_uniform(f"{seed}:order", cluster, "slot").alias("order_key"))
     rows = hash_index(assignment.select(id_col, cluster), id_col, [cluster])
     return draws.join(rows, [cluster, "row_no"]).select(id_col, cluster, "slot", "order_key")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagweave.operators.neighbors import knn_graph
 from tagweave.schema import ID, class_columns, is_true
-from tagweave.session import cut_lineage
+from tagweave.session import bucketed_copy, cut_lineage, drop_copies
 
 HUB_EDGES = 100_000       # in-edges of one node that may share a join key
 CUT_EVERY = 5
@@ -27,9 +27,10 @@ def propagate_labels(labels: DataFrame, graph: DataFrame | None = None, vectors:
     """Spread known training labels: (id, class scores), NULL where nothing arrived.
 
     State is a negative and a positive mass per class. Only the cell that a label sets to 1 is clamped each round. Edges
-    are written once, partitioned by target, and stay in place: a round moves the non-zero state rows to the edges and
-    partial sums to the sources. Targets with very many in-edges are split into parts that each receive the state row.
+    and seeds are written once as bucketed tables and stay in place: a round moves the non-zero state rows to the edges
+    and partial sums to the sources. Targets with very many in-edges are split into parts that each receive the state row.
     """
+    spark = labels.sparkSession
     classes = class_columns(labels, classes, id_col)
     if graph is None:
         graph = knn_graph(vectors, n_neighbors, id_col, vec)
@@ -37,8 +38,8 @@ def propagate_labels(labels: DataFrame, graph: DataFrame | None = None, vectors:
     weighted = edge_weights(graph, temp)
     hubs = graph.groupBy("dst").agg(F.ceil(F.count(F.lit(1)) / HUB_EDGES).cast("int").alias("parts"))
     placed = weighted.join(hubs, "dst").withColumn("part", F.pmod(F.xxhash64("src"), F.col("parts")).cast("int"))
-    slots = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = cut_lineage(placed.select("src", "dst", "part", "w").repartition(slots, "dst", "part"))
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges, edge_table = bucketed_copy(placed.select("src", "dst", "part", "w"), ["dst", "part"], slots)
 
     train = ~is_true("exclude") & ~is_true("validation")
     cells, hard = [], []
@@ -48,8 +49,8 @@ def propagate_labels(labels: DataFrame, graph: DataFrame | None = None, vectors:
             hard.append(F.when(train & (F.col(c) == v), 1.0).alias(f"h{i}_{v}"))
     seeds = labels.select(F.col(id_col).cast("long").alias("id"), *hard)
     names = [f"h{x[1:]}" for x in cells]
-    seeds = cut_lineage(seeds.join(hubs.withColumnRenamed("dst", "id"), "id", "left").na.fill(0, ["parts"])
-                        .repartition(slots, "id"))
+    seeds, seed_table = bucketed_copy(seeds.join(hubs.withColumnRenamed("dst", "id"), "id", "left").na.fill(0, ["parts"]),
+                                      ["id"], slots)
     state = seeds.select("id", "parts", *[F.coalesce(h, F.lit(0.0)).alias(x) for h, x in zip(names, cells)])
 
     for round_no in range(iterations):
@@ -62,6 +63,8 @@ def propagate_labels(labels: DataFrame, graph: DataFrame | None = None, vectors:
             "id", "parts", *[F.coalesce(F.col(h), F.col(f"n_{x}"), F.lit(0.0)).alias(x) for h, x in zip(names, cells)])
         if (round_no + 1) % CUT_EVERY == 0 and round_no + 1 < iterations:
             state = cut_lineage(state)
+    state = cut_lineage(state)
+    drop_copies(spark, edge_table, seed_table)
 
     scores = []
     for i, c in enumerate(classes):

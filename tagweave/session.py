@@ -55,3 +55,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def bucketed_copy(df: DataFrame, keys: list[str], buckets: int) -> tuple[DataFrame, str]:
+    """Write `df` once as an external table bucketed by `keys`, so that later joins and aggregates on them need no
+    shuffle of this side. Returns the table and its name, for `drop_copies`."""
+    spark = df.sparkSession
+    name = f"tagweave_{uuid.uuid4().hex}"
+    (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys)
+       .option("path", scratch_path(spark, "bucketed")).saveAsTable(name))
+    return spark.table(name), name
+
+
+def drop_copies(spark: SparkSession, *names: str) -> None:
+    """Forget the tables; their files stay in the scratch folder."""
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
