@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,12 +16,15 @@ from tagweave.operators.neighbors import knn_query
 from tagweave.schema import ID, class_columns
 from tagweave.session import cut_lineage
 
-REFRESH = 16      # picks between two rewrites of the distance column
+REFRESH = 64      # picks between two rewrites of the distance column
+AHEAD = 16        # picks prepared by one pass over the data
+CANDIDATES = 32   # rows returned per prepared pick
 
 _STATE = T.StructType([T.StructField("id", T.LongType()), T.StructField("open", T.BooleanType()),
                        T.StructField("d2", T.DoubleType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
-_BEST = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.DoubleType()),
-                      T.StructField("v", T.ArrayType(T.DoubleType()))])
+_BEST = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("id", T.LongType()),
+                      T.StructField("key", T.DoubleType()), T.StructField("u", T.DoubleType()),
+                      T.StructField("d2", T.DoubleType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
 
 
 def _shrink(d2, matrix, centres):
@@ -36,8 +39,10 @@ def kpp_sample(vectors: DataFrame, k: int, unavailable: DataFrame | None = None,
     """k-means++ picks as (id, pick): the first uniform, later ones in proportion to the squared distance to the nearest
     unavailable vector (given or already picked). Stops early when no weight is left.
 
-    The draw is an exponential race, so a pick is one pass that returns the winner of each partition. The distance
-    column is kept up to date incrementally: only centres picked since its last rewrite are compared.
+    A draw is an exponential race. A further centre can only shrink distances and so only delay a row, hence the race
+    times of a pass are lower bounds for later picks: one pass returns the leading rows of the next AHEAD races, and the
+    driver settles pick after pick on them as long as the winner beats every row that was not returned. The distance
+    column is updated incrementally: only centres picked since its last rewrite are compared.
     To continue an earlier call, pass its picks as unavailable and first_uniform=False.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), as_double(vec).alias("v"))
@@ -57,49 +62,87 @@ def kpp_sample(vectors: DataFrame, k: int, unavailable: DataFrame | None = None,
         start = start.join(near, "id", "left").select("id", "open", F.coalesce("_d", "d2").alias("d2"), "v")
     state = cut_lineage(start)
 
-    picked: list[tuple[int, int]] = []
+    picked: list[int] = []
     recent: list[np.ndarray] = []
     gone: list[int] = []
-    for t in range(k):
+    while len(picked) < k:
+        t = len(picked)
+        # A uniform first pick ignores distances, and without any centre there are none to look ahead with.
         uniform = t == 0 and first_uniform
-        u = hash_uniform(f"{seed}:{t}", "id") if uniform else positive_uniform(f"{seed}:{t}", "id")
-        best = _winner(state.where("open").withColumn("u", u), recent, gone, uniform)
-        if best is None:
+        ahead = 1 if t == 0 else min(AHEAD, k - t)
+        races = [hash_uniform(f"{seed}:{t}", "id") if uniform else positive_uniform(f"{seed}:{t + j}", "id")
+                 for j in range(ahead)]
+        leaders = _leaders(state.where("open").withColumn("us", F.array(*races)), recent, gone, uniform, ahead)
+        won = _settle(leaders, ahead)
+        if not won:
             break
-        picked.append((best[0], t))
-        gone.append(best[0])
-        recent.append(np.asarray(best[2]))
-        if len(recent) >= REFRESH and t + 1 < k:
+        for row_id, vector in won:
+            picked.append(row_id)
+            gone.append(row_id)
+            recent.append(vector)
+        if len(recent) >= REFRESH and len(picked) < k:
             state = cut_lineage(_refresh(state, recent, gone))
             recent, gone = [], []
-    schema = f"{id_col} long, pick int"
-    return vectors.sparkSession.createDataFrame(picked, schema)
+    return vectors.sparkSession.createDataFrame([(p, i) for i, p in enumerate(picked)], f"{id_col} long, pick int")
 
 
-def _winner(candidates: DataFrame, recent, gone, uniform: bool):
+def _settle(leaders: dict, ahead: int) -> list:
+    """Picks that the returned rows decide, in order; leaders maps a race to rows (key, id, u, d2, v) in key order."""
+    won: list[tuple[int, np.ndarray]] = []
+    for j in range(ahead):
+        rows = leaders.get(j, [])
+        complete = len(rows) < CANDIDATES
+        best = None
+        for key, row_id, u, d2, v in rows:
+            if any(row_id == w for w, _ in won):
+                continue
+            if won:
+                d2 = _shrink(np.array([d2]), v[None, :], [c for _, c in won])[0]
+                key = -np.log(u) / d2 if d2 > 0 else np.inf
+            if np.isfinite(key) and (best is None or (key, row_id) < best[:2]):
+                best = (key, row_id, v)
+        if best is None or not (complete or j == 0 or best[0] < rows[-1][0]):
+            break
+        won.append((best[1], best[2]))
+    return won
+
+
+def _leaders(candidates: DataFrame, recent, gone, uniform: bool, ahead: int) -> dict:
+    """The first CANDIDATES rows of each race over the whole table."""
     centres, taken = [np.asarray(c) for c in recent], np.asarray(gone, dtype=np.int64)
 
     def race(batches):
-        best = None
+        kept = [None] * ahead
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids, m = batch.column("id").to_numpy(), B.matrix_of(batch.column("v"))
-            u = batch.column("u").to_numpy()
-            if uniform:
-                key = u.copy()
-            else:
-                d2 = _shrink(batch.column("d2").to_numpy(), m, centres)
+            us = B.matrix_of(batch.column("us"))
+            d2 = _shrink(batch.column("d2").to_numpy(), m, centres)
+            free = ~np.isin(ids, taken)
+            for j in range(ahead):
                 with np.errstate(divide="ignore"):
-                    key = np.where(d2 > 0, -np.log(u) / d2, np.inf)
-            key = np.where(np.isin(ids, taken), np.inf, key)
-            i = np.lexsort((ids, key))[0]
-            if np.isfinite(key[i]) and (best is None or (key[i], ids[i]) < (best[1], best[0])):
-                best = (int(ids[i]), float(key[i]), m[i])
-        if best is not None:
-            yield B.to_batch({"id": [best[0]], "key": [best[1]], "v": [best[2].tolist()]}, _BEST)
-
-    return candidates.select("id", "d2", "u", "v").mapInArrow(race, _BEST).orderBy("key", "id").first()
+                    key = us[:, j] if uniform else np.where(d2 > 0, -np.log(us[:, j]) / d2, np.inf)
+                ok = np.nonzero(free & np.isfinite(key))[0]
+                ok = ok[np.lexsort((ids[ok], key[ok]))[:CANDIDATES]]
+                part = (key[ok], ids[ok], us[ok, j], d2[ok], m[ok])
+                if kept[j] is not None:
+                    part = tuple(np.concatenate(pair) for pair in zip(kept[j], part))
+                    order = np.lexsort((part[1], part[0]))[:CANDIDATES]
+                    part = tuple(x[order] for x in part)
+                kept[j] = part
+        for j, part in enumerate(kept):
+            if part is not None and len(part[0]):
+                yield B.to_batch({"slot": np.full(len(part[0]), j, np.int32), "id": part[1], "key": part[0], "u": part[2],
+                                  "d2": part[3], "v": B.list_array(part[4])}, _BEST)
+
+    found = candidates.select("id", "d2", "us", "v").mapInArrow(race, _BEST)
+    first = Window.partitionBy("slot").orderBy("key", "id")
+    rows = found.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= CANDIDATES).orderBy("slot", "_r").collect()
+    out: dict[int, list] = {}
+    for r in rows:
+        out.setdefault(r["slot"], []).append((r["key"], r["id"], r["u"], r["d2"], np.asarray(r["v"])))
+    return out
 
 
 def _refresh(state: DataFrame, recent, gone) -> DataFrame:
