@@ -93,7 +93,7 @@ def pairwise(queries: DataFrame, corpus: DataFrame, kernel, schema: T.StructType
     left = pack(q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks))), ["qb"], "id", ["v"])
     right = pack(c.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(c_blocks))), ["cb"], "id", ["v"])
     fan = left.select("qb", F.col("rows").alias("q_rows"),
-                      F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).cast("long").alias("cb"))
+                      F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))).alias("cb"))
     pairs = fan.join(right.withColumnRenamed("rows", "c_rows"), "cb").select("q_rows", "c_rows")
 
     def blocks(batches):

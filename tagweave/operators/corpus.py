@@ -45,12 +45,10 @@ def encode_corpus(df: DataFrame, vocabulary: DataFrame | None = None, maxlen: in
         marked = source.select(id_col, tokenizer(F.col("_t")).alias("_ids"))
     else:
         kept = source.select(id_col, leading_words(F.col("_t"), maxlen).alias("_w")).withColumn("_n", F.size("_w"))
-        tokens = kept.select(id_col, F.posexplode(F.slice("_w", 1, maxlen)).alias("pos", "token"))
-        found = tokens.join(vocabulary.select("token", "token_id"), "token", "left")
-        ids = found.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(
-            "pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("i")))).alias("_s"))
-        joined = kept.select(id_col, "_n").join(ids.select(id_col, F.col("_s.i").alias("_i")), id_col, "left")
-        marked = joined.select(id_col, F.concat(
-            F.array(F.lit(BEGIN)), F.coalesce("_i", F.array().cast("array<int>")),
-            F.when(F.col("_n") <= maxlen, F.array(F.lit(END))).otherwise(F.array().cast("array<int>"))).alias("_ids"))
+        tokens = kept.select(id_col, "_n", F.posexplode_outer(F.slice("_w", 1, maxlen)).alias("pos", "token"))
+        entry = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("i")))
+        found = tokens.join(vocabulary.select("token", "token_id"), "token", "left").groupBy(id_col).agg(
+            F.max("_n").alias("_n"), F.sort_array(F.collect_list(entry)).alias("_s"))
+        last = F.when(F.col("_n") <= maxlen, F.array(F.lit(END))).otherwise(F.array().cast("array<int>"))
+        marked = found.select(id_col, F.concat(F.array(F.lit(BEGIN)), F.col("_s.i"), last).alias("_ids"))
     return marked.select(id_col, pad_tokens("_ids", maxlen, side).alias("token_ids"))

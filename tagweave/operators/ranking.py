@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tagweave.functions.hashing import hash_uniform
 from tagweave.session import cut_lineage
 
+TOP_ROWS = 100_000
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -62,6 +63,19 @@ def running_total(df: DataFrame, order_by, totals: dict[str, str], group=()) ->
                   .drop("_p", *[f"_o_{o}" for o in totals.values()]))
 
 
+def first_rows(df: DataFrame, order_by, key: str, m: int | None) -> DataFrame:
+    """The m first rows by (`order_by` expression, key); None orders the whole table.
+
+    Few rows are one top-k; many are numbered over range partitions and filtered, so that no task holds them all.
+    """
+    if m is None:
+        return df.orderBy(order_by, key)
+    if m <= TOP_ROWS:
+        return df.orderBy(order_by, key).limit(m)
+    ranked = ordered_index(df.withColumn("_order", order_by), ["_order", key], out="_rank")
+    return ranked.where(F.col("_rank") < m).drop("_order", "_rank")
+
+
 def ordered_index(df: DataFrame, order_by, group=(), out: str = "row_no") -> DataFrame:
     """0-based dense row number in an arbitrary unique order."""
     one = df.withColumn("_one", F.lit(1).cast("long"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.hashing import hash_uniform
 from tagweave.operators.filters import is_unlabeled, training_rows
-from tagweave.operators.ranking import hash_index
+from tagweave.operators.ranking import first_rows, hash_index, ordered_index
 from tagweave.schema import ID, class_columns, melt_classes
 
 
@@ -88,8 +88,6 @@ def stratified_sample(df: DataFrame, n: int = 1000, mode: str = "class", classes
 
 def grouped_sample(rows: DataFrame, n: int, group: str, id_col: str = ID, seed=0) -> DataFrame:
     """n draws with replacement: a uniform group, then a uniform row of it. Groups are numbered in sorted order."""
-    from tagweave.operators.ranking import ordered_index
-
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     numbered = ordered_index(sizes, [group], out="ordinal")
     total = sizes.count()
@@ -123,7 +121,7 @@ def tag_batch(df: DataFrame, cls: str, how: str = "uniform", n: int = 9, id_col:
     """Rows to tag next for one class."""
     rows = df.where(F.col(cls).isNull())
     if how == "uniform":
-        return rows.select(id_col, hash_uniform(seed, id_col).alias("key")).orderBy("key", id_col).limit(n)
+        return first_rows(rows.select(id_col, hash_uniform(seed, id_col).alias("key")), F.col("key"), id_col, n)
     if how == "stratified":
         return grouped_sample(rows.where(F.col("subset").isNotNull()).select(id_col, "subset"), n, "subset", id_col, seed)
     raise ValueError(f"how must be 'uniform' or 'stratified', not {how!r}")
@@ -132,8 +130,6 @@ def tag_batch(df: DataFrame, cls: str, how: str = "uniform", n: int = 9, id_col:
 def cluster_stratified(assignment: DataFrame, mult: int = 1, cluster: str = "cluster", id_col: str = ID,
                        seed=0) -> DataFrame:
     """mult·⌊N/K⌋ draws from each non-empty cluster (K = largest cluster number + 1), with a shuffled order key."""
-    from tagweave.operators.ranking import ordered_index
-
     total, top = assignment.agg(F.count(F.lit(1)), F.max(cluster)).first()
     per = mult * (total // (int(top) + 1))
     sizes = assignment.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
@@ -188,10 +184,10 @@ def learning_curve_subsample(rows: DataFrame, n: int, label: str, pos_prob: floa
     """n rows without replacement; with pos_prob, max(1, ⌊n·pos_prob⌋) positives and the rest negatives."""
     keyed = rows.select(id_col, label, hash_uniform(f"{seed}:curve", id_col).alias("key"))
     if pos_prob is None:
-        return keyed.orderBy("key", id_col).limit(n)
+        return first_rows(keyed, F.col("key"), id_col, n)
     n_pos = max(1, int(n * pos_prob))
-    return (keyed.where(F.col(label) == 1).orderBy("key", id_col).limit(n_pos)
-            .unionByName(keyed.where(F.col(label) == 0).orderBy("key", id_col).limit(n - n_pos)))
+    return first_rows(keyed.where(F.col(label) == 1), F.col("key"), id_col, n_pos).unionByName(
+        first_rows(keyed.where(F.col(label) == 0), F.col("key"), id_col, n - n_pos))
 
 
 def add_label_noise(df: DataFrame, columns, rate: float, id_col: str = ID, seed=0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tagweave.functions.hashing import hash_uniform, race_key
 from tagweave.functions.scoring import binary_entropy, shannon_entropy
 from tagweave.operators.filters import drop_labeled, find_subset, is_fully_labeled
+from tagweave.operators.ranking import first_rows
 from tagweave.schema import ID, class_columns
 
 
@@ -32,32 +33,31 @@ def pick(labels: DataFrame, preds: DataFrame | None, m: int, label_status: str =
         return kpp_sample(vectors, m, unavailable=unavailable_ids(labels, classes, id_col), include=chosen,
                           seed=seed, id_col=id_col)
     if kind == "random":
-        return chosen.withColumn("key", hash_uniform(seed, id_col)).orderBy("key", id_col).limit(m)
+        return first_rows(chosen.withColumn("key", hash_uniform(seed, id_col)), F.col("key"), id_col, m)
     if cls and cls not in classes:
         raise ValueError(f"{cls!r} is not a class")
     scored = chosen.join(preds.select(id_col, *([cls] if cls else classes)), id_col)
     if kind == "max entropy":
-        key, order = shannon_entropy(classes), F.col("key").desc()
+        key, order = shannon_entropy(classes), -F.col("key")
     elif kind == "maxent":
-        key, order = binary_entropy(cls), F.col("key").desc()
+        key, order = binary_entropy(cls), -F.col("key")
     elif kind == "highest":
-        key, order = F.col(cls), F.col("key").desc()
+        key, order = F.col(cls), -F.col("key")
     elif kind == "lowest":
-        key, order = F.col(cls), F.col("key").asc()
+        key, order = F.col(cls), F.col("key")
     elif kind in ("high", "low"):
         p = F.col(cls) if kind == "high" else F.lit(1.0) - F.col(cls)
-        key, order = race_key(seed, F.pow(p, 4), id_col), F.col("key").asc()
+        key, order = race_key(seed, F.pow(p, 4), id_col), F.col("key")
     else:
         raise ValueError(f"unknown sort {sort_by!r}")
-    return scored.select(id_col, key.alias("key")).where(F.col("key").isNotNull()).orderBy(order, id_col).limit(m)
+    return first_rows(scored.select(id_col, key.alias("key")).where(F.col("key").isNotNull()), order, id_col, m)
 
 
 def sample_random(labels: DataFrame, n: int | None = None, classes=None, id_col: str = ID, seed=0) -> DataFrame:
     """Uniform draw without replacement among rows that are not fully labelled."""
     classes = class_columns(labels, classes, id_col)
     open_rows = labels.where(~is_fully_labeled(classes)).select(id_col)
-    ordered = open_rows.withColumn("key", hash_uniform(seed, id_col)).orderBy("key", id_col)
-    return ordered if n is None else ordered.limit(n)
+    return first_rows(open_rows.withColumn("key", hash_uniform(seed, id_col)), F.col("key"), id_col, n)
 
 
 def sample_uncertainty(labels: DataFrame, preds: DataFrame, n: int | None = None, classes=None,
@@ -65,13 +65,12 @@ def sample_uncertainty(labels: DataFrame, preds: DataFrame, n: int | None = None
     """Rows that are not fully labelled by decreasing entropy."""
     classes = class_columns(labels, classes, id_col)
     scored = drop_labeled(preds.select(id_col, shannon_entropy(classes).alias("entropy")), labels, classes, id_col)
-    ordered = scored.orderBy(F.col("entropy").desc(), id_col)
-    return ordered if n is None else ordered.limit(n)
+    return first_rows(scored, -F.col("entropy"), id_col, n)
 
 
 def latest_k(vectors: DataFrame, k: int, seq: str) -> DataFrame:
     """The queue after all batches were pushed: the newest k rows."""
-    return vectors.orderBy(F.col(seq).desc()).limit(k)
+    return first_rows(vectors, -F.col(seq), seq, k)
 
 
 def first_per_class(df: DataFrame, label: str = "label", id_col: str = ID) -> DataFrame:

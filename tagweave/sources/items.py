@@ -57,9 +57,11 @@ def assign_shards(df: DataFrame, num_shards: int, seed=0, id_col: str = ID) -> D
     return df.withColumn("shard", F.floor(hash_uniform(f"{seed}:shard", id_col) * num_shards).cast("int"))
 
 
-def save_sharded(df: DataFrame, path: str, num_shards: int = 10, compress: bool = True, seed=0, id_col: str = ID) -> None:
-    """Write every row to a random shard folder."""
-    sharded = assign_shards(df, num_shards, seed, id_col).repartition(num_shards, "shard")
+def save_sharded(df: DataFrame, path: str, num_shards: int = 10, compress: bool = True, seed=0, id_col: str = ID,
+                 files_per_shard: int = 1) -> None:
+    """Write every row to a random shard folder; a shard larger than one task should hold is spread over several files."""
+    part = F.pmod(F.xxhash64(id_col), F.lit(files_per_shard))
+    sharded = assign_shards(df, num_shards, seed, id_col).repartition(num_shards * files_per_shard, "shard", part)
     (sharded.write.mode("overwrite").partitionBy("shard").option("compression", "gzip" if compress else "none")
             .parquet(path))
 

@@ -62,3 +62,17 @@ def log_run(spark: SparkSession, run_id: str, params: dict, path: str) -> None:
             rows.append((run_id, "run", key, str(value)))
     spark.createDataFrame(rows, "run_id string, grp string, name string, value string").coalesce(1).write.mode(
         "append").parquet(path)
+
+
+def save_round(tables: dict[str, DataFrame], path: str, round_no: int) -> None:
+    """Write the tables of a labelling round (labels, scores, …) next to the earlier rounds."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}/round={round_no}")
+
+
+def load_round(spark: SparkSession, path: str, name: str, round_no: int | None = None) -> DataFrame:
+    """A table as of one round; by default the newest."""
+    every = spark.read.parquet(f"{path}/{name}")
+    if round_no is None:
+        round_no = every.agg(F.max("round")).first()[0]
+    return every.where(F.col("round") == round_no).drop("round")

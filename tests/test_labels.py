@@ -131,3 +131,11 @@ def test_runs_and_metrics(spark):
     nested = spark.createDataFrame([("r", 0, {"cat": {"accuracy": "0.80 (0.75-0.85)", "x": "9"}})],
                                    "run_id string, step int, metrics map<string,map<string,string>>")
     assert [(r["name"], r["value"]) for r in store.flatten_metrics(nested).collect()] == [("cat_accuracy", 0.8)]
+
+
+def test_rounds(spark, frame):
+    path = scratch_path(spark, "test-rounds")
+    store.save_round({"labels": frame}, path, 0)
+    store.save_round({"labels": frame.where("item_id > 2")}, path, 1)
+    assert ids(store.load_round(spark, path, "labels")) == [3, 4]
+    assert ids(store.load_round(spark, path, "labels", 0)) == [0, 1, 2, 3, 4]

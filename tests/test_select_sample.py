@@ -164,3 +164,10 @@ def test_badge_closed_form(spark, cloud):
     one = diversity.badge_embeddings(df, preds, ["a", "b", "c"], "b").first()["embedding"]
     assert len(one) == 8
     assert filters.in_predicted_class(preds, "a", 0.5).count() == int((p[:, 0] >= 0.5).sum())
+
+
+def test_many_first_rows_without_a_single_task(half, monkeypatch):
+    labels, preds = half
+    few = ids(select.pick(labels, preds, 30, sort_by="highest: foo"))
+    monkeypatch.setattr(ranking, "TOP_ROWS", 10)
+    assert ids(select.pick(labels, preds, 30, sort_by="highest: foo")) == few
