@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tagweave.functions.vectors import as_double
 
 SMALL_ROWS = 4096     # a side of at most this many vectors may be sent to every task
-BLOCK_ROWS = 1024     # rows per packed block
+BLOCK_ROWS = 2048     # rows per packed block
 
 
 def matrix_of(column) -> np.ndarray:

@@ -18,6 +18,8 @@ from tagweave.session import cut_lineage
 
 DIGITS = 9            # distances are compared after rounding, so ties break by id in every engine
 MAX_CELLS = 2048      # pivots known to every task
+CELLS_PER_BLOCK = 4   # cells per block of rows, until MAX_CELLS
+ASKS = 16384          # queries that meet one block in one group
 EDGE = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType()),
                      T.StructField("dist", T.DoubleType())])
 
@@ -103,14 +105,42 @@ def knn_graph(df: DataFrame, k: int = 10, id_col: str = ID, vec: str = "embeddin
         "src", F.col("e.dst").alias("dst"), F.col("e.dist").alias("dist"), (F.col("p") + 1).cast("int").alias("rank"))
 
 
+def _near(q: np.ndarray, c: np.ndarray, k: int, bound: np.ndarray | None = None, same: bool = False):
+    """(row, column, distance) of the k closest columns per row of unit vectors, no farther than `bound`."""
+    s = q @ c.T
+    if same:
+        np.fill_diagonal(s, -np.inf)
+    if bound is not None and np.isfinite(bound).all():
+        floor = 1.0 - bound
+    elif s.shape[1] > k:
+        floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        if bound is not None:
+            floor = np.maximum(floor, 1.0 - bound)
+    else:
+        floor = np.full(len(q), -2.0)
+    # The slack keeps everything that rounding could make equal to the last one kept.
+    r, n = np.nonzero(s >= floor[:, None] - 4 * 10.0 ** -DIGITS)
+    d = np.round(1.0 - s[r, n], DIGITS)
+    order = np.lexsort((n, d, r))
+    r, n, d = r[order], n[order], d[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, np.arange(len(q)))[r] < k
+    return r[keep], n[keep], d[keep]
+
+
+def _by_id(table: pa.Table):
+    """Ids in order with the matrix and the table arranged alike."""
+    ids = table.column("id").combine_chunks().to_numpy(zero_copy_only=False)
+    order = np.argsort(ids)
+    return ids[order], B.matrix_of(table.column("v").combine_chunks())[order], order
+
+
 def _search(items: DataFrame, n: int, k: int, block_rows: int) -> DataFrame:
-    """Candidate edges (src, dst, dist) that contain the exact k nearest of every row; ids and vectors are unique."""
-    cells = min(MAX_CELLS, max(1, -(-n // block_rows)))
-    _, pivots = B.collect_vectors(
-        items.orderBy(hash_uniform("pivot", "id"), "id").limit(cells), "id", "v")
-    pivots = _unit(pivots)
+    """Edges (src, dst, dist) that contain the exact k nearest of every row; ids and vectors are unique."""
     located = T.StructType([T.StructField("id", T.LongType()), T.StructField("cell", T.IntegerType()),
                             T.StructField("rho", T.DoubleType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
+    cells = 1 if n <= block_rows else min(MAX_CELLS, max(1, -(-CELLS_PER_BLOCK * n // block_rows)))
+    _, pivots = B.collect_vectors(items.orderBy(hash_uniform("pivot", "id"), "id").limit(cells), "id", "v")
+    pivots = _unit(pivots)
 
     def locate(batches):
         for batch in batches:
@@ -123,76 +153,83 @@ def _search(items: DataFrame, n: int, k: int, block_rows: int) -> DataFrame:
                               "rho": gap[np.arange(len(cell)), cell], "v": B.list_array(unit)}, located)
 
     placed = items.mapInArrow(locate, located)
-    stats = {r["cell"]: (r["n"], r["radius"]) for r in
-             placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("rho").alias("radius")).collect()}
-    chunks = np.array([-(-stats[c][0] // block_rows) if c in stats else 0 for c in range(len(pivots))])
+    if n > block_rows:
+        placed = cut_lineage(placed)
+        stats = {r["cell"]: (r["n"], r["radius"]) for r in
+                 placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("rho").alias("radius")).collect()}
+    else:
+        stats = {0: (n, 2.0)}
+    chunks = np.array([-(-stats[c][0] // block_rows) if c in stats else 0 for c in range(len(pivots))], dtype=int)
     radius = np.array([stats[c][1] if c in stats else -1.0 for c in range(len(pivots))])
-    per_cell = F.array(*[F.lit(int(max(c, 1))) for c in chunks])
-    chunk = F.pmod(F.xxhash64("id"), F.element_at(per_cell, F.col("cell") + 1)).cast("int")
-    packed = B.pack(placed.withColumn("chunk", chunk), ["cell", "chunk"], "id", ["v"])
-    if chunks.sum() > 1:
-        packed = cut_lineage(packed)
-
-    def inside(rows):
-        ids, m = rows.field("id").to_numpy(), B.matrix_of(rows.field("v"))
-        d = np.round(1.0 - m @ m.T, DIGITS)
-        np.fill_diagonal(d, np.inf)
-        r, c = B.top_k_rows(d, k)
-        bound = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(ids), np.inf)
-        return ids, m, d, r, c, bound
-
-    def own_block(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, _, d, r, c, _ = inside(B.packed_rows(batch.column("rows"), i))
-                yield B.to_batch({"src": ids[r], "dst": ids[c], "dist": d[r, c]}, EDGE)
+    occupied = chunks > 0
+    between = np.sqrt(np.maximum(2.0 - 2.0 * (pivots @ pivots.T), 0.0))
 
-    edges = packed.mapInArrow(own_block, EDGE)
-    if chunks.sum() <= 1:
+    def lookup(values, index):
+        return F.element_at(F.array(*[F.lit(int(v)) for v in values]), index + 1)
+
+    chunk = F.pmod(F.xxhash64("id"), lookup(np.maximum(chunks, 1), F.col("cell"))).cast("int")
+    blocks = placed.select("id", "cell", chunk.alias("chunk"), "v")
+    edge = T.StructType(EDGE.fields[1:])
+    searched = T.StructType([
+        T.StructField("id", T.LongType()), T.StructField("home", T.IntegerType()), T.StructField("home_chunk", T.IntegerType()),
+        T.StructField("bound", T.DoubleType()), T.StructField("cells", T.ArrayType(T.IntegerType())),
+        T.StructField("near", T.ArrayType(edge)), T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def inside(block: pa.Table) -> pa.Table:
+        ids, m, _ = _by_id(block)
+        home, part = block.column("cell")[0].as_py(), block.column("chunk")[0].as_py()
+        r, c, d = _near(m, m, k, same=True)
+        found = np.bincount(r, minlength=len(ids))
+        starts = np.concatenate([[0], np.cumsum(found)])
+        bound = np.full(len(ids), np.inf)
+        full = found == k
+        bound[full] = d[starts[1:][full] - 1]
+        gap = np.sqrt(np.maximum(2.0 - 2.0 * (m @ pivots.T), 0.0))
+        apart = np.where(between[home] > 1e-9, between[home], np.inf)
+        plane = (gap ** 2 - gap[:, [home]] ** 2) / (2.0 * apart[None, :])
+        lower = np.maximum(np.maximum(gap - radius[None, :], plane), 0.0)
+        lower[:, home] = 0.0
+        needed = (lower ** 2 / 2.0 <= bound[:, None] + 1e-7) & occupied[None, :]
+        needed[:, home] = chunks[home] > 1
+        asked = np.nonzero(needed)[1].astype(np.int32)
+        offsets = np.concatenate([[0], np.cumsum(needed.sum(1))]).astype(np.int32)
+        near = pa.StructArray.from_arrays([pa.array(ids[c]), pa.array(d)], ["dst", "dist"])
+        return pa.Table.from_batches([B.to_batch({
+            "id": ids, "home": np.full(len(ids), home, np.int32), "home_chunk": np.full(len(ids), part, np.int32), "bound": bound,
+            "cells": pa.ListArray.from_arrays(pa.array(offsets), pa.array(asked)),
+            "near": pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), near), "v": B.list_array(m)}, searched)])
+
+    own = blocks.groupBy("cell", "chunk").applyInArrow(inside, searched)
+    if n > block_rows:
+        own = cut_lineage(own)
+    edges = own.select(F.col("id").alias("src"), F.explode("near").alias("e")).select("src", "e.dst", "e.dist")
+    if n <= block_rows:
         return edges
 
-    request = T.StructType([
-        T.StructField("cell", T.IntegerType()), T.StructField("chunk", T.IntegerType()),
-        T.StructField("asks", T.ArrayType(T.StructType([
-            T.StructField("id", T.LongType()), T.StructField("bound", T.DoubleType()),
-            T.StructField("v", T.ArrayType(T.DoubleType()))])))])
-    between = np.sqrt(np.maximum(2.0 - 2.0 * (pivots @ pivots.T), 0.0))
-
-    def requests(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                home = (batch.column("cell")[i].as_py(), batch.column("chunk")[i].as_py())
-                ids, m, _, _, _, bound = inside(B.packed_rows(batch.column("rows"), i))
-                gap = np.sqrt(np.maximum(2.0 - 2.0 * (m @ pivots.T), 0.0))
-                ball = gap - radius[None, :]
-                apart = np.where(between[home[0]] > 1e-9, between[home[0]], np.inf)
-                plane = (gap ** 2 - gap[:, [home[0]]] ** 2) / (2.0 * apart[None, :])
-                lower = np.maximum(np.maximum(ball, plane), 0.0)
-                lower[:, home[0]] = 0.0
-                needed = lower ** 2 / 2.0 <= bound[:, None] + 1e-7
-                for cell in range(len(pivots)):
-                    ask = np.nonzero(needed[:, cell])[0]
-                    if chunks[cell] == 0 or len(ask) == 0:
-                        continue
-                    asks = pa.StructArray.from_arrays(
-                        [pa.array(ids[ask]), pa.array(bound[ask]), B.list_array(m[ask])], ["id", "bound", "v"])
-                    one = pa.ListArray.from_arrays(pa.array([0, len(ask)], pa.int32()), asks)
-                    for part in range(chunks[cell]):
-                        if (cell, part) != home:
-                            yield B.to_batch({"cell": np.array([cell], np.int32), "chunk": np.array([part], np.int32),
-                                              "asks": one}, request)
-
-    def other_block(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                a, b = B.packed_rows(batch.column("asks"), i), B.packed_rows(batch.column("rows"), i)
-                d = np.round(1.0 - B.matrix_of(a.field("v")) @ B.matrix_of(b.field("v")).T, DIGITS)
-                r, c = B.top_k_rows(d, k, a.field("bound").to_numpy())
-                yield B.to_batch({"src": a.field("id").to_numpy()[r], "dst": b.field("id").to_numpy()[c],
-                                  "dist": d[r, c]}, EDGE)
-
-    sent = packed.mapInArrow(requests, request).join(packed, ["cell", "chunk"]).select("asks", "rows")
-    return edges.unionByName(sent.mapInArrow(other_block, EDGE))
+    # Groups of about ASKS queries meet one block of the corpus.
+    asks = own.select("id", "home", "home_chunk", "bound", "v", F.explode("cells").alias("cell"))
+    demand = np.zeros(len(pivots), dtype=int)
+    for r in asks.groupBy("cell").count().collect():
+        demand[r["cell"]] = r["count"]
+    salts = -(-demand // ASKS)
+    to_chunks = asks.withColumn("chunk", F.explode(F.sequence(F.lit(0), lookup(np.maximum(chunks, 1), F.col("cell")) - 1)))
+    sent = to_chunks.where((F.col("cell") != F.col("home")) | (F.col("chunk") != F.col("home_chunk"))).select(
+        "cell", "chunk", F.pmod(F.xxhash64("id"), lookup(np.maximum(salts, 1), F.col("cell"))).cast("int").alias("salt"), "id", "bound", "v")
+    corpus = blocks.withColumn("_n", lookup(salts, F.col("cell"))).where(F.col("_n") > 0).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("cell", "chunk", "salt", "id", "v")
+
+    def across(queries: pa.Table, block: pa.Table) -> pa.Table:
+        if queries.num_rows == 0 or block.num_rows == 0:
+            return pa.Table.from_batches([B.to_batch({"src": [], "dst": [], "dist": []}, EDGE)])
+        q_ids, q, order = _by_id(queries)
+        c_ids, c, _ = _by_id(block)
+        bound = queries.column("bound").combine_chunks().to_numpy(zero_copy_only=False)[order]
+        r, m, d = _near(q, c, k, bound)
+        return pa.Table.from_batches([B.to_batch({"src": q_ids[r], "dst": c_ids[m], "dist": d}, EDGE)])
+
+    keys = ["cell", "chunk", "salt"]
+    others = sent.groupBy(*keys).cogroup(corpus.groupBy(*keys)).applyInArrow(across, EDGE)
+    return cut_lineage(edges.unionByName(others))
 
 
 def knn_graph_lsh(df: DataFrame, k: int = 10, max_distance: float = 1.0, id_col: str = ID, vec: str = "embedding",

@@ -34,7 +34,7 @@ def propagate_labels(labels: DataFrame, graph: DataFrame | None = None, vectors:
     classes = class_columns(labels, classes, id_col)
     if graph is None:
         graph = knn_graph(vectors, n_neighbors, id_col, vec)
-    graph = cut_lineage(graph.select("src", "dst", "dist"))
+    graph = cut_lineage(graph.select("src", "dst", "dist"))      # read three times below
     weighted = edge_weights(graph, temp)
     hubs = graph.groupBy("dst").agg(F.ceil(F.count(F.lit(1)) / HUB_EDGES).cast("int").alias("parts"))
     placed = weighted.join(hubs, "dst").withColumn("part", F.pmod(F.xxhash64("src"), F.col("parts")).cast("int"))
