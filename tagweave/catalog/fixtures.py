@@ -30,7 +30,7 @@ def label_table(spark, sf) -> DataFrame:
 
 def pred_table(spark, sf, tag: str = "") -> DataFrame:
     d = table(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("item_id"), *[hash_uniform(tag + c, "doc_id").alias(c) for c in CLASSES])
+    return d.select(F.col("doc_id").alias("item_id"), *[hash_uniform(tag + c, "doc_id", digits=8).alias(c) for c in CLASSES])
 
 
 def task_table(spark, sf) -> DataFrame:
@@ -53,7 +53,7 @@ def embed_labels(spark, sf) -> DataFrame:
 
 def view_pairs(spark, sf) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", as_double("embedding").alias("z1"))
-    noisy = F.transform("z1", lambda x, j: x + F.lit(0.1) * (hash_uniform("v", F.col("vec_id") * 64 + j) - 0.5))
+    noisy = F.transform("z1", lambda x, j: x + F.lit(0.1) * (hash_uniform("v", F.col("vec_id") * 64 + j, digits=8) - 0.5))
     return e.select((F.col("vec_id") / 50).cast("long").alias("batch_id"), F.col("vec_id").alias("pair_id"), "z1",
                     noisy.alias("_n")).select("batch_id", "pair_id", "z1", l2_normalize("_n").alias("z2"))
 
@@ -92,9 +92,9 @@ PLANTED = ["low", "last"]
 
 # ---- the same in SQL --------------------------------------------------------------------------------------------
 
-def u(seed, *keys) -> str:
+def u(seed, *keys, digits: int = 13) -> str:
     text = " || ".join([f"'{seed}'"] + [f"':' || CAST({k} AS VARCHAR)" for k in keys])
-    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT::DOUBLE / 4294967296.0)"
+    return f"(('0x' || substr(md5({text}), 1, {digits}))::BIGINT::DOUBLE / {16.0 ** digits:.1f}::DOUBLE)"
 
 
 CTES = {
@@ -103,15 +103,15 @@ CTES = {
         (d.doc_id % 17 = 0) AS exclude, (d.doc_id % 5 = 0) AS validation, d.source AS subset,
         CAST(l.quality AS DOUBLE) AS quality, CASE WHEN d.doc_id % 7 <> 3 THEN CAST(l.toxic AS DOUBLE) END AS toxic
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
-    "pred_table": f"SELECT doc_id AS item_id, {u('quality', 'doc_id')} AS quality, {u('toxic', 'doc_id')} AS toxic FROM documents",
-    "pred_b": f"SELECT doc_id AS item_id, {u('bquality', 'doc_id')} AS quality, {u('btoxic', 'doc_id')} AS toxic FROM documents",
+    "pred_table": f"SELECT doc_id AS item_id, {u('quality', 'doc_id', digits=8)} AS quality, {u('toxic', 'doc_id', digits=8)} AS toxic FROM documents",
+    "pred_b": f"SELECT doc_id AS item_id, {u('bquality', 'doc_id', digits=8)} AS quality, {u('btoxic', 'doc_id', digits=8)} AS toxic FROM documents",
     "task_table": """SELECT doc_id AS item_id, CASE WHEN doc_id % 7 <> 3 THEN lang END AS lang,
         CASE WHEN doc_id % 7 <> 3 THEN source END AS source FROM documents""",
     "embed_table": """SELECT vec_id AS item_id, CAST(embedding AS DOUBLE[]) AS embedding, label,
         CASE WHEN vec_id % 3 = 0 THEN CAST(label % 2 AS DOUBLE) END AS odd FROM embeddings""",
     "embed_labels": """SELECT item_id, (item_id % 17 = 0) AS exclude, (item_id % 5 = 0) AS validation, odd FROM embed_table""",
     "view_raw": f"""SELECT vec_id // 50 AS batch_id, vec_id AS pair_id, CAST(embedding AS DOUBLE[]) AS z1,
-        list_transform(CAST(embedding AS DOUBLE[]), lambda x, j: x + 0.1::DOUBLE * ({u('v', 'vec_id * 64 + j - 1')} - 0.5::DOUBLE)) AS n
+        list_transform(CAST(embedding AS DOUBLE[]), lambda x, j: x + 0.1::DOUBLE * ({u('v', 'vec_id * 64 + j - 1', digits=8)} - 0.5::DOUBLE)) AS n
         FROM embeddings""",
     "view_pairs": """SELECT batch_id, pair_id, z1,
         list_transform(n, lambda x: x / sqrt(list_dot_product(n, n))) AS z2 FROM view_raw""",

@@ -404,8 +404,8 @@ _PICKS = {
     "e03_pick_maxent_class": ("maxent: toxic", entropy_sql("p.toxic"), "DESC"),
     "e04_pick_highest": ("highest: quality", "p.quality", "DESC"),
     "e04_pick_lowest": ("lowest: quality", "p.quality", "ASC"),
-    "e05_pick_high": ("high: toxic", f"-ln(greatest({u('0', 'l.item_id')}, 1e-12::DOUBLE)) / pow(p.toxic, 4)", "ASC"),
-    "e05_pick_low": ("low: toxic", f"-ln(greatest({u('0', 'l.item_id')}, 1e-12::DOUBLE)) / pow(1.0::DOUBLE - p.toxic, 4)", "ASC"),
+    "e05_pick_high": ("high: toxic", f"-ln(greatest({u('0', 'l.item_id')}, 1e-16::DOUBLE)) / pow(p.toxic, 4)", "ASC"),
+    "e05_pick_low": ("low: toxic", f"-ln(greatest({u('0', 'l.item_id')}, 1e-16::DOUBLE)) / pow(1.0::DOUBLE - p.toxic, 4)", "ASC"),
 }
 for _name, (_sort, _key, _dir) in _PICKS.items():
     @query(_name, sql("label_table", "pred_table", body=f"""

@@ -382,7 +382,7 @@ def _kpp_sql(source: str, need=("embed_table",), extra=None, taken: str | None =
     ctes["d0"] = """SELECT p.item_id, p.v, p.item_id NOT IN (SELECT item_id FROM taken) AS open,
         (SELECT min(power(list_distance(p.v, t.v), 2)) FROM taken t) AS d2 FROM pts p"""
     for t in range(picks):
-        key = u(f"{seed}:{t}", "item_id") if t == 0 else f"-ln(greatest({u(f'{seed}:{t}', 'item_id')}, 1e-12::DOUBLE)) / d2"
+        key = u(f"{seed}:{t}", "item_id") if t == 0 else f"-ln(greatest({u(f'{seed}:{t}', 'item_id')}, 1e-16::DOUBLE)) / d2"
         cond = "open" if t == 0 else "open AND d2 > 0"
         ctes[f"k{t}"] = f"SELECT item_id, v FROM d{t} WHERE {cond} ORDER BY {key}, item_id LIMIT 1"
         ctes[f"d{t + 1}"] = f"""SELECT d.item_id, d.v, d.open AND d.item_id <> k.item_id AS open,
@@ -411,7 +411,7 @@ def _(spark, sf):
              (SELECT min(power(list_distance(p.v, t.v), 2)) FROM taken t) AS d2 FROM pts p""",
     "k0": f"SELECT item_id, v FROM d0 WHERE open ORDER BY {u('0:0', 'item_id')}, item_id LIMIT 1",
     "d1": "SELECT d.item_id, d.v, d.open AND d.item_id <> k.item_id AS open, least(d.d2, power(list_distance(d.v, k.v), 2)) AS d2 FROM d0 d, k0 k",
-    "k1": f"SELECT item_id FROM d1 WHERE open AND d2 > 0 ORDER BY -ln(greatest({u('0:1', 'item_id')}, 1e-12::DOUBLE)) / d2, item_id LIMIT 1"}, body="""
+    "k1": f"SELECT item_id FROM d1 WHERE open AND d2 > 0 ORDER BY -ln(greatest({u('0:1', 'item_id')}, 1e-16::DOUBLE)) / d2, item_id LIMIT 1"}, body="""
     SELECT item_id, 0 AS pick FROM k0 UNION ALL SELECT item_id, 1 FROM k1"""))
 def _(spark, sf):
     from tagweave.catalog.fixtures import embed_labels

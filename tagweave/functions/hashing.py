@@ -12,16 +12,19 @@ def _col(key) -> Column:
     return F.col(key) if isinstance(key, str) else key
 
 
-def hash_uniform(seed, *keys) -> Column:
-    """Uniform in [0, 1) from the first 32 bits of md5('seed:key[:key…]')."""
+def hash_uniform(seed, *keys, digits: int = 13) -> Column:
+    """Uniform in [0, 1) from the first `digits` hex digits of md5('seed:key[:key…]').
+
+    13 digits fill a double. A 32-bit draw would repeat values, and leave rows out of reach, in tables of billions of rows.
+    """
     parts = [F.lit(str(seed))] + [_col(k).cast("string") for k in keys]
     digest = F.md5(F.concat_ws(":", *parts))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(digest, 1, digits), 16, 10).cast("double") / F.lit(16.0 ** digits)
 
 
 def positive_uniform(seed, *keys) -> Column:
     """As hash_uniform but never 0, for logarithms."""
-    return F.greatest(hash_uniform(seed, *keys), F.lit(1e-12))
+    return F.greatest(hash_uniform(seed, *keys), F.lit(1e-16))
 
 
 def hash_normal(seed, *keys) -> Column:

@@ -175,7 +175,7 @@ def learning_curve_size(total: int, smallest: int, seed=0, trial: int = 0) -> in
     """⌊10^U⌋ with U uniform between log10(smallest) and log10(total)."""
     import hashlib
 
-    u = int(hashlib.md5(f"{seed}:size:{trial}".encode()).hexdigest()[:8], 16) / 4294967296.0
+    u = int(hashlib.md5(f"{seed}:size:{trial}".encode()).hexdigest()[:13], 16) / 16.0 ** 13
     return int(10 ** (math.log10(smallest) + u * (math.log10(total) - math.log10(smallest))))
 
 

@@ -12,8 +12,9 @@ from tagweave.functions.vectors import as_double
 from tagweave.operators.contrast import alignment, avg_cosine, uniformity
 from tagweave.operators.edits import apply_label_events
 from tagweave.operators.features import standardize
-from tagweave.operators.filters import predict_join, training_rows
-from tagweave.operators.metrics import accuracy_estimate, auc, auc_by_group, confusion_counts, masked_bce, run_summary
+from tagweave.operators.filters import predict_join, training_rows, validation_rows
+from tagweave.operators.metrics import (accuracy_estimate, auc, auc_by_group, confusion_counts, long_scores, masked_bce,
+                                        run_summary)
 from tagweave.operators.sample import add_label_noise, learning_curve_size, learning_curve_subsample, test_domain
 from tagweave.operators.select import pick
 from tagweave.plans.training import LinearHeads, linear_probe, train_heads
@@ -90,17 +91,21 @@ def train_and_report(vectors: DataFrame, labels: DataFrame, classes=None, id_col
 
 def random_search(vectors: DataFrame, labels: DataFrame, trials: DataFrame, classes=None, steps: int = 20, id_col: str = ID,
                   vec: str = "embedding") -> DataFrame:
-    """Train one head per trial row (trial, lam as weight decay, sampling) and report its validation AUC per class.
+    """Train one set of heads per trial row (trial, lam as weight decay, sampling) and report AUC and accuracy per class on the
+    validation rows, for all trials in one pass.
 
     The trial table is the list of fits to run; its rows are the only thing that reaches the driver.
     """
-    out = None
+    classes = class_columns(labels, classes, id_col)
+    held_out = validation_rows(labels)
+    points = vectors.join(held_out.select(id_col), id_col, "left_semi")
+    scores = None
     for t in trials.orderBy("trial").collect():
         heads = train_heads(vectors, labels, classes, mode=t["sampling"] if "sampling" in trials.columns else "class",
                             weight_decay=t["lam"] if "lam" in trials.columns else 0.0, steps=steps, id_col=id_col, vec=vec)
-        summary = run_summary(labels, heads.predict(vectors, id_col, vec), classes, id_col).withColumn("trial", F.lit(t["trial"]))
-        out = summary if out is None else out.unionByName(summary)
-    return out
+        long = long_scores(held_out, heads.predict(points, id_col, vec), classes, id_col).withColumn("trial", F.lit(t["trial"]))
+        scores = long if scores is None else scores.unionByName(long)
+    return auc_by_group(scores, ["trial", "class"])
 
 
 def run_this_epoch(every, epoch: int) -> bool:

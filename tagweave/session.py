@@ -18,6 +18,7 @@ def build_session(app: str = "tagweave", master: str | None = None, shuffle_part
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -63,11 +64,13 @@ def bucketed_copy(df: DataFrame, keys: list[str], buckets: int) -> tuple[DataFra
     spark = df.sparkSession
     name = f"tagweave_{uuid.uuid4().hex}"
     (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys)
-       .option("path", scratch_path(spark, "bucketed")).saveAsTable(name))
+       .option("path", os.path.join(shared_dir(spark), name)).saveAsTable(name))
     return spark.table(name), name
 
 
 def drop_copies(spark: SparkSession, *names: str) -> None:
-    """Forget the tables; their files stay in the scratch folder."""
+    """Drop tables made by `bucketed_copy` together with their files."""
     for name in names:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(shared_dir(spark), name))
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -31,13 +31,15 @@ def read_embeddings(spark: SparkSession, path: str, dim: int | None = None, id_c
 
 
 def scan_items(spark: SparkSession, source, ys: DataFrame | None = None, id_col: str = ID, path: str = "filepath",
-               binary: bool = False) -> DataFrame:
-    """Items from a ready table, a folder of saved shards, or (binary=True) a folder of files; optionally with labels."""
+               fmt: str = "parquet") -> DataFrame:
+    """Items from a ready table, a folder of saved shards, or a folder of files (fmt `binaryFile` or `image`); optionally
+    with labels joined by key or path."""
     if isinstance(source, DataFrame):
         items = source
-    elif binary:
-        items = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).withColumnRenamed(
-            "path", path)
+    elif fmt == "binaryFile":
+        items = spark.read.format(fmt).option("recursiveFileLookup", "true").load(source).withColumnRenamed("path", path)
+    elif fmt == "image":
+        items = spark.read.format(fmt).load(source).withColumn(path, F.col("image.origin"))
     else:
         items = spark.read.parquet(source)
     return items if ys is None else items.join(ys, id_col if id_col in items.columns else path)

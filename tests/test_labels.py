@@ -139,3 +139,14 @@ def test_rounds(spark, frame):
     store.save_round({"labels": frame.where("item_id > 2")}, path, 1)
     assert ids(store.load_round(spark, path, "labels")) == [3, 4]
     assert ids(store.load_round(spark, path, "labels", 0)) == [0, 1, 2, 3, 4]
+
+
+def test_scan_sources(spark, frame, tmp_path):
+    (tmp_path / "one.png").write_bytes(b"xy")
+    files = items.scan_items(spark, str(tmp_path), fmt="binaryFile")
+    assert files.select("length").first()[0] == 2 and "filepath" in files.columns
+    path = scratch_path(spark, "test-scan")
+    items.save_sharded(frame, path, 2, compress=False)
+    ys = spark.createDataFrame([(1, "x")], "item_id long, y string")
+    assert [r["y"] for r in items.scan_items(spark, path, ys).collect()] == ["x"]
+    assert items.batch_count(items.scan_items(spark, frame), 2).first()[0] == 3
