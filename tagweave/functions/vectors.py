@@ -20,6 +20,16 @@ def as_double(vec) -> Column:
     return _c(vec).cast("array<double>")
 
 
+def literal_vector(values) -> Column:
+    """A constant ARRAY<DOUBLE>, built by one expression instead of a call per number."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
+def lookup(values, index: Column) -> Column:
+    """The integer at a 0-based position of a small constant table."""
+    return F.element_at(F.expr("array(" + ", ".join(str(int(v)) for v in values) + ")"), index + 1)
+
+
 def array_sum(vec) -> Column:
     return F.aggregate(_c(vec), F.lit(0.0), lambda acc, x: acc + x)
 

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.functions.vectors import as_double, l2_normalize, vector_moments
+from tagweave.functions.vectors import as_double, l2_normalize, literal_vector, vector_moments
 
 
 
@@ -39,19 +39,23 @@ def reshape_cells(vec, channels: int) -> Column:
     return F.transform(starts, lambda i: F.slice(vec, i * channels + 1, channels))
 
 
-def standardize(df: DataFrame, fit_on: DataFrame, vec: str = "embedding") -> DataFrame:
-    """Zero mean and unit population variance per dimension, fitted on `fit_on`. The fitted state is 2·d numbers;
-    a constant dimension is only centred."""
-    stats = vector_moments(fit_on, vec).first()
-    mean = np.asarray(stats["mean"])
+def fit_scaler(df: DataFrame, vec: str = "embedding") -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population standard deviation per dimension (1 where constant): 2·d numbers from one aggregate."""
+    stats = vector_moments(df, vec).first()
     scale = np.sqrt(np.asarray(stats["var"]))
     scale[scale == 0] = 1.0
-    centred = F.zip_with(as_double(vec), _literal(mean), lambda x, m: x - m)
-    return df.withColumn(vec, F.zip_with(centred, _literal(scale), lambda x, s: x / s))
+    return np.asarray(stats["mean"]), scale
+
 
+def apply_scaler(df: DataFrame, scaler, vec: str = "embedding") -> DataFrame:
+    mean, scale = scaler
+    centred = F.zip_with(as_double(vec), literal_vector(mean), lambda x, m: x - m)
+    return df.withColumn(vec, F.zip_with(centred, literal_vector(scale), lambda x, s: x / s))
 
-def _literal(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+
+def standardize(df: DataFrame, fit_on: DataFrame, vec: str = "embedding") -> DataFrame:
+    """Zero mean and unit population variance per dimension, fitted on `fit_on`; a constant dimension is only centred."""
+    return apply_scaler(df, fit_scaler(fit_on, vec), vec)
 
 
 def multiply(df: DataFrame, matrix: np.ndarray, vec: str = "embedding", out: str | None = None) -> DataFrame:
@@ -89,8 +93,8 @@ class PcaModel:
         self.mean, self.scale, self.components, self.spread = mean, scale, components, spread
 
     def transform(self, df: DataFrame, vec: str = "embedding", whiten: bool = False) -> DataFrame:
-        centred = F.zip_with(as_double(vec), _literal(self.mean), lambda x, m: x - m)
-        scaled = df.withColumn(vec, F.zip_with(centred, _literal(self.scale), lambda x, s: x / s))
+        centred = F.zip_with(as_double(vec), literal_vector(self.mean), lambda x, m: x - m)
+        scaled = df.withColumn(vec, F.zip_with(centred, literal_vector(self.scale), lambda x, s: x / s))
         matrix = self.components / self.spread if whiten else self.components
         return multiply(scaled, matrix, vec)
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.scoring import sigmoid
-from tagweave.functions.vectors import dot
+from tagweave.functions.vectors import dot, literal_vector
 from tagweave.schema import ID
 
 
@@ -20,7 +20,7 @@ def cosine_score(df: DataFrame, kernel, class_vectors, classes, id_col: str = ID
     unit = class_vectors / np.linalg.norm(class_vectors, axis=1, keepdims=True)
 
     def weights(column):
-        return F.array(*[F.lit(float(x)) for x in kernel[:, column]])
+        return literal_vector(kernel[:, column])
 
     projected = df.select(id_col, *[dot(vec, weights(j)).alias(f"_p{j}") for j in range(2 * len(classes))])
     cols = []

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.functions.hashing import hash_uniform
-from tagweave.functions.vectors import as_double, bind, dot, l2_normalize
+from tagweave.functions.vectors import as_double, bind, dot, l2_normalize, lookup
 from tagweave.operators import blocks as B
 from tagweave.schema import ID
 from tagweave.session import cut_lineage
@@ -164,9 +164,6 @@ def _search(items: DataFrame, n: int, k: int, block_rows: int) -> DataFrame:
     occupied = chunks > 0
     between = np.sqrt(np.maximum(2.0 - 2.0 * (pivots @ pivots.T), 0.0))
 
-    def lookup(values, index):
-        return F.element_at(F.array(*[F.lit(int(v)) for v in values]), index + 1)
-
     chunk = F.pmod(F.xxhash64("id"), lookup(np.maximum(chunks, 1), F.col("cell"))).cast("int")
     blocks = placed.select("id", "cell", chunk.alias("chunk"), "v")
     edge = T.StructType(EDGE.fields[1:])

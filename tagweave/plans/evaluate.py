@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tagweave.functions.vectors import as_double
 from tagweave.operators.contrast import alignment, avg_cosine, uniformity
 from tagweave.operators.edits import apply_label_events
-from tagweave.operators.features import standardize
+from tagweave.operators.features import apply_scaler, fit_scaler
 from tagweave.operators.filters import predict_join, training_rows, validation_rows
 from tagweave.operators.metrics import (accuracy_estimate, auc, auc_by_group, confusion_counts, long_scores, masked_bce,
                                         run_summary)
@@ -19,6 +19,7 @@ from tagweave.operators.sample import add_label_noise, learning_curve_size, lear
 from tagweave.operators.select import pick
 from tagweave.plans.training import LinearHeads, linear_probe, train_heads
 from tagweave.schema import ID, class_columns
+from tagweave.session import cut_lineage
 
 
 def sample_and_evaluate(extractors: dict[str, DataFrame], labels: DataFrame, category: str, experiments: int = 10,
@@ -34,7 +35,7 @@ def sample_and_evaluate(extractors: dict[str, DataFrame], labels: DataFrame, cat
     spark = labels.sparkSession
     pool = training_rows(labels).where(F.col(category).isNotNull())
     pool = pool.select(id_col, F.col(category).cast("double").alias("y"), *(["subset"] if domains else []))
-    results = []
+    settings, scored = [], None
     for e in range(experiments):
         for attempt in range(max_tries):
             tag = f"{seed}:{e}:{attempt}"
@@ -43,7 +44,7 @@ def sample_and_evaluate(extractors: dict[str, DataFrame], labels: DataFrame, cat
             test_pool = pool.where(F.col("subset") == test_name) if domains else pool
             n = learning_curve_size(train_pool.count(), smallest, tag, e)
             drawn = learning_curve_subsample(train_pool, n, "y", pos_prob, id_col, tag)
-            drawn = add_label_noise(drawn.select(id_col, "y"), ["y"], noise, id_col, tag)
+            drawn = cut_lineage(add_label_noise(drawn.select(id_col, "y"), ["y"], noise, id_col, tag))
             low, high = drawn.agg(F.min("y"), F.max("y")).first()
             if low == 0 and high == 1:
                 break
@@ -52,30 +53,42 @@ def sample_and_evaluate(extractors: dict[str, DataFrame], labels: DataFrame, cat
         if holdout and not domains:
             test_pool = test_pool.join(drawn.select(id_col), id_col, "left_anti")
         for name, vectors in extractors.items():
-            row = _one_experiment(drawn, test_pool.select(id_col, "y"), vectors, c, n, rescale, id_col, vec)
-            results.append((e, name, n, float(noise), test_name, *row))
-    schema = ("experiment int, extractor string, n long, label_noise double, test_domain string, train_accuracy double, "
-              "test_accuracy double, train_error double, test_error double, train_auc double, test_auc double")
-    return spark.createDataFrame(results, schema)
-
-
-def _one_experiment(train_y, test_y, vectors, c, n, rescale, id_col, vec):
+            settings.append((e, name, n, float(noise), test_name))
+            part = _fit_and_score(drawn, test_pool.select(id_col, "y"), vectors, c, n, rescale, id_col, vec)
+            part = part.select(F.lit(e).alias("experiment"), F.lit(name).alias("extractor"), "side", "y", "p")
+            scored = part if scored is None else scored.unionByName(part)
+    about = spark.createDataFrame(settings, "experiment int, extractor string, n long, label_noise double, test_domain string")
+    if scored is None:
+        return about
+    # One pass over all scores of all experiments.
+    found = auc_by_group(scored, ["experiment", "extractor", "side"])
+
+    def of(side, name):
+        return F.max(F.when(F.col("side") == side, F.col(name)))
+
+    wide = found.groupBy("experiment", "extractor").agg(
+        of("train", "accuracy").alias("train_accuracy"), of("test", "accuracy").alias("test_accuracy"),
+        of("train", "auc").alias("train_auc"), of("test", "auc").alias("test_auc"))
+    return about.join(wide, ["experiment", "extractor"]).withColumns(
+        {"train_error": 1 - F.col("train_accuracy"), "test_error": 1 - F.col("test_accuracy")})
+
+
+def _fit_and_score(train_y, test_y, vectors, c, n, rescale, id_col, vec) -> DataFrame:
+    """Scores (side, y, p) of the training sample and of the test rows."""
     train, test = (y.join(vectors.select(id_col, vec), id_col) for y in (train_y, test_y))
     if rescale:
-        test = standardize(test, train, vec)
-        train = standardize(train, train, vec)
-    train, test = (d.select("y", array_to_vector(as_double(vec)).alias("features")).persist() for d in (train, test))
-    # The penalty 1/C on a summed loss is 1/(C·n) on MLlib's mean loss.
-    model = LogisticRegression(labelCol="y", regParam=1.0 / (c * n), standardization=False, maxIter=100).fit(train)
-    scored = None
-    for side, rows in (("train", train), ("test", test)):
-        part = model.transform(rows).select(F.lit(side).alias("side"), "y", F.element_at(vector_to_array("probability"), 2).alias("p"))
-        scored = part if scored is None else scored.unionByName(part)
-    found = {r["side"]: r for r in auc_by_group(scored, ["side"]).collect()}
-    for d in (train, test):
-        d.unpersist()
-    tr, te = found["train"], found["test"]
-    return tr["accuracy"], te["accuracy"], 1 - tr["accuracy"], 1 - te["accuracy"], tr["auc"], te["auc"]
+        scaler = fit_scaler(train, vec)
+        train, test = (apply_scaler(d, scaler, vec) for d in (train, test))
+    train, test = (d.select("y", array_to_vector(as_double(vec)).alias("features")) for d in (train, test))
+    train.persist()
+    try:
+        # The penalty 1/C on a summed loss is 1/(C·n) on MLlib's mean loss.
+        model = LogisticRegression(labelCol="y", regParam=1.0 / (c * n), standardization=False, maxIter=100).fit(train)
+    finally:
+        train.unpersist()
+    sides = [model.transform(d).select(F.lit(s).alias("side"), "y", F.element_at(vector_to_array("probability"), 2).alias("p"))
+             for s, d in (("train", train), ("test", test))]
+    return sides[0].unionByName(sides[1])
 
 
 def train_and_report(vectors: DataFrame, labels: DataFrame, classes=None, id_col: str = ID, vec: str = "embedding",
