@@ -76,3 +76,9 @@ def vector_moments(df: DataFrame, vec: str, by=()) -> DataFrame:
                .withColumn("mean", vector_to_array("_s.mean"))
                .withColumn("var", F.transform(vector_to_array("_s.variance"), lambda v: v * F.col("_shrink")))
                .drop("_s", "_shrink"))
+
+
+def sum_vectors(partials: DataFrame, key: str, vec: str) -> DataFrame:
+    """Element-wise sum of the vectors of each key, combined map-side."""
+    total = Summarizer.metrics("sum").summary(array_to_vector(F.col(vec)))
+    return partials.groupBy(key).agg(total.alias("_t")).select(key, vector_to_array("_t.sum").alias(vec))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.functions.vectors import array_sum, as_double, dot, l2_normalize, norm, vector_moments
+from tagweave.functions.vectors import array_sum, as_double, dot, l2_normalize, norm, sum_vectors, vector_moments
 from tagweave.operators import blocks as B
 
 ANCHOR = T.StructType([
@@ -241,7 +241,7 @@ def mmd(features: DataFrame, domain: str, num_domains: int, vec: str = "embeddin
     return per_dim.agg(((2.0 * num_domains * F.sum("ss") - 2.0 * F.sum(F.col("s") * F.col("s"))) / num_domains).alias("mmd"))
 
 
-GRAM = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("g", T.DoubleType())])
+GRAM = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("g", T.ArrayType(T.DoubleType()))])
 
 
 def gram(df: DataFrame, left: str, right: str) -> DataFrame:
@@ -253,11 +253,10 @@ def gram(df: DataFrame, left: str, right: str) -> DataFrame:
                 part = B.matrix_of(batch.column("l")).T @ B.matrix_of(batch.column("r"))
                 total = part if total is None else total + part
         if total is not None:
-            i, j = np.indices(total.shape)
-            yield B.to_batch({"i": i.ravel().astype(np.int32), "j": j.ravel().astype(np.int32), "g": total.ravel()}, GRAM)
+            yield B.to_batch({"i": np.arange(len(total), dtype=np.int32), "g": B.list_array(total)}, GRAM)
 
     pairs = df.select(as_double(left).alias("l"), as_double(right).alias("r"))
-    return pairs.mapInArrow(partial, GRAM).groupBy("i", "j").agg(F.sum("g").alias("g"))
+    return sum_vectors(pairs.mapInArrow(partial, GRAM), "i", "g").select("i", F.posexplode("g").alias("j", "g"))
 
 
 def joint_assignment(df: DataFrame, x: str, y: str) -> DataFrame:

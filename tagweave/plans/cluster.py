@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.functions.vectors import as_double, l2_normalize
+from tagweave.functions.vectors import as_double, l2_normalize, sum_vectors
 from tagweave.operators import blocks as B
 from tagweave.operators.features import PcaModel, fit_pca, to_ml_vector
 from tagweave.operators.metrics import cluster_sizes, nmi
@@ -103,8 +103,7 @@ def som_assign(df: DataFrame, grid: np.ndarray, id_col: str = ID, vec: str = "em
     return flat.select(id_col, F.floor(F.col("unit") / n).cast("int").alias("gi"), F.pmod("unit", F.lit(n)).cast("int").alias("gj"))
 
 
-_SUMS = T.StructType([T.StructField("unit", T.IntegerType()), T.StructField("j", T.IntegerType()),
-                      T.StructField("s", T.DoubleType())])
+_SUMS = T.StructType([T.StructField("unit", T.IntegerType()), T.StructField("s", T.ArrayType(T.DoubleType()))])
 
 
 def som_train(df: DataFrame, grid: np.ndarray, learn_rate: float = 0.1, radius_sq: float = 1.0, lr_decay: float = 0.1,
@@ -160,12 +159,11 @@ def _som_sums(rows: DataFrame, units: np.ndarray):
             one[np.arange(len(best)), best] = 1.0
             acc[:, :d] += one.T @ x
             acc[:, d] += one.sum(0)
-        u, j = np.indices(acc.shape)
-        yield B.to_batch({"unit": u.ravel().astype(np.int32), "j": j.ravel().astype(np.int32), "s": acc.ravel()}, _SUMS)
+        yield B.to_batch({"unit": np.arange(k, dtype=np.int32), "s": B.list_array(acc)}, _SUMS)
 
     out = np.zeros((k, d + 1))
-    for r in rows.mapInArrow(partial, _SUMS).groupBy("unit", "j").agg(F.sum("s").alias("s")).collect():
-        out[r["unit"], r["j"]] = r["s"]
+    for r in sum_vectors(rows.mapInArrow(partial, _SUMS), "unit", "s").collect():
+        out[r["unit"]] = r["s"]
     return out[:, :d], out[:, d]
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.functions.scoring import label_smoothing
-from tagweave.functions.vectors import as_double, l2_normalize
+from tagweave.functions.vectors import as_double, l2_normalize, sum_vectors
 from tagweave.operators import blocks as B
 from tagweave.operators.features import multiply, standardize
 from tagweave.operators.filters import training_rows
@@ -90,7 +90,7 @@ def train_heads(vectors: DataFrame, labels: DataFrame, classes=None, loss: str =
     return LinearHeads(list(classes), np.stack(coefs, 1), np.asarray(bias), normalize, mean)
 
 
-_PARTIAL = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("g", T.DoubleType())])
+_PARTIAL = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("g", T.ArrayType(T.DoubleType()))])
 
 
 def _sigmoid(z):
@@ -122,8 +122,8 @@ def descend(data: DataFrame, classes, kind: str, opts: dict, steps: int, learnin
             vec: str = "embedding", normalize: bool = False) -> LinearHeads:
     """Full-batch Adam steps on a linear head. `data` holds the vector, targets <class> and weights _w_<class>.
 
-    Each step is one job: a task adds its rows up to one d × C gradient, gradients are summed per cell by a shuffle, and
-    only the sum comes back.
+    Each step is one job: a task adds its rows up to one vector per class (gradient, then loss), the vectors are summed by a
+    shuffle, and only the C sums come back.
     """
     rows = data.select(as_double(vec).alias("x"),
                        F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in classes]).alias("y"),
@@ -136,23 +136,23 @@ def descend(data: DataFrame, classes, kind: str, opts: dict, steps: int, learnin
         m, v, history = np.zeros_like(theta), np.zeros_like(theta), []
         for step in range(1, steps + 1):
             def partial(batches, theta=theta):
-                acc, value = np.zeros_like(theta), 0.0
+                acc = np.zeros((theta.shape[0] + 1, theta.shape[1]))
                 for batch in batches:
                     if batch.num_rows == 0:
                         continue
                     x, y, w = (B.matrix_of(batch.column(c)) for c in ("x", "y", "w"))
                     cell, slope = _loss_and_slope(kind, _sigmoid(x @ theta[:-1] + theta[-1]), y, w, opts)
-                    acc[:-1] += x.T @ slope
-                    acc[-1] += slope.sum(0)
-                    value += cell.sum()
-                yield B.to_batch({"i": np.arange(acc.size + 1, dtype=np.int32), "g": np.append(acc.ravel(), value)}, _PARTIAL)
-
-            sums = np.zeros(theta.size + 1)
-            for r in rows.mapInArrow(partial, _PARTIAL).groupBy("i").agg(F.sum("g").alias("g")).collect():
-                sums[r["i"]] = r["g"]
-            grad = sums[:-1].reshape(theta.shape) / total
+                    acc[:-2] += x.T @ slope
+                    acc[-2] += slope.sum(0)
+                    acc[-1] += cell.sum(0)
+                yield B.to_batch({"i": np.arange(acc.shape[1], dtype=np.int32), "g": B.list_array(acc.T)}, _PARTIAL)
+
+            sums = np.zeros((dim + 2, n_cls))
+            for r in sum_vectors(rows.mapInArrow(partial, _PARTIAL), "i", "g").collect():
+                sums[:, r["i"]] = r["g"]
+            grad = sums[:-1] / total
             grad[:-1] += weight_decay * theta[:-1]
-            history.append(float(sums[-1] / total))
+            history.append(float(sums[-1].sum() / total))
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
             theta = theta - learning_rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
     finally:
