@@ -14,7 +14,7 @@ from tagweave.operators.filters import align, is_unlabeled
 from tagweave.operators.ranking import running_total
 from tagweave.schema import ID, class_columns, is_true
 
-KERAS_EPS = 1e-7
+LOSS_EPS = 1e-7
 BINS = 14
 
 
@@ -188,7 +188,8 @@ def run_summary(labels: DataFrame, preds: DataFrame, classes=None, id_col: str =
     n, n_open, n_val = labels.agg(F.count(F.lit(1)), F.count_if(is_unlabeled(classes)),
                                   F.count_if(is_true("validation"))).first()
     return auc(labels, preds, classes, True, 8, id_col).select(
-        "class", F.lit(n_val).alias("num_validation_points"), F.lit(n - n_open - n_val).alias("num_training_points"),
+        "class", F.lit(n_val).cast("long").alias("num_validation_points"),
+        F.lit(n - n_open - n_val).cast("long").alias("num_training_points"),
         F.col("auc").alias("val_auc"), F.col("accuracy").alias("val_acc"))
 
 
@@ -258,7 +259,7 @@ def masked_focal(labels, preds, classes=None, gamma: float = 2.0, id_col: str =
     both = align(labels, preds, classes, id_col)
 
     def term(c):
-        p, eps = F.col(f"pred_{c}"), F.lit(KERAS_EPS)
+        p, eps = F.col(f"pred_{c}"), F.lit(LOSS_EPS)
         hit = -F.log(p + eps) * F.pow(1.0 - p, gamma)
         miss = -F.log(1.0 - p + eps) * F.pow(p, gamma)
         return F.when(F.col(c) == 1, hit).when(F.col(c) == 0, miss)
@@ -276,7 +277,7 @@ def masked_sparse_ce(df: DataFrame, label: str, probs: str) -> DataFrame:
     """Mean of -log probs[label] over rows with a label (NULL or -1 is missing)."""
     known = F.col(label).isNotNull() & (F.col(label) >= 0)
     p = F.element_at(as_double(probs), F.when(known, F.col(label).cast("int") + 1).otherwise(1))
-    clipped = F.least(F.greatest(p, F.lit(KERAS_EPS)), F.lit(1.0 - KERAS_EPS))
+    clipped = F.least(F.greatest(p, F.lit(LOSS_EPS)), F.lit(1.0 - LOSS_EPS))
     return df.agg(F.avg(F.when(known, -F.log(clipped))).alias("loss"), F.count_if(known).alias("n_known"))
 
 
@@ -296,7 +297,7 @@ def distillation_loss(teacher: DataFrame, student: DataFrame, classes, temp: flo
     terms = []
     for c in classes:
         t, s = soften(c), soften(f"pred_{c}")
-        terms.append(-(t * F.log(s + KERAS_EPS) + (1.0 - t) * F.log(1.0 - s + KERAS_EPS)))
+        terms.append(-(t * F.log(s + LOSS_EPS) + (1.0 - t) * F.log(1.0 - s + LOSS_EPS)))
     return both.agg(F.avg(sum(terms[1:], terms[0]) / len(terms)).alias("loss"))
 
 
@@ -306,7 +307,7 @@ def kl_divergence(teacher: DataFrame, student: DataFrame, heads, id_col: str = I
     s = student.select(id_col, *[F.col(h).alias(f"_s_{h}") for h in heads])
 
     def unit(x):
-        return F.least(F.greatest(x, F.lit(KERAS_EPS)), F.lit(1.0))
+        return F.least(F.greatest(x, F.lit(LOSS_EPS)), F.lit(1.0))
 
     per_head = [array_sum(F.zip_with(as_double(h), as_double(f"_s_{h}"),
                                      lambda a, b: unit(a) * F.log(unit(a) / unit(b)))) for h in heads]
