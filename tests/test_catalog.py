@@ -19,3 +19,12 @@ def test_inventory_is_covered():
 def test_entry_runs(spark):
     out = entry.entry(spark)
     assert out.columns == ["item_id", "key"] and out.count() == 20
+
+
+def test_flagship_first_ids(spark):
+    from tagweave.catalog.fixtures import CLASSES, label_table, pred_table
+    from tagweave.operators.select import pick
+
+    sf = "/root/testdata/sf0.01"
+    out = pick(label_table(spark, sf), pred_table(spark, sf), 20, sort_by="max entropy", classes=CLASSES).collect()
+    assert [r["item_id"] for r in out[:3]] == [600, 390, 750]
