@@ -68,8 +68,9 @@ def anchor_stats(views: DataFrame, temp: float, eps: float = 0.0, beta: float =
     if biggest <= block_rows:
         return B.pack(rows, ["batch_id"], "pair_id", ["z1", "z2"]).mapInArrow(one_block, ANCHOR)
 
-    parts = sizes.select("batch_id", F.ceil(F.col("n") / block_rows).cast("int").alias("parts"))
-    cut = rows.join(parts, "batch_id").withColumn("part", F.pmod(F.xxhash64("pair_id"), F.col("parts")).cast("int"))
+    # Only batches larger than a block are listed: at most one per block of rows, so the rows need not move to be marked.
+    large = sizes.where(F.col("n") > block_rows).select("batch_id", F.ceil(F.col("n") / block_rows).cast("int").alias("parts"))
+    cut = rows.join(large, "batch_id", "left").na.fill(1, ["parts"]).withColumn("part", F.pmod(F.xxhash64("pair_id"), F.col("parts")).cast("int"))
     packed = B.pack(cut, ["batch_id", "parts", "part"], "pair_id", ["z1", "z2"])
     left = packed.select("batch_id", F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     pairs = left.join(packed.select("batch_id", "part", F.col("rows").alias("b")), ["batch_id", "part"])

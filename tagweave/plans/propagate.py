@@ -36,8 +36,9 @@ def propagate_labels(labels: DataFrame, graph: DataFrame | None = None, vectors:
         graph = knn_graph(vectors, n_neighbors, id_col, vec)
     graph = cut_lineage(graph.select("src", "dst", "dist"))      # read three times below
     weighted = edge_weights(graph, temp)
-    hubs = graph.groupBy("dst").agg(F.ceil(F.count(F.lit(1)) / HUB_EDGES).cast("int").alias("parts"))
-    placed = weighted.join(hubs, "dst").withColumn("part", F.pmod(F.xxhash64("src"), F.col("parts")).cast("int"))
+    # Only nodes with very many in-edges are listed, at most one per HUB_EDGES edges.
+    hubs = graph.groupBy("dst").agg(F.ceil(F.count(F.lit(1)) / HUB_EDGES).cast("int").alias("parts")).where(F.col("parts") > 1)
+    placed = weighted.join(hubs, "dst", "left").na.fill(1, ["parts"]).withColumn("part", F.pmod(F.xxhash64("src"), F.col("parts")).cast("int"))
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges, edge_table = bucketed_copy(placed.select("src", "dst", "part", "w"), ["dst", "part"], slots)
 
@@ -49,13 +50,13 @@ def propagate_labels(labels: DataFrame, graph: DataFrame | None = None, vectors:
             hard.append(F.when(train & (F.col(c) == v), 1.0).alias(f"h{i}_{v}"))
     seeds = labels.select(F.col(id_col).cast("long").alias("id"), *hard)
     names = [f"h{x[1:]}" for x in cells]
-    seeds, seed_table = bucketed_copy(seeds.join(hubs.withColumnRenamed("dst", "id"), "id", "left").na.fill(0, ["parts"]),
+    seeds, seed_table = bucketed_copy(seeds.join(hubs.withColumnRenamed("dst", "id"), "id", "left").na.fill(1, ["parts"]),
                                       ["id"], slots)
     state = seeds.select("id", "parts", *[F.coalesce(h, F.lit(0.0)).alias(x) for h, x in zip(names, cells)])
 
     for round_no in range(iterations):
         some = F.greatest(*cells) > 0
-        sent = state.where(some & (F.col("parts") > 0)).select(
+        sent = state.where(some).select(
             F.col("id").alias("dst"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *cells)
         summed = edges.join(sent, ["dst", "part"]).groupBy(F.col("src").alias("id")).agg(
             *[F.sum(F.col("w") * F.col(x)).alias(f"n_{x}") for x in cells])
