@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import nearest, neardup, substring
+from tagweave.llm import linejoin, nearest, neardup, substring
 from tagweave.llm.registry import register, table
 
 
@@ -23,3 +23,9 @@ def op5_passage_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op6_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op4_similar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = linejoin.dedup_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
