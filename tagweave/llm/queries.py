@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import linejoin, nearest, neardup, substring
+from tagweave.llm import linejoin, nearest, neardup, packing, slots, substring
 from tagweave.llm.registry import register, table
+from tagweave.session import scratch_path
 
 
 @register()
@@ -29,3 +30,13 @@ def op6_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_similar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = linejoin.dedup_lines(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@register()
+def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slots.materialise(table(spark, sf_dir, "documents"), scratch_path(spark, "training"))
