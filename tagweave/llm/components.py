@@ -27,7 +27,7 @@ def components(links: DataFrame, scratch: Scratch, name: str = "stars") -> DataF
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = tuple(state)
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.where("v > u").join(_minimum(both), "u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        large = both.where("v > u").join(_minimum(both), "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         low = _minimum(large)
         small = (large.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
                  .unionByName(low.select("u", F.col("low").alias("v")))).where("u <> v").distinct()

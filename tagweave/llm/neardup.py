@@ -5,9 +5,9 @@ sequence of hashed draws finds first. Bands of `ROWS` bins are bucket keys. Docu
 and only its smallest doc_id goes on. Inside a bucket every member is paired with one centre, so a bucket of n members
 gives n - 1 pairs; pairs are confirmed on whole shingle sets and linked pairs joined to components.
 
-A star can miss a link between two members that both differ from the centre. So buckets whose members are still in more
-than one component go on: further rounds compare each member with another centre of the bucket, or, where the
-pairs left are few for the size of the table, with all members of other components. Buckets end when no pair is untested.
+A star can miss a link between two members that both differ from the centre. So where a bucket's members are still in more
+than one component, the members of different components are compared too: in tiles of at most 2 * TILE_ROWS documents, on
+whole signatures first and on whole sets where the estimate allows a link. A tile returns links only, never its pairs.
 
 With 42 bands of 6 bins a pair of similarity 0.8 shares no bucket with probability 3e-6.
 """
@@ -28,7 +28,8 @@ ROWS, BANDS = 6, 42
 BINS = ROWS * BANDS
 EDGES = (np.arange(BINS, dtype=object) * (1 << 64) // BINS).astype(np.uint64)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-FEW_PAIRS = 4
+TILE_ROWS = 1024
+SLACK = 0.12
 
 
 def shingle_set(cache: Cache, text: bytes | None, k: int) -> np.ndarray:
@@ -88,9 +89,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
     scratch.drop("reps")
 
     nodes = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.write(rows.join(nodes, "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "rep long, shingles array<long>"),
+    sets = scratch.write(rows.join(nodes, "doc_id", "left_semi").mapInArrow(_sets(shingle_words), "rep long, shingles array<long>, bins binary"),
                          "sets")
-    sizes = sets.select("rep", F.size("shingles").cast("long").alias("n"))
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (u, v) whose whole sets are similar enough."""
@@ -101,49 +101,26 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
         return scratch.write(pairs.join(of["u"], "u").join(of["v"], "v").where(fits).where(both * 100 >= union * percent)
                              .select("u", "v"), name)
 
-    def size_fits(pairs: DataFrame) -> DataFrame:
-        return pairs.where(F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent).select("u", "v").distinct()
-
     star = members.where("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct()
-    tested = scratch.write(star, "tested0")
     # A doc_id with several texts ties their classes together.
     key = F.struct("k1", "k2")
     several = full.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("doc_id")
     ties = (full.join(several, "doc_id", "left_semi").join(classes, ["k1", "k2"])
             .select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-    root = components(confirmed(tested, "links0").unionByName(ties), scratch, "stars0_")
-
-    open_rows, turn = members.select("bucket", "rep", F.col("n_shingles").alias("n")), 0
-    budget = FEW_PAIRS * max(members.count(), 1)
-    while True:
-        turn += 1
-        labelled = (open_rows.join(root, open_rows["rep"] == root["node"], "left")
-                    .select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root")))
-        groups = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-        mixed = groups.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("c").alias("all"),
-                                             F.sum(F.col("c") * F.col("c")).alias("own")).where("lo < hi")
-        still = scratch.write(labelled.join(mixed.select("bucket", "all", "own"), "bucket"), f"open{turn}")
-        per_bucket = still.groupBy("bucket").agg(((F.first("all") * F.first("all") - F.first("own")) / 2).alias("p"))
-        left = per_bucket.agg(F.sum("p")).first()[0] or 0
-        if left == 0:
-            break
-        if left <= budget:
-            a = still.select("bucket", F.col("rep").alias("u"), F.col("root").alias("root_u"), F.col("n").alias("n_u"))
-            b = still.select("bucket", F.col("rep").alias("v"), F.col("root").alias("root_v"), F.col("n").alias("n_v"))
-            pairs = size_fits(a.join(b, "bucket").where("u > v AND root_u <> root_v"))
-        else:  # one more centre for every bucket: the next member in a hashed order of its own
-            centre = still.groupBy("bucket").agg(F.min_by(F.struct("rep", "root", "n"), F.xxhash64("bucket", "rep")).alias("c"))
-            pairs = size_fits(still.join(centre, "bucket").where("rep <> c.rep AND root <> c.root").select(
-                F.greatest("rep", "c.rep").alias("u"), F.least("rep", "c.rep").alias("v"),
-                F.col("n").alias("n_u"), F.col("c.n").alias("n_v")))
-            done = centre.select("bucket", F.col("c.rep").alias("rep"))
-        fresh = scratch.write(pairs.join(tested, ["u", "v"], "left_anti"), f"fresh{turn}")
-        found = confirmed(fresh, f"links{turn}")
-        root = components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found), scratch, f"stars{turn}_")
-        if left <= budget:
-            break
-        tested = tested.unionByName(fresh)
-        open_rows = scratch.write(still.select("bucket", "rep", "n").join(done, ["bucket", "rep"], "left_anti"), f"rest{turn}")
+    links = confirmed(scratch.write(star, "star"), "links").unionByName(ties)
+    root = components(links, scratch, "first")
+
+    labelled = (members.select("bucket", "rep").join(root, F.col("rep") == F.col("node"), "left")
+                .select("bucket", "rep", F.coalesce("root", "rep").alias("root")))
+    mixed = (labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"))
+             .where("lo < hi").select("bucket", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("blocks")))
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    tiled = (labelled.join(mixed, "bucket").withColumn("block", block)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "root"))
+    more = scratch.write(tiled.join(sets, "rep").groupBy("bucket", "i", "j").applyInArrow(_tile(percent), "u long, v long").distinct(),
+                         "more")
+    root = components(root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), scratch, "second")
     scratch.drop("sets", "members")
 
     root = root.select(F.col("node").alias("rep"), "root")
@@ -174,13 +151,45 @@ def _sign(k: int):
 
 
 def _sets(k: int):
-    schema = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("rep", pa.int64()), ("shingles", pa.list_(pa.int64())), ("bins", pa.binary())])
 
     def rows(batches):
         cache = Cache(xxhash.xxh3_64_digest)
         for batch in batches:
             for doc, text in zip(batch.column("doc_id"), batch.column("text")):
-                yield doc.as_py(), shingle_set(cache, text.as_py(), k).view(np.int64)
+                s = shingle_set(cache, text.as_py(), k)
+                yield doc.as_py(), s.view(np.int64), (signature(s).astype(np.uint8).tobytes() if len(s) else b"")
             cache.trim()
 
     return lambda batches: arrow_rows(schema, rows(batches), weigh=lambda r: 8 * len(r[1]))
+
+
+def _tile(percent: int):
+    """Links between members of different components in one tile of a bucket."""
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        rep, root = group.column("rep").to_numpy(), group.column("root").to_pylist()
+        sets = [s.values.to_numpy() for s in group.column("shingles")]
+        bins = np.stack([np.frombuffer(b.as_py(), np.uint8) for b in group.column("bins")])
+        size = np.array([len(s) for s in sets])
+        ids = np.unique(root, return_inverse=True)[1]
+        parent = list(range(len(ids)))
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        found = []
+        for i in range(len(rep) - 1):
+            later = slice(i + 1, None)
+            alike = (bins[later] == bins[i]).mean(1) >= percent / 100 - SLACK
+            fits = np.minimum(size[later], size[i]) * 100 >= np.maximum(size[later], size[i]) * percent
+            for j in np.flatnonzero(alike & fits & (ids[later] != ids[i])) + i + 1:
+                a, b = top(ids[i]), top(ids[j])
+                if a != b:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both * 100 >= (size[i] + size[j] - both) * percent:
+                        found.append((rep[i], rep[j]))
+                        parent[a] = b
+        return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
+    return run

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import linejoin, nearest, neardup, packing, slots, substring
+from tagweave.llm import langid, linejoin, nearest, neardup, packing, slots, substring, toxicity
 from tagweave.llm.registry import register, table
 from tagweave.session import scratch_path
 
@@ -40,3 +40,21 @@ def op2_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.materialise(table(spark, sf_dir, "documents"), scratch_path(spark, "training"))
+
+
+def held_out() -> Column:
+    """Rows that teach nothing: one in three, by the checksum of the id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+@register()
+def op8_toxic_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out())
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@register()
+def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    named = langid.identify(docs, langid.fit(docs, ~held_out()))
+    return named.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
