@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import langid, linejoin, nearest, neardup, packing, slots, substring, toxicity
+from tagweave.llm import langid, linejoin, nearest, neardup, packing, quality, slots, substring, toxicity
 from tagweave.llm.registry import register, table
 from tagweave.session import scratch_path
 
@@ -58,3 +58,9 @@ def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     named = langid.identify(docs, langid.fit(docs, ~held_out()))
     return named.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@register()
+def op1_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", F.size("votes").alias("n_votes"), "posterior", "score", "keep")
