@@ -124,6 +124,29 @@ def identify(docs: DataFrame, model: Model, penalty: float = 24.0, id_col: str =
                                                       "spans array<struct<lang:string,first:int,after:int>>")
 
 
+def keep_known(docs: DataFrame, model: Model, min_score: float, penalty: float = 24.0, text_col: str = "text",
+               lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs` with a language of at least `min_score`; a null language is filled with the one found.
+
+    Rows pass through one scan with all their columns. Null texts and texts without letters go.
+    """
+    at_text, at_lang = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batches):
+        cache = Cache(model.word)
+        for batch in batches:
+            found = [label_text(model, cache, t.as_py(), penalty)[:2] for t in batch.column(at_text)]
+            known = pa.array([lang != "und" and score >= min_score for lang, score in found], pa.bool_())
+            langs = pa.array([old.as_py() if old.is_valid else new for old, (new, _) in zip(batch.column(at_lang), found)],
+                             batch.schema.field(at_lang).type)
+            columns = batch.columns
+            columns[at_lang] = langs
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(known)
+            cache.trim()
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def label_text(model: Model, cache: Cache, text: str | None, penalty: float) -> tuple[str, float, list[dict]]:
     words = (text or "").split()
     k = len(model.langs)

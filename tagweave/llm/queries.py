@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import langid, linejoin, nearest, neardup, packing, quality, slots, substring, toxicity
+from tagweave.llm import decontaminate, langid, linejoin, nearest, neardup, packing, quality, slots, substring, toxicity
 from tagweave.llm.registry import register, table
 from tagweave.session import scratch_path
 
@@ -64,3 +64,8 @@ def op9_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.classify(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", F.size("votes").alias("n_votes"), "posterior", "score", "keep")
+
+
+@register()
+def op3_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
