@@ -8,8 +8,6 @@ sample of labelled texts: at most `GRAMS` + scripts counts per language go to th
 
 from __future__ import annotations
 
-import bisect
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -17,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import Cache, arrow_rows
+from tagweave.llm.common import arrow_rows
 
 GRAMS = 1 << 16
 CAP = 8.0
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # The main ranges of code points of some scripts, as (first, last, script).
 SCRIPTS = [
     (0x0041, 0x024F, "latin"), (0x0370, 0x03FF, "greek"), (0x0400, 0x052F, "cyrillic"), (0x0530, 0x058F, "armenian"),
@@ -29,25 +28,51 @@ SCRIPTS = [
     (0x1E00, 0x1EFF, "latin"), (0x1F00, 0x1FFF, "greek"), (0x3040, 0x30FF, "kana"), (0x3400, 0x4DBF, "han"),
     (0x4E00, 0x9FFF, "han"), (0xAC00, 0xD7AF, "hangul"),
 ]
-_STARTS = [r[0] for r in SCRIPTS]
+_STARTS = np.array([r[0] for r in SCRIPTS])
 NAMES = sorted({r[2] for r in SCRIPTS}) + ["other"]
 
 
-def script_of(word: str) -> int:
-    """Number in NAMES of the script of the first letter."""
-    code = ord(word[0])
-    i = bisect.bisect_right(_STARTS, code) - 1
-    return NAMES.index(SCRIPTS[i][2]) if i >= 0 and code <= SCRIPTS[i][1] else len(NAMES) - 1
+_SCRIPT_NO = np.array([NAMES.index(r[2]) for r in SCRIPTS])
+_LAST = np.array([r[1] for r in SCRIPTS])
+_MARKS = ".,;:!?\"'()[]{}|*#$%&-"
 
 
 def letters(word: str) -> str:
-    return "".join(filter(str.isalpha, word)).lower()
+    """The letters of a word in lower case."""
+    bare = word.strip(_MARKS)
+    return (bare if bare.isalpha() else "".join(filter(str.isalpha, word))).lower()
 
 
-def grams(word: str) -> list[int]:
-    edged = f"<{word}>"
-    parts = [edged[i:i + k] for k in (1, 2, 3) for i in range(len(edged) - k + 1)] + ["=" + word]
-    return [zlib.crc32(p.encode()) & (GRAMS - 1) for p in parts]
+def scripts_of(codes: np.ndarray) -> np.ndarray:
+    """Numbers in NAMES of the scripts of code points."""
+    at = np.searchsorted(_STARTS, codes, side="right") - 1
+    inside = (at >= 0) & (codes <= _LAST[at])
+    return np.where(inside, _SCRIPT_NO[at], len(NAMES) - 1)
+
+
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gram, number of its word, script per word) of words of letters, for all words at once.
+
+    Grams are hashes of 1 to 3 neighbouring characters of the word between edge marks, and of the whole word.
+    """
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.array([len(w) + 2 for w in words])
+    word = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(codes))  # characters from here to the end of the word
+    h, out, of = np.zeros(len(codes), np.uint64), [], []
+    for k in (1, 2, 3):
+        h = (h[:len(codes) - k + 1] + codes[k - 1:] + np.uint64(k)) * _A
+        h ^= h >> np.uint64(29)
+        inside = left[:len(h)] >= k
+        out.append(h[inside])
+        of.append(word[:len(h)][inside])
+    start = np.cumsum(size) - size
+    place = (np.arange(len(codes)) - start[word]).astype(np.uint64) + np.uint64(7)
+    mixed = (codes + place * _B) * _A
+    out.append(np.add.reduceat((mixed ^ (mixed >> np.uint64(31))) * _B, start))
+    of.append(np.arange(len(words)))
+    grams = ((np.concatenate(out) * _B) >> np.uint64(48)).astype(np.int64) & (GRAMS - 1)
+    return grams, np.concatenate(of), scripts_of(codes[start + 1].astype(np.int64))
 
 
 class Model:
@@ -57,19 +82,45 @@ class Model:
         self.langs = langs
         if langs:
             g, s = counts[:, :GRAMS], counts[:, GRAMS:]
-            self.log = np.log((g + 0.1) / (g.sum(1, keepdims=True) + 0.1 * GRAMS)).T.astype(np.float32).copy()
+            self.log = np.log((g + 0.1) / (g.sum(1, keepdims=True) + 0.1 * GRAMS))
             self.uses = s >= 0.005 * s.sum(1, keepdims=True).clip(1)
 
-    def word(self, word: str) -> bytes:
-        """Scores of a word by language, 0 for the best and at least -CAP; all 0 and a flag for a word without letters."""
-        core = letters(word)
-        if not core:
-            return np.zeros(len(self.langs) + 1, np.float32).tobytes()
-        ll = self.log[grams(core)].sum(0)
-        able = self.uses[:, script_of(core)]
-        if able.any():
-            ll = np.where(able, ll, -np.inf)
-        return np.r_[np.maximum(ll - ll.max(), -CAP), 1].astype(np.float32).tobytes()
+    def words(self, words: list[str]) -> list[bytes]:
+        """Per word its scores by language, 0 for the best and at least -CAP, and a flag; all 0 for a word without letters."""
+        table = np.zeros((len(words), len(self.langs) + 1), np.float32)
+        cores = [letters(w) for w in words]
+        have = [i for i, c in enumerate(cores) if c]
+        if have and self.langs:
+            gram, of, script = grams([cores[i] for i in have])
+            ll = np.stack([np.bincount(of, row[gram], minlength=len(have)) for row in self.log], axis=1)
+            able = self.uses[:, script].T
+            ll = np.where(able | ~able.any(1, keepdims=True), ll, -np.inf)
+            table[have, :-1] = np.maximum(ll - ll.max(1, keepdims=True), -CAP)
+            table[have, -1] = 1
+        return [row.tobytes() for row in table]
+
+
+class Scores(dict):
+    """Remembered scores of words; `learn` adds those of some texts and forgets all others when there are too many."""
+
+    def __init__(self, model: Model, limit: int = 300_000):
+        super().__init__()
+        self.model, self.limit = model, limit
+
+    def learn(self, texts: list[list[str]]) -> None:
+        if len(self) > self.limit:
+            self.clear()
+        new = list(set().union(*texts) - self.keys())
+        self.update(zip(new, self.model.words(new)))
+
+
+def labelled(model: Model, known: Scores, texts: pa.Array, penalty: float):
+    """label_text of every text of an Arrow column, some texts at a time."""
+    for at in range(0, len(texts), 128):
+        words = [(t.as_py() or "").split() for t in texts[at:at + 128]]
+        known.learn(words)
+        for w in words:
+            yield label_text(model, known, w, penalty)
 
 
 def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -133,24 +184,22 @@ def keep_known(docs: DataFrame, model: Model, min_score: float, penalty: float =
     at_text, at_lang = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches):
-        cache = Cache(model.word)
+        known = Scores(model)
         for batch in batches:
-            found = [label_text(model, cache, t.as_py(), penalty)[:2] for t in batch.column(at_text)]
-            known = pa.array([lang != "und" and score >= min_score for lang, score in found], pa.bool_())
+            found = [x[:2] for x in labelled(model, known, batch.column(at_text), penalty)]
+            keep = pa.array([lang != "und" and score >= min_score for lang, score in found], pa.bool_())
             langs = pa.array([old.as_py() if old.is_valid else new for old, (new, _) in zip(batch.column(at_lang), found)],
                              batch.schema.field(at_lang).type)
             columns = batch.columns
             columns[at_lang] = langs
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(known)
-            cache.trim()
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(keep)
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def label_text(model: Model, cache: Cache, text: str | None, penalty: float) -> tuple[str, float, list[dict]]:
-    words = (text or "").split()
+def label_text(model: Model, known: Scores, words: list[str], penalty: float) -> tuple[str, float, list[dict]]:
     k = len(model.langs)
-    table = np.frombuffer(b"".join(map(cache.__getitem__, words)), np.float32).reshape(-1, k + 1) if k else np.zeros((0, 1))
+    table = np.frombuffer(b"".join(map(known.__getitem__, words)), np.float32).reshape(-1, k + 1) if k else np.zeros((0, 1))
     lettered = table[:, k] > 0
     if not lettered.any():
         return "und", 0.0, []
@@ -168,11 +217,15 @@ def _count(batches):
 
     def settle() -> None:
         for lang, counter in words.items():
-            to = totals.setdefault(lang, np.zeros(GRAMS + len(NAMES), np.int64))
+            cores: Counter = Counter()
             for word, n in counter.items():
                 if core := letters(word):
-                    np.add.at(to, grams(core), n)
-                    to[GRAMS + script_of(core)] += n
+                    cores[core] += n
+            if cores:
+                n = np.array(list(cores.values()), np.float64)
+                gram, of, script = grams(list(cores))
+                to = totals.setdefault(lang, np.zeros(GRAMS + len(NAMES), np.int64))
+                to += np.r_[np.bincount(gram, n[of], minlength=GRAMS), np.bincount(script, n, minlength=len(NAMES))].astype(np.int64)
         words.clear()
 
     for batch in batches:
@@ -189,10 +242,9 @@ def _identify(model: Model, penalty: float):
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span))])
 
     def rows(batches):
-        cache = Cache(model.word)
+        known = Scores(model)
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id"), batch.column("text")):
-                yield doc.as_py(), *label_text(model, cache, text.as_py(), penalty)
-            cache.trim()
+            for doc, found in zip(batch.column("doc_id"), labelled(model, known, batch.column("text"), penalty)):
+                yield doc.as_py(), *found
 
     return lambda batches: arrow_rows(schema, rows(batches))
