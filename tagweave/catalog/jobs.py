@@ -185,8 +185,24 @@ def _(spark, sf):
 
 # ---- J: streams over the event file -----------------------------------------------------------------------------
 
+def _in_files(spark, sf, name, order, files=4):
+    """The table as a stream over several files, one a micro-batch. Files are cut along `order`, but a tenth of all rows
+    lie in another file than their place, so late rows come."""
+    folder, source = scratch_path(spark, name), table(spark, sf, name)
+    cuts = source.approxQuantile(order, [i / files for i in range(1, files)], 0.01)
+    place = sum([F.when(F.col(order) > c, 1).otherwise(0) for c in cuts], F.lit(1))
+    late = F.when(F.pmod(F.xxhash64(order), F.lit(10)) == 0, F.pmod(F.xxhash64(order), F.lit(files)) + 1).otherwise(place)
+    parts = source.withColumn("_file", late).persist()
+    try:
+        for i in range(1, files + 1):
+            parts.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+    finally:
+        parts.unpersist()
+    return streams.event_stream(spark, folder, source.schema, files_per_trigger=1)
+
+
 def _events(spark, sf):
-    return as_label_events(streams.event_stream(spark, sf, table(spark, sf, "events").schema, "events.parquet"))
+    return as_label_events(_in_files(spark, sf, "events", "event_id"))
 
 
 def _finish(q):
@@ -198,7 +214,7 @@ def _finish(q):
 @query("j01_label_event_stream", _applied("SELECT item_id, field, value, ts, event_id FROM label_events"))
 def _(spark, sf):
     log, mark = scratch_path(spark, "edit-log"), scratch_path(spark, "edit-mark")
-    _finish(streams.label_event_stream(_events(spark, sf), log, mark, [*BOOLEAN_FIELDS, *CLASSES], delay="1 hour"))
+    _finish(streams.label_event_stream(_events(spark, sf), log, mark, [*BOOLEAN_FIELDS, *CLASSES]))
     return streams.current_labels(label_table(spark, sf), log, CLASSES).select("item_id", "exclude", "validation", *CLASSES)
 
 
@@ -206,26 +222,22 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "counts")
     _finish(streams.running_label_counts(_events(spark, sf), path, scratch_path(spark, "counts-mark")))
-    return streams.latest_counts(spark, path)
+    return streams.newest_batch(spark, path)
 
 
 @query("j02_windowed_label_counts", sql("label_events", body="""
-    SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, field, count(*) AS n FROM label_events
-    WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM label_events) GROUP BY 1, 2"""))
+    SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, field, count(*) AS n FROM label_events GROUP BY 1, 2"""))
 def _(spark, sf):
     path = scratch_path(spark, "windows")
     _finish(streams.windowed_label_counts(_events(spark, sf), path, scratch_path(spark, "windows-mark")))
-    closed = spark.read.schema("window_start timestamp, field string, n long").parquet(path)
-    return closed.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "field", "n")
+    return streams.newest_batch(spark, path).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "field", "n")
 
 
-@query("j03_stream_latest_k", "SELECT vec_id, label FROM embeddings ORDER BY vec_id DESC LIMIT 64")
+@query("j03_stream_latest_k", "SELECT vec_id, embedding[1]::DOUBLE AS first, label FROM embeddings ORDER BY vec_id DESC LIMIT 64")
 def _(spark, sf):
     path = scratch_path(spark, "queue")
-    schema = table(spark, sf, "embeddings").schema
-    vectors = streams.event_stream(spark, sf, schema, "embeddings.parquet").select("vec_id", "label")
-    _finish(streams.stream_latest_k(vectors, 64, "vec_id", path, scratch_path(spark, "queue-mark")))
-    return spark.read.parquet(path).groupBy("vec_id").agg(F.max("label").alias("label"))
+    _finish(streams.stream_latest_k(_in_files(spark, sf, "embeddings", "vec_id"), 64, "vec_id", path, scratch_path(spark, "queue-mark")))
+    return streams.newest_batch(spark, path).select("vec_id", F.col("embedding")[0].cast("double").alias("first"), "label")
 
 
 @query("j04_stream_score")

@@ -487,7 +487,7 @@ def _(spark, sf):
                     F.array_join(pad_tokens("ids", 8, "front"), " ").alias("padded_front"))
 
 
-_TOKENS = "SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 0) AS w FROM documents"
+_TOKENS = r"SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) > 0) AS w FROM documents"
 _VOCAB = f"""SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id FROM (
     SELECT token, count(*) AS n FROM (SELECT unnest(w) AS token FROM ({_TOKENS})) GROUP BY token)"""
 
@@ -509,10 +509,10 @@ def _(spark, sf):
     return out.select("item_id", F.array_join("token_ids", " ").alias("token_ids"))
 
 
-@query("g05_encode_conversations", sql(extra={"tokens": """
-    SELECT conv_id, turn, list_filter(regexp_split_to_array(lower('the ' || role || ' says ' || text), '[^a-z0-9]+'), lambda w: length(w) > 0) AS w FROM conversations""",
-    "vocab": """SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id FROM (
-    SELECT token, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 0)) AS token FROM conversations) GROUP BY token)""",
+@query("g05_encode_conversations", sql(extra={"tokens": r"""
+    SELECT conv_id, turn, list_filter(regexp_split_to_array(lower('the ' || role || ' says ' || text), '[^\p{L}\p{N}]+'), lambda w: length(w) > 0) AS w FROM conversations""",
+    "vocab": r"""SELECT token, n, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id FROM (
+    SELECT token, count(*) AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: length(w) > 0)) AS token FROM conversations) GROUP BY token)""",
     "ids": """SELECT t.conv_id, t.turn, list(coalesce(v.token_id, 1) ORDER BY t.pos) AS i FROM (SELECT conv_id, turn, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM tokens) t
     LEFT JOIN vocab v ON t.token = v.token WHERE t.pos <= 16 GROUP BY t.conv_id, t.turn"""}, body="""
     SELECT item_id, array_to_string(list_concat(ids, list_transform(range(0, 16 - len(ids)), lambda k: 0)), ' ') AS token_ids FROM (

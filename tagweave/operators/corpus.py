@@ -15,14 +15,14 @@ FIRST_WORD = 4
 
 
 def words(text) -> Column:
-    """Lower-case runs of letters and digits."""
+    """Lower-case runs of letters and digits of any script."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def leading_words(text: Column, n: int) -> Column:
     """The first n words, and one more element if the text has more: the splitter stops there and leaves the rest whole."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+", n + 2), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", n + 2), lambda w: w != "")
 
 
 def build_vocabulary(df: DataFrame, text: str = "text") -> DataFrame:

@@ -163,7 +163,7 @@ def auc_by_group(scores: DataFrame, group, y: str = "y", p: str = "p") -> DataFr
                                       F.sum("_hit").alias("_h"))
     usable = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     return sums.select(*group, "n_pos", "n_neg",
-                       F.when(usable, F.col("_w") / (F.col("n_pos") * F.col("n_neg"))).otherwise(0.0).alias("auc"),
+                       F.when(usable, F.col("_w") / (F.col("n_pos").cast("double") * F.col("n_neg"))).otherwise(0.0).alias("auc"),
                        F.when(usable, F.col("_h") / (F.col("n_pos") + F.col("n_neg"))).otherwise(0.0).alias("accuracy"))
 
 

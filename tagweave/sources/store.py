@@ -22,13 +22,14 @@ def labels_to_save(df: DataFrame, only_labeled: bool = False, classes=None, id_c
 
 
 def save_labels(df: DataFrame, path: str, only_labeled: bool = False, classes=None, id_col: str = ID) -> None:
-    labels_to_save(df, only_labeled, classes, id_col).write.mode("overwrite").option("header", "true").csv(path)
+    labels_to_save(df, only_labeled, classes, id_col).write.mode("overwrite").option("header", "true").option("emptyValue", '""').csv(path)
 
 
 def load_labels(spark: SparkSession, path: str, classes, id_col: str = ID) -> DataFrame:
-    schema = f"{id_col} long, filepath string, exclude boolean, validation boolean, subset string"
-    return spark.read.option("header", "true").schema(
-        ", ".join([schema, *[f"`{c}` double" for c in classes]])).csv(path)
+    """A saved label table, by its header: id, flags and classes get their types, other columns stay text."""
+    text = spark.read.option("header", "true").option("emptyValue", "").csv(path)
+    kinds = {id_col: "long", "exclude": "boolean", "validation": "boolean", **{c: "double" for c in classes}}
+    return text.select([F.col(f"`{c}`").cast(kinds.get(c, "string")).alias(c) for c in text.columns])
 
 
 def save_predictions(df: DataFrame, path: str, fmt: str = "csv") -> None:

@@ -27,15 +27,11 @@ def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def label_event_stream(events: DataFrame, log: str, checkpoint: str, fields, id_col: str = ID, delay: str | None = None,
-                       once: bool = True) -> StreamingQuery:
-    """Append the last write per item of each micro-batch to `log`. Late events lose by timestamp when the log is read.
+def label_event_stream(events: DataFrame, log: str, checkpoint: str, fields, id_col: str = ID, once: bool = True) -> StreamingQuery:
+    """Append the last write per item of each micro-batch to `log`, however late its events are.
 
-    With `delay` redelivered events are dropped within the watermark, which bounds the de-duplication state.
+    An event that comes late or twice changes nothing wrongly: the log is read by the largest (timestamp, event id).
     """
-    if delay is not None:
-        events = events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-
     def write(batch: DataFrame, batch_id: int) -> None:
         latest_edits(batch, fields, id_col).write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
 
@@ -54,38 +50,49 @@ def compact_log(spark: SparkSession, log: str, target: str, fields, id_col: str
     merge_latest(spark.read.parquet(log).drop("batch"), fields, id_col).write.mode("overwrite").parquet(f"{target}/batch=0")
 
 
-def running_label_counts(events: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Number of events per field and value so far; each micro-batch rewrites the small result."""
-    counts = events.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
-
+def _rewritten(counts: DataFrame, path: str, checkpoint: str, once: bool) -> StreamingQuery:
+    """Every micro-batch writes the whole small result; the one before the last is removed."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        _forget(batch.sparkSession, f"{path}/batch={batch_id - 2}")
 
     return _start(counts.writeStream.outputMode("complete").foreachBatch(write), checkpoint, once)
 
 
-def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+def _forget(spark: SparkSession, path: str) -> None:
+    """Remove a folder that later micro-batches do not need, also not on a retry of the last one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def running_label_counts(events: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Number of events per field and value so far."""
+    return _rewritten(events.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n")), path, checkpoint, once)
+
+
+def newest_batch(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the last micro-batch below `path`."""
     every = spark.read.parquet(path)
     newest = every.agg(F.max("batch")).first()[0]
     return every.where(F.col("batch") == newest).drop("batch")
 
 
-def windowed_label_counts(events: DataFrame, path: str, checkpoint: str, width: str = "1 day", delay: str = "1 hour",
-                          once: bool = True) -> StreamingQuery:
-    """Counts per tumbling window and field, written once a window has closed."""
-    counts = (events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), "field")
-              .agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "field", "n"))
-    return _start(counts.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint, once)
+def windowed_label_counts(events: DataFrame, path: str, checkpoint: str, width: str = "1 day", once: bool = True) -> StreamingQuery:
+    """Counts per tumbling window and field so far, with open windows and late events."""
+    counts = (events.groupBy(F.window("ts", width).alias("w"), "field").agg(F.count(F.lit(1)).alias("n"))
+              .select(F.col("w.start").alias("window_start"), "field", "n"))
+    return _rewritten(counts, path, checkpoint, once)
 
 
 def stream_latest_k(vectors: DataFrame, k: int, seq: str, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Keep the newest k rows: the k kept before plus the k newest of the micro-batch, cut to k."""
+    """Keep the newest k rows: the k kept before plus the k newest of the micro-batch, cut to k. Read with `newest_batch`."""
     def write(batch: DataFrame, batch_id: int) -> None:
         fresh = latest_k(batch, k, seq)
         if batch_id > 0:
             before = batch.sparkSession.read.schema(fresh.schema).parquet(f"{path}/batch={batch_id - 1}")
             fresh = latest_k(fresh.unionByName(before), k, seq)
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        _forget(batch.sparkSession, f"{path}/batch={batch_id - 2}")
 
     return _start(vectors.writeStream.foreachBatch(write), checkpoint, once)
 

@@ -179,7 +179,7 @@ def test_stream_equals_batch_and_survives_repeats(spark, planted):
     path = scratch_path(spark, "counts")
     streams.running_label_counts(streams.event_stream(spark, folder, events.schema, files_per_trigger=2), path, scratch_path(spark, "m")).awaitTermination()
     batch = events.groupBy("field", "value").count()
-    assert sorted(map(str, map(tuple, streams.latest_counts(spark, path).collect()))) == sorted(map(str, map(tuple, batch.collect())))
+    assert sorted(map(str, map(tuple, streams.newest_batch(spark, path).collect()))) == sorted(map(str, map(tuple, batch.collect())))
 
     queue = scratch_path(spark, "queue")
     streams.stream_latest_k(streams.event_stream(spark, folder, events.schema, files_per_trigger=2).select("event_id"), 20, "event_id",
