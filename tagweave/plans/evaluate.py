@@ -24,13 +24,14 @@ from tagweave.session import cut_lineage
 
 def sample_and_evaluate(extractors: dict[str, DataFrame], labels: DataFrame, category: str, experiments: int = 10,
                         smallest: int = 20, c: float = 1.0, pos_prob: float | None = None, noise: float = 0.0,
-                        domains: bool = False, rescale: bool = False, holdout: bool = False, max_tries: int = 5,
+                        domains: bool = False, rescale: bool = False, holdout: bool = False, max_tries: int = 100,
                         seed=0, id_col: str = ID, vec: str = "embedding") -> DataFrame:
     """One row per experiment and extractor: size, noise, train and test accuracy, error and AUC.
 
     An experiment draws a training subsample of the training rows (optionally all domains but one), flips labels, fits a
     logistic regression per extractor and tests on the other domain, on the held-out rows or on the same pool. Draws
-    without both classes are repeated up to `max_tries` times.
+    without both classes are repeated; after `max_tries` of them an error is raised, so no experiment is lost. `n` is the
+    number of rows drawn, which a rare class can make smaller than asked. A test side without both classes has NULL results.
     """
     spark = labels.sparkSession
     pool = training_rows(labels).where(F.col(category).isNotNull())
@@ -45,11 +46,11 @@ def sample_and_evaluate(extractors: dict[str, DataFrame], labels: DataFrame, cat
             n = learning_curve_size(train_pool.count(), smallest, tag, e)
             drawn = learning_curve_subsample(train_pool, n, "y", pos_prob, id_col, tag)
             drawn = cut_lineage(add_label_noise(drawn.select(id_col, "y"), ["y"], noise, id_col, tag))
-            low, high = drawn.agg(F.min("y"), F.max("y")).first()
+            low, high, n = drawn.agg(F.min("y"), F.max("y"), F.count(F.lit(1))).first()
             if low == 0 and high == 1:
                 break
         else:
-            continue
+            raise ValueError(f"no draw of {category!r} has both classes in {max_tries} tries")
         if holdout and not domains:
             test_pool = test_pool.join(drawn.select(id_col), id_col, "left_anti")
         for name, vectors in extractors.items():
@@ -64,7 +65,7 @@ def sample_and_evaluate(extractors: dict[str, DataFrame], labels: DataFrame, cat
     found = auc_by_group(scored, ["experiment", "extractor", "side"])
 
     def of(side, name):
-        return F.max(F.when(F.col("side") == side, F.col(name)))
+        return F.max(F.when((F.col("side") == side) & (F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col(name)))
 
     wide = found.groupBy("experiment", "extractor").agg(
         of("train", "accuracy").alias("train_accuracy"), of("test", "accuracy").alias("test_accuracy"),

@@ -17,6 +17,7 @@ from tagweave.operators import blocks as B
 from tagweave.operators.features import multiply, standardize
 from tagweave.operators.filters import training_rows
 from tagweave.operators.metrics import confusion_matrix, multiclass_accuracy
+from tagweave.operators.ranking import ordered_index
 from tagweave.operators.sample import strata_sizes, stratum_shares
 from tagweave.schema import ID, class_columns
 
@@ -39,15 +40,15 @@ class LinearHeads:
 
 
 def _class_weights(labels: DataFrame, classes, mode: str, id_col: str):
-    """Per class an expression for the expected draw weight of a known row, scaled to mean about 1."""
+    """Per class an expression for the expected draw weight of a known cell, scaled to mean about 1.
+
+    A draw takes a whole row, so each known class of a row has the row's weight: the sum over all its strata.
+    """
     sizes = strata_sizes(labels, classes, id_col)
-    shares = stratum_shares(sizes, mode)
     total = sum(n for *_, n in sizes)
-    lookup = {(c, v): p / n * total for (c, v, n), p in zip(sizes, shares)}
-    out = {}
-    for c in classes:
-        out[c] = F.when(F.col(c) == 1, F.lit(lookup.get((c, 1.0), 0.0))).when(F.col(c) == 0, F.lit(lookup.get((c, 0.0), 0.0)))
-    return out, {c: sum(n for d, _, n in sizes if d == c) for c in classes}
+    parts = [F.when(F.col(c) == v, F.lit(p / n * total)).otherwise(0.0) for (c, v, n), p in zip(sizes, stratum_shares(sizes, mode))]
+    row = sum(parts, F.lit(0.0))
+    return {c: F.when(F.col(c).isin(0, 1), row) for c in classes}, {c: sum(n for d, _, n in sizes if d == c) for c in classes}
 
 
 def train_heads(vectors: DataFrame, labels: DataFrame, classes=None, loss: str = "bce", mode: str = "class",
@@ -119,9 +120,11 @@ def _loss_and_slope(kind: str, p, y, w, opts):
 
 
 def descend(data: DataFrame, classes, kind: str, opts: dict, steps: int, learning_rate: float, weight_decay: float,
-            vec: str = "embedding", normalize: bool = False) -> LinearHeads:
+            vec: str = "embedding", normalize: bool = False, divisor: float | None = None) -> LinearHeads:
     """Full-batch Adam steps on a linear head. `data` holds the vector, targets <class> and weights _w_<class>.
 
+    The summed loss is divided by the sum of the weights, or by `divisor`, before the penalty is added.
+
     Each step is one job: a task adds its rows up to one vector per class (gradient, then loss), the vectors are summed by a
     shuffle, and only the C sums come back.
     """
@@ -131,6 +134,7 @@ def descend(data: DataFrame, classes, kind: str, opts: dict, steps: int, learnin
                                  for c in classes]).alias("w")).persist()
     try:
         dim, total = rows.agg(F.max(F.size("x")), F.sum(F.aggregate("w", F.lit(0.0), lambda a, b: a + b))).first()
+        total = divisor or total
         n_cls = len(classes)
         theta = np.zeros((dim + 1, n_cls))
         m, v, history = np.zeros_like(theta), np.zeros_like(theta), []
@@ -184,9 +188,12 @@ def predict_mlp(models: dict, vectors: DataFrame, id_col: str = ID, vec: str = "
 
 def linear_probe(df: DataFrame, label: str = "label", is_test=None, id_col: str = ID, vec: str = "embedding",
                  max_iter: int = 50, reg: float = 1e-4) -> tuple[DataFrame, DataFrame]:
-    """Every third row is test; standardise on train, multinomial classifier: (accuracy table, confusion matrix)."""
-    test = is_test if is_test is not None else F.pmod(F.col(id_col), F.lit(3)) == 0
-    rows = df.where(F.col(label).isNotNull()).withColumn("_test", test)
+    """Every third row in the order of ids is test; standardise on train, multinomial classifier: (accuracy table, confusion
+    matrix)."""
+    rows = df.where(F.col(label).isNotNull())
+    if is_test is None:
+        rows = rows.join(ordered_index(rows.select(id_col), [id_col], out="_no"), id_col)
+    rows = rows.withColumn("_test", is_test if is_test is not None else F.col("_no") % 3 == 0)
     scaled = standardize(rows, rows.where(~F.col("_test")), vec)
     data = scaled.select(id_col, "_test", F.col(label).cast("double").alias("y"),
                          array_to_vector(as_double(vec)).alias("features")).persist()
@@ -229,7 +236,7 @@ def self_train(labels: DataFrame, weak: DataFrame, strong: DataFrame, tau: float
             vec, *[F.col(f"y_{c}").alias(c) for c in classes], *[(F.col(f"mask_{c}") * scale).alias(f"_w_{c}") for c in classes])
         share = pseudo.agg(F.avg(sum([F.col(f"mask_{c}") for c in classes[1:]], F.col(f"mask_{classes[0]}"))
                                  / len(classes))).first()[0]
-        head = descend(known.unionByName(extra), classes, "soft", {}, steps, learning_rate, weight_decay, vec)
+        head = descend(known.unionByName(extra), classes, "soft", {}, steps, learning_rate, weight_decay, vec, divisor=cells)
         report.append({"round": r, "mask_fraction": share, "loss": head.loss[-1]})
     return head, report
 
