@@ -18,7 +18,7 @@ def spark():
 
 @pytest.fixture(scope="session")
 def frame(spark):
-    """Five rows: a has no label, b and c have both, d and e have one."""
+    """Fixed input, so that filters can be compared by eye: a has no label, b and c have both, d and e have one."""
     rows = [(0, "a.jpg", True, False, "0", None, None), (1, "b.jpg", False, False, "0", 1.0, 0.0),
             (2, "c.jpg", False, False, "1", 0.0, 1.0), (3, "d.jpg", False, False, "1", 1.0, None),
             (4, "e.jpg", False, False, "1", 1.0, None)]

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -131,14 +133,16 @@ def views_of(spark, z1, z2, size):
     return spark.createDataFrame(rows, "batch_id long, pair_id long, z1 array<double>, z2 array<double>")
 
 
-def brute_contrast(z1, z2, temp, eps=0.0):
-    n = len(z1)
-    z = np.concatenate([z1, z2])
-    s = z @ z.T
-    mask = 1 - np.eye(2 * n) - np.eye(2 * n, k=n) - np.eye(2 * n, k=-n)
-    pos = (np.concatenate([(z1 * z2).sum(1)] * 2) - eps) / temp
-    neg = mask * np.exp((s + eps) / temp)
-    return -np.log(np.exp(pos) / (np.exp(pos) + neg.sum(1)) + 1e-8).mean(), (np.exp(pos) > neg.max(1)).mean()
+def brute_contrast(z1, z2, temp):
+    """Loss and accuracy anchor by anchor: its partner against the views of all other items, in plain numbers."""
+    losses, wins = [], []
+    for own, across in ((z1, z2), (z2, z1)):
+        for i, anchor in enumerate(own):
+            partner = math.exp(float(anchor @ across[i]) / temp)
+            others = [math.exp(float(anchor @ side[j]) / temp) for side in (z1, z2) for j in range(len(z1)) if j != i]
+            losses.append(-math.log(partner / (partner + sum(others)) + 1e-8))
+            wins.append(partner > max(others))
+    return sum(losses) / len(losses), sum(wins) / len(wins)
 
 
 @pytest.mark.parametrize("block_rows", [1000, 5])
