@@ -2,23 +2,27 @@
 
 1. Texts become templates: numbers, names (capitalised words inside a sentence) and units after a number turn into typed
    placeholders; the rest is lower-cased and loses its punctuation. A question with other numbers and names keeps its template.
-2. Windows of `WINDOW` template words of the benchmark meet every `STRIDE`-th window of the documents by hash.
+2. Windows of `WINDOW` template words of the benchmark meet all windows of the documents by hash. Windows of fewer than
+   `LITERAL` literal words would meet everywhere by their templates; they meet by their own words instead. An item of fewer
+   than WINDOW words is one window of its own length.
 3. Every (document, item, shift) that meets is checked word by word. A shift counts if its slots agree: one name always
    stands for one name and back, one number or unit always for one.
 4. A document is contaminated by an item if consistent windows cover enough of the item's words.
 
-A run of WINDOW + STRIDE - 1 equal template words is always found. Windows with fewer than half their words literal start no
-search, as they would meet everywhere, but count in the check.
+So every item can start a search: a run of WINDOW equal template words is found if it has a window with LITERAL literal
+words, or one with unchanged slots. All windows count in the check.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.llm.common import Scratch
 
-WINDOW, STRIDE = 8, 2
+WINDOW, LITERAL = 8, 4
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 # Units that may follow a number.
 UNITS = ("percent dollars euros pounds cents kg g mg lb km m cm mm miles feet inches hours hour minutes minute seconds "
@@ -44,14 +48,27 @@ def split_words(text: Column) -> Column:
     return F.split(text, r"\s+")
 
 
-def window_hashes(texts: DataFrame, step: int) -> DataFrame:
-    """Adds `windows`, the hashes of every step-th window of the column `template`."""
-    codes = F.transform("template", lambda w: F.when(F.ascii(w) > 3, F.xxhash64(w)).otherwise(F.ascii(w).cast("long")))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("codes") - WINDOW, F.lit(0)), F.lit(step))
-    # `codes` is a column of its own, as each window reads it WINDOW times; readers explode `windows` with the outer form,
+def window_hashes(texts: DataFrame, widths: list[int]) -> DataFrame:
+    """Adds `windows`, one hash per word and width of the window that begins there (cut at the end), width after width.
+
+    Hashes are of the template words, or of the words without marks in windows of fewer than LITERAL literal words.
+    """
+    # A number may stand inside a word, as in `x(5`; the word is literal and the number not part of its code.
+    codes = F.transform("words", lambda w: F.when(F.ascii(w) > 3, F.xxhash64(F.substring_index(w, NUMBER, 1)))
+                        .otherwise(F.ascii(w).cast("long")))
+    slots = F.transform("codes", lambda c: c.between(0, 3))
+
+    def hashes(width: int) -> Column:
+        def key(i: Column) -> Column:
+            part = F.translate(F.array_join(F.slice("words", i + 1, width), " "), NAME + NUMBER + UNIT, "")
+            literal = F.size(F.array_remove(F.slice("slots", i + 1, width), True))
+            return F.when(literal >= LITERAL, F.xxhash64(F.slice("codes", i + 1, width))).otherwise(F.xxhash64(part))
+        return F.transform(F.sequence(F.lit(0), F.size("words") - 1), key)
+
+    # `codes` and `slots` are columns of their own, as each window reads them; readers explode `windows` with the outer form,
     # for which no filter on the expression is inferred and pushed below, where it would be evaluated anew per window.
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get("codes", i + j) for j in range(WINDOW)]))
-    return (texts.where(F.size("template") >= WINDOW).withColumn("codes", codes).withColumn("windows", hashes).drop("codes"))
+    return (texts.withColumn("codes", codes).withColumn("slots", slots)
+            .withColumn("windows", F.concat(*map(hashes, widths))).drop("codes", "slots"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6, id_col: str = "doc_id", text_col: str = "text",
@@ -61,7 +78,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6, i
     `covered` of the item's `n_words` template words lie in consistent windows (of the best shift's copies together), at
     least `coverage` of them; n_slots counts slots there and `changed` tells whether any has another value than in the item.
 
-    Null texts and ids, on either side, take no part. Items of fewer than WINDOW template words match nothing. Rows that
+    Null texts and ids, on either side, take no part, nor do items without words. Rows that
     repeat a doc_id or an item_id give one result, the larger. Other columns are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
@@ -69,22 +86,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6, i
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(
         "doc_id IS NOT NULL AND text IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
     items = (benchmark.select(F.col(item_col).cast("long").alias("item_id"), annotated(F.col(item_text_col)).alias("marked"))
-             .where("item_id IS NOT NULL AND marked IS NOT NULL").distinct()
+             .where("item_id IS NOT NULL AND marked <> ''").distinct()
              .select("item_id", F.xxhash64("marked").alias("item_key"), split_words("marked").alias("item_words"),
                      split_words(template(F.col("marked"))).alias("item_template")))
-    items = scratch.write(items.where(F.size("item_words") >= WINDOW), "items")
-
-    literal = F.transform("item_template", lambda w: F.when(F.ascii(w) > 3, 1).otherwise(0))
-    rich = F.aggregate(F.slice("literal", F.col("j") + 1, WINDOW), F.lit(0), lambda s, x: s + x) * 2 >= WINDOW
-    wanted = (window_hashes(items.select("item_id", "item_key", literal.alias("literal"), F.col("item_template").alias("template")), 1)
-              .select("item_id", "item_key", "literal", F.posexplode_outer("windows").alias("j", "h")).where(rich).select("h", "item_id", "item_key", "j"))
-    wanted = scratch.write(wanted, "wanted")
+    items = scratch.write(items, "items")
+
+    width = F.least(F.size("item_words"), F.lit(WINDOW))
+    # At most WINDOW widths.
+    widths = sorted(r[0] for r in items.select(width).distinct().collect()) or [WINDOW]
+    asks = [window_hashes(items.where(width == w).select("item_id", "item_key", F.col("item_words").alias("words")), [w])
+            .select("item_id", "item_key", F.size("words").alias("n"), F.lit(w).alias("w"), F.posexplode_outer("windows").alias("j", "h"))
+            .where("j <= n - w").select("h", "item_id", "item_key", "j") for w in widths]
+    wanted = scratch.write(reduce(DataFrame.unionByName, asks), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
 
-    templates = rows.select("doc_id", "text_key", split_words(template(annotated(F.col("text")))).alias("template"))
-    held = window_hashes(templates, STRIDE).select("doc_id", "text_key", F.posexplode_outer("windows").alias("p", "h"))
+    marked = rows.select("doc_id", "text_key", split_words(annotated(F.col("text"))).alias("words"))
+    held = window_hashes(marked, widths).select("doc_id", "text_key", F.size("words").alias("n"), F.posexplode_outer("windows").alias("p", "h"))
     met = held.join(F.broadcast(wanted) if few else wanted, "h")
-    shifts = scratch.write(met.select("doc_id", "text_key", "item_id", "item_key", (F.col("p") * STRIDE - F.col("j")).alias("shift"))
+    shifts = scratch.write(met.select("doc_id", "text_key", "item_id", "item_key", (F.col("p") % F.col("n") - F.col("j")).alias("shift"))
                            .distinct(), "shifts")
 
     asked = shifts.select("doc_id", "text_key").distinct()
@@ -114,10 +133,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6, i
 def _covered() -> Column:
     """Word numbers of the item that lie in windows equal on both sides."""
     skip = F.greatest(F.col("shift"), F.lit(0)) - F.col("shift")
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("item_template") - WINDOW, F.lit(0))),
-                      lambda i: F.when(i >= skip, F.slice("template", i - skip + 1, WINDOW)
-                                       == F.slice("item_template", i + 1, WINDOW)).otherwise(False))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + WINDOW - 1))))
+    width = F.least(F.size("item_template"), F.lit(WINDOW))
+    starts = F.filter(F.sequence(F.lit(0), F.size("item_template") - width),
+                      lambda i: F.when(i >= skip, F.slice("template", i - skip + 1, width)
+                                       == F.slice("item_template", i + 1, width)).otherwise(False))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + width - 1))))
 
 
 def _single(pairs: Column, side: str) -> Column:

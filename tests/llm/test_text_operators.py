@@ -118,6 +118,19 @@ def test_templates_catch_changed_questions(spark):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_templates_find_every_kind_of_item(spark):
+    texts = {1: "12 plus 35 is 47 minus 8 is 39 plus 61 is 100", 2: "What is the capital of France", 3: "paris",
+             4: "Who Wrote The Famous Old Novel About The Great Whale", 5: "every one of these eight words is literal",
+             6: "5 kg 7 kg 9 kg", 7: "?!", 8: "", 9: "Alice met 12 men, Bob met 13 and Carol 14 there"}
+    pairs = [(10 * i + odd, "lead in. " + "more " * odd + f"here: {t} . and then some other words follow")
+             for i, t in texts.items() for odd in (0, 1) if i < 7 or i == 9]
+    pairs += [(3, "paris"), (200, "What is the capital of Spain"), (201, "5 kg 7 kg 8 kg"), (202, "What is the capital"), (203, ""), (204, "!")]
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.changed) for r in decontaminate.contaminated(documents(spark, pairs), items).collect()}
+    want = {(10 * i + odd, i, False) for i in texts for odd in (0, 1) if i < 7 or i == 9} | {(3, 3, False)}
+    assert {g for g in got if g[0] != 200} == want and {g for g in got if g[0] == 200} <= {(200, 2, True)}
+
+
 def test_best_buckets_is_optimal():
     from itertools import combinations
 
