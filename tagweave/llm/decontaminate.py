@@ -2,12 +2,14 @@
 
 1. Texts become templates: numbers, names (capitalised words inside a sentence) and units after a number turn into typed
    placeholders; the rest is lower-cased and loses its punctuation. A question with other numbers and names keeps its template.
+   A capitalised word that begins a sentence is a slot of an item if it is a name elsewhere in the item. Windows over it meet
+   those of documents with all such beginnings as names; the check accepts any beginning there.
 2. Windows of `WINDOW` template words of the benchmark meet all windows of the documents by hash. Windows of fewer than
    `LITERAL` literal words would meet everywhere by their templates; they meet by their own words instead. An item of fewer
    than WINDOW words is one window of its own length.
 3. Every (document, item, shift) that meets is checked word by word. A shift counts if its slots agree: one name always
    stands for one name and back, one number or unit always for one.
-4. A document is contaminated by an item if consistent windows cover enough of the item's words.
+4. A document is contaminated by an item if consistent windows cover enough of the item's words, or a run of `RUN` of them.
 
 So every item can start a search: a run of WINDOW equal template words is found if it has a window with LITERAL literal
 words, or one with unchanged slots. All windows count in the check.
@@ -22,24 +24,33 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.common import Scratch
 
-WINDOW, LITERAL = 8, 4
-NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
+WINDOW, LITERAL, RUN = 8, 4, 13
+NAME, NUMBER, UNIT, START = "\x01", "\x02", "\x03", "\x04"
 # Units that may follow a number.
 UNITS = ("percent dollars euros pounds cents kg g mg lb km m cm mm miles feet inches hours hour minutes minute seconds "
          "second days day weeks week months month years year liters litres ml degrees mph kmh watts volts").split()
 BROADCAST_ROWS = 200_000
 
 
-def annotated(text: Column) -> Column:
-    """The text with marked slots, in lower case and without punctuation. Marks stand before the slot's value."""
-    t = F.regexp_replace(text, f"[{NAME}{NUMBER}{UNIT}]", " ")
+def annotated(text: Column, starts: bool = True) -> Column:
+    """The text with marked slots, in lower case and without punctuation. Marks stand before the slot's value.
+
+    With `starts`, capitalised words that begin a sentence or a quotation have a mark, too.
+    """
+    t = F.regexp_replace(text, f"[{NAME}{NUMBER}{UNIT}{START}]", " ")
     t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)", f"{NAME}$1")
+    if starts:
+        t = F.regexp_replace(t, r"(?<!\S)([\p{Ps}\p{Pi}\"']*)(\p{Lu}\p{Ll}+)", f"$1{START}$2")
     t = F.regexp_replace(t, r"(?<![^\s(\[$€£])(\d\S*)", f"{NUMBER}$1")
     t = F.regexp_replace(t, rf"(?<=\d )({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"{UNIT}$1")
-    t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}\s{NAME}{NUMBER}{UNIT}]+", "")
+    t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}\s{NAME}{NUMBER}{UNIT}{START}]+", "")
     return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
+def plain(marked: Column) -> Column:
+    return F.translate(marked, NAME + NUMBER + UNIT + START, "")
+
+
 def template(marked: Column) -> Column:
     return F.regexp_replace(marked, rf"([{NAME}{NUMBER}{UNIT}])\S*", "$1")
 
@@ -48,27 +59,35 @@ def split_words(text: Column) -> Column:
     return F.split(text, r"\s+")
 
 
-def window_hashes(texts: DataFrame, widths: list[int]) -> DataFrame:
+def window_hashes(texts: DataFrame, widths: list[int], starts: bool) -> DataFrame:
     """Adds `windows`, one hash per word and width of the window that begins there (cut at the end), width after width.
 
-    Hashes are of the template words, or of the words without marks in windows of fewer than LITERAL literal words.
+    Hashes are of the template words, or of the words without marks in windows of fewer than LITERAL literal words. With
+    `starts` the same follows with sentence beginnings as names, null for windows without any.
     """
     # A number may stand inside a word, as in `x(5`; the word is literal and the number not part of its code.
-    codes = F.transform("words", lambda w: F.when(F.ascii(w) > 3, F.xxhash64(F.substring_index(w, NUMBER, 1)))
-                        .otherwise(F.ascii(w).cast("long")))
+    codes = F.transform("words", lambda w: F.when(F.ascii(w) > 3, F.xxhash64(F.substring_index(
+        F.translate(w, START, "") if starts else w, NUMBER, 1))).otherwise(F.ascii(w).cast("long")))
     slots = F.transform("codes", lambda c: c.between(0, 3))
+    named = F.transform("words", lambda w, i: F.when(F.ascii(w) == 4, F.lit(1).cast("long")).otherwise(F.get("codes", i)))
 
-    def hashes(width: int) -> Column:
+    def hashes(width: int, by: str) -> Column:
         def key(i: Column) -> Column:
-            part = F.translate(F.array_join(F.slice("words", i + 1, width), " "), NAME + NUMBER + UNIT, "")
-            literal = F.size(F.array_remove(F.slice("slots", i + 1, width), True))
-            return F.when(literal >= LITERAL, F.xxhash64(F.slice("codes", i + 1, width))).otherwise(F.xxhash64(part))
+            own, in_slots, h = F.xxhash64(plain(F.array_join(F.slice("words", i + 1, width), " "))), F.slice("slots", i + 1, width), \
+                F.xxhash64(F.slice(by, i + 1, width))
+            h = (F.when(~F.array_contains(in_slots, True), h)
+                 .when(F.size(F.array_remove(in_slots, True)) >= LITERAL, h).otherwise(own))
+            return F.when(F.slice("named", i + 1, width) != F.slice("codes", i + 1, width), h) if by == "named" else h
         return F.transform(F.sequence(F.lit(0), F.size("words") - 1), key)
 
-    # `codes` and `slots` are columns of their own, as each window reads them; readers explode `windows` with the outer form,
-    # for which no filter on the expression is inferred and pushed below, where it would be evaluated anew per window.
-    return (texts.withColumn("codes", codes).withColumn("slots", slots)
-            .withColumn("windows", F.concat(*map(hashes, widths))).drop("codes", "slots"))
+    # Each window reads `codes` and `slots` at two places or more, or the optimizer would put their expressions into the lambda
+    # and compute them anew per window. Readers explode `windows` with the outer form, for which no filter on the expression
+    # is inferred and pushed below.
+    texts = texts.withColumn("codes", codes).withColumn("slots", slots)
+    if starts:
+        texts = texts.withColumn("named", named)
+    kinds = ["codes", "named"] if starts else ["codes"]
+    return texts.withColumn("windows", F.concat(*[hashes(w, by) for by in kinds for w in widths])).drop("codes", "slots", "named")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6, id_col: str = "doc_id", text_col: str = "text",
@@ -76,7 +95,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6, i
     """(doc_id, item_id, covered, n_words, n_slots, changed) of every document and item that it holds.
 
     `covered` of the item's `n_words` template words lie in consistent windows (of the best shift's copies together), at
-    least `coverage` of them; n_slots counts slots there and `changed` tells whether any has another value than in the item.
+    least `coverage` of them or RUN of them in a row at one shift; n_slots counts slots there and `changed` tells whether any has another value than in the item.
 
     Null texts and ids, on either side, take no part, nor do items without words. Rows that
     repeat a doc_id or an item_id give one result, the larger. Other columns are ignored; empty tables give no rows.
@@ -87,56 +106,77 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.6, i
         "doc_id IS NOT NULL AND text IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
     items = (benchmark.select(F.col(item_col).cast("long").alias("item_id"), annotated(F.col(item_text_col)).alias("marked"))
              .where("item_id IS NOT NULL AND marked <> ''").distinct()
-             .select("item_id", F.xxhash64("marked").alias("item_key"), split_words("marked").alias("item_words"),
-                     split_words(template(F.col("marked"))).alias("item_template")))
+             .select("item_id", F.xxhash64("marked").alias("item_key"), split_words("marked").alias("item_marked"),
+                     split_words(plain(F.col("marked"))).alias("item_plain"),
+                     F.filter(split_words("marked"), lambda w: F.ascii(w) == 1).alias("names")))
+    begin = F.transform("item_marked", lambda w: F.translate(w, START, NAME))
+    opens = F.exists("item_marked", lambda w: (F.ascii(w) == 4) & F.array_contains("names", F.translate(w, START, NAME)))
+    known = F.transform("item_marked", lambda w, i: F.when(F.array_contains("names", F.get("begin", i)), F.get("begin", i))
+                        .otherwise(F.translate(w, START, "")))
+    items = (items.withColumn("begin", begin).withColumn("opens", opens).withColumn("item_words", known)
+             .withColumn("item_template", F.transform("item_words", lambda w: template(w))).drop("begin", "names"))
     items = scratch.write(items, "items")
+    starts = not items.where("opens").isEmpty()
 
     width = F.least(F.size("item_words"), F.lit(WINDOW))
+    unopened = F.transform("item_marked", lambda w: F.translate(w, START, ""))
     # At most WINDOW widths.
     widths = sorted(r[0] for r in items.select(width).distinct().collect()) or [WINDOW]
-    asks = [window_hashes(items.where(width == w).select("item_id", "item_key", F.col("item_words").alias("words")), [w])
+    asks = [window_hashes(items.where((width == w) & (F.col("opens") | F.lit(not more)))
+                          .select("item_id", "item_key", (F.col("item_marked") if more else unopened).alias("words")), [w], more)
             .select("item_id", "item_key", F.size("words").alias("n"), F.lit(w).alias("w"), F.posexplode_outer("windows").alias("j", "h"))
-            .where("j <= n - w").select("h", "item_id", "item_key", "j") for w in widths]
-    wanted = scratch.write(reduce(DataFrame.unionByName, asks), "wanted")
+            .where("h IS NOT NULL AND j % n <= n - w").selectExpr("h", "item_id", "item_key", "j % n AS j")
+            for w in widths for more in ([False, True] if starts else [False])]
+    wanted = scratch.write(reduce(DataFrame.unionByName, asks).distinct(), "wanted")
     few = wanted.count() <= BROADCAST_ROWS
 
-    marked = rows.select("doc_id", "text_key", split_words(annotated(F.col("text"))).alias("words"))
-    held = window_hashes(marked, widths).select("doc_id", "text_key", F.size("words").alias("n"), F.posexplode_outer("windows").alias("p", "h"))
+    marked = rows.select("doc_id", "text_key", split_words(annotated(F.col("text"), starts)).alias("words"))
+    held = window_hashes(marked, widths, starts).select("doc_id", "text_key", F.size("words").alias("n"), F.posexplode_outer("windows").alias("p", "h"))
     met = held.join(F.broadcast(wanted) if few else wanted, "h")
     shifts = scratch.write(met.select("doc_id", "text_key", "item_id", "item_key", (F.col("p") % F.col("n") - F.col("j")).alias("shift"))
                            .distinct(), "shifts")
 
     asked = shifts.select("doc_id", "text_key").distinct()
     texts = rows.join(asked, ["doc_id", "text_key"], "left_semi").select("doc_id", "text_key", annotated(F.col("text")).alias("marked"))
-    words = scratch.write(texts.select("doc_id", "text_key", split_words("marked").alias("words"),
-                                       split_words(template(F.col("marked"))).alias("template")).dropDuplicates(["doc_id", "text_key"]), "words")
-    place = F.greatest(F.col("shift"), F.lit(0)) + 1
+    words = scratch.write(texts.select("doc_id", "text_key", split_words(plain(F.col("marked"))).alias("words"),
+                                       split_words(template(F.translate("marked", START, ""))).alias("template"),
+                                       split_words(template(F.translate("marked", START, NAME))).alias("named"))
+                          .dropDuplicates(["doc_id", "text_key"]), "words")
     sides = (shifts.join(F.broadcast(items) if few else items, ["item_id", "item_key"]).join(words, ["doc_id", "text_key"])
-             .withColumns({c: F.slice(c, place, F.size("item_words")) for c in ("words", "template")}))
+             .withColumn("same", _same()))
     checked = sides.select("doc_id", "item_id", F.size("item_words").alias("n_words"), _covered().alias("at"),
-                           "words", "item_words", "item_template", "shift")
-    skip = F.greatest(F.col("shift"), F.lit(0)) - F.col("shift")
+                           "words", "item_words", "item_plain", "item_template", "shift")
     slots = F.transform(F.filter("at", lambda j: F.ascii(F.get("item_template", j)) <= 3),
-                        lambda j: F.struct(F.get("item_words", j).alias("a"), F.get("words", j - skip).alias("b")))
+                        lambda j: F.struct(F.get("item_words", j).alias("a"), F.get("words", j + F.col("shift")).alias("b"),
+                                           F.get("item_plain", j).alias("c")))
     checked = checked.select("doc_id", "item_id", "n_words", "at", slots.alias("slots")).where(F.size("at") > 0)
     kinds = F.col("slots")
     names = F.filter(kinds, lambda s: F.ascii(s["a"]) == 1)
     agree = _single(kinds, "a") & _single(names, "b")
-    changed = F.exists(kinds, lambda s: s["a"] != s["b"])
+    changed = F.exists(kinds, lambda s: s["c"] != s["b"])
+    # Word numbers in `at` ascend, so RUN of them in a row differ by RUN - 1 from first to last.
+    run = F.exists(F.transform("at", lambda j, k: F.coalesce(F.get("at", k + RUN - 1) == j + RUN - 1, F.lit(False))), lambda x: x)
     together = checked.where(agree).groupBy("doc_id", "item_id").agg(
         F.max("n_words").alias("n_words"), F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("covered"),
-        F.max(F.size("slots")).alias("n_slots"), F.max(changed).alias("changed"))
-    return together.where(F.col("covered") >= F.ceil(F.col("n_words") * coverage)).select(
+        F.max(F.size("slots")).alias("n_slots"), F.max(changed).alias("changed"), F.max(run).alias("run"))
+    return together.where((F.col("covered") >= F.ceil(F.col("n_words") * coverage)) | F.col("run")).select(
         "doc_id", "item_id", "covered", "n_words", "n_slots", "changed")
 
 
+def _same() -> Column:
+    """Per word of the item whether the document has its template word there, a name for a name, or the very word."""
+    def equal(t: Column, i: Column) -> Column:
+        at = i + F.col("shift")
+        return ((F.get("template", at) == t) | (F.get("words", at) == F.get("item_plain", i))
+                | ((t == NAME) & (F.get("named", at) == NAME)))
+    return F.transform("item_template", lambda t, i: F.coalesce(equal(t, i), F.lit(False)))
+
+
 def _covered() -> Column:
-    """Word numbers of the item that lie in windows equal on both sides."""
-    skip = F.greatest(F.col("shift"), F.lit(0)) - F.col("shift")
-    width = F.least(F.size("item_template"), F.lit(WINDOW))
-    starts = F.filter(F.sequence(F.lit(0), F.size("item_template") - width),
-                      lambda i: F.when(i >= skip, F.slice("template", i - skip + 1, width)
-                                       == F.slice("item_template", i + 1, width)).otherwise(False))
+    """Word numbers of the item, ascending, that lie in windows equal on both sides."""
+    width = F.least(F.size("same"), F.lit(WINDOW))
+    starts = F.filter(F.sequence(F.lit(0), F.size("same") - width),
+                      lambda i: ~F.array_contains(F.slice("same", i + 1, width), False))
     return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + width - 1))))
 
 

@@ -1,6 +1,7 @@
 """Operators on texts against plain brute force, on rows with nulls, blanks, copies, ties and clashing columns."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -131,6 +132,20 @@ def test_templates_find_every_kind_of_item(spark):
     assert {g for g in got if g[0] != 200} == want and {g for g in got if g[0] == 200} <= {(200, 2, True)}
 
 
+def test_templates_find_excerpts_and_names_that_begin_sentences(spark):
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(59))
+    told = ("Alice has 5 apples. Every day Alice eats 2. Alice buys 3 more and gives Bob 1. Bob eats it. How many "
+            "apples does Alice have after 4 days? Then Carol came.")
+    other = told.replace("Alice", "Dora").replace("Bob", "Emil").replace("5", "9").replace("Carol", "Zoe")
+    torn = other.replace("Dora buys", "Fritz buys")
+    pairs = [(1, "x y. " + " ".join(long.split()[10:40]) + " and so on"), (2, "x y. " + " ".join(long.split()[10:22]) + " and so on"),
+             (3, f"Read this. {other} Then go."), (4, f"read this {told.lower()}"), (5, torn), (6, f"so read {other}")]
+    items = spark.createDataFrame([(1, long), (2, told)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.changed) for r in decontaminate.contaminated(documents(spark, pairs), items).collect()}
+    assert got == {(1, 1, False), (3, 2, True), (4, 2, False), (6, 2, True)}
+
+
 def test_best_buckets_is_optimal():
     from itertools import combinations
 
