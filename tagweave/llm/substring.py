@@ -11,7 +11,9 @@
 4. Windows whose first document is smaller than their own document are removed, in maximal spans.
 
 The automata are sent to the documents that share a seed with them and not to every task: the reference here is the
-corpus itself, whose size has no bound. A shard holds about `SHARD_SEEDS` seed occurrences, at most.
+corpus itself, whose size has no bound. A shard holds about `SHARD_SEEDS` seed occurrences. A seed in more documents is
+split by the hash of the whole window: its shards hold about SHARD_SEEDS distinct windows, if the documents have one run
+of windows with that seed each (a seed that recurs in a document counts once).
 """
 
 from __future__ import annotations
@@ -145,8 +147,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     seeds = scratch.write(known.select("doc_id", "text").mapInArrow(_seeds(window), "seed long, doc_id long"), "seeds")
-    shared = (seeds.groupBy("seed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-              .where("first < last").select("seed", "first"))
+    shared = (seeds.groupBy("seed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+              .where("first < last").select("seed", "first", _window_parts(window).alias("window_parts")))
     hits = scratch.write(seeds.join(shared, "seed"), "hits")
     scratch.drop("seeds")
 
@@ -155,9 +157,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     large = scratch.write(load.where("parts > 1"), "large")
     shard = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("first"), F.lit(n_shards))) \
         .otherwise(n_shards + F.shiftrightunsigned(F.xxhash64("first", F.pmod(F.xxhash64("seed"), F.col("parts"))), 2))
-    by_doc = (hits.join(large, "first", "left").select("doc_id", F.struct("seed", shard.cast("long").alias("shard")).alias("s"))
+    by_doc = (hits.join(large, "first", "left").select("doc_id", F.struct("seed", shard.cast("long").alias("shard"), "window_parts").alias("s"))
               .groupBy("doc_id").agg(F.collect_list("s").alias("s"))
-              .select("doc_id", F.col("s.seed").alias("seeds"), F.col("s.shard").alias("shards")))
+              .select("doc_id", F.col("s.seed").alias("seeds"), F.col("s.shard").alias("shards"), F.col("s.window_parts").alias("parts")))
     segments = scratch.write(known.join(by_doc, "doc_id").mapInArrow(
         _segments(window), "shard long, content long, doc_id long, text_key long, start long, words binary"),
         "segments", "zstd")
@@ -199,6 +201,12 @@ def _seeds(window: int):
     return run
 
 
+def _window_parts(window: int):
+    """Parts of a seed of `n` documents, 1 up to SHARD_SEEDS of them. Neighbouring windows of a document share a seed."""
+    windows = F.col("n") * (window - SEED_WORDS + 1)
+    return F.when(F.col("n") > SHARD_SEEDS, F.ceil(windows / SHARD_SEEDS)).otherwise(1).cast("int")
+
+
 def _segments(window: int):
     schema = pa.schema([("shard", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()),
                         ("start", pa.int64()), ("words", pa.binary())])
@@ -206,15 +214,21 @@ def _segments(window: int):
     def rows(batches):
         cache = Cache(xxhash.xxh3_64_digest)
         for batch in batches:
-            for doc, key, text, seeds, shards in zip(*(batch.column(n) for n in ("doc_id", "text_key", "text", "seeds", "shards"))):
+            for doc, key, text, seeds, shards, parts in zip(
+                    *(batch.column(n) for n in ("doc_id", "text_key", "text", "seeds", "shards", "parts"))):
                 codes = word_codes(cache, text.as_py())
                 own = window_seeds(codes, window)
                 if not len(own):
                     continue
-                seeds, shards = seeds.values.to_numpy(), shards.values.to_numpy()
+                seeds, shards, parts = (x.values.to_numpy() for x in (seeds, shards, parts))
                 order = np.argsort(seeds)
                 at = np.minimum(np.searchsorted(seeds, own, sorter=order), len(seeds) - 1)
                 shard = np.where(seeds[order[at]] == own, shards[order[at]], -1)
+                n = np.where(shard >= 0, parts[order[at]], 1)
+                if (n > 1).any():
+                    part = runs_of(codes, window) % n.astype(np.uint64)
+                    split = (((shard.view(np.uint64) + part * _MIX) * _MIX) >> np.uint64(2)).view(np.int64)
+                    shard = np.where(n > 1, split, shard)
                 cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
                 for lo, hi in zip(cuts, np.r_[cuts[1:], len(shard)]):
                     if shard[lo] >= 0:

@@ -32,6 +32,30 @@ def test_passages(spark, messy):
     assert got == want
 
 
+def test_passages_with_hot_seeds(spark, messy, monkeypatch):
+    monkeypatch.setattr(substring, "SHARD_SEEDS", 3)
+    test_passages(spark, messy)
+
+
+def test_hot_seed_is_split_by_window():
+    cache = substring.Cache(substring.xxhash.xxh3_64_digest)
+    # A phrase of small hash, so that it is the seed of most windows over it.
+    h, phrase = min((int(substring.runs_of(substring.word_codes(cache, f"five words all share {i}".encode()), 5)[0]),
+                     f"five words all share {i}".split()) for i in range(500))
+    shared = int(np.uint64(h).view(np.int64))
+    texts = [" ".join([f"a{i}x{j}" for j in range(8)] + phrase + [f"b{i}x{j}" for j in range(8)]) for i in range(60)]
+    rows = [{"doc_id": d, "text_key": d, "text": t.encode(), "seeds": [shared], "shards": [7], "parts": [4]}
+            for d, t in enumerate(texts + texts[:5])]
+    batch = substring.pa.RecordBatch.from_pylist(rows)
+    place = defaultdict(set)
+    for part in substring._segments(13)([batch]):
+        for r in part.to_pylist():
+            w = r["words"]
+            for j in range(len(w) // 8 - 12):
+                place[w[8 * j:8 * j + 104]].add(r["shard"])
+    assert all(len(s) == 1 for s in place.values()) and len(set.union(*place.values())) == 4
+
+
 def test_automaton_finds_first_documents():
     rng = np.random.default_rng(1)
     for window in (1, 3, 5):
