@@ -74,6 +74,17 @@ def judge(w: np.ndarray, b: float, cache: Cache, text: str | None) -> tuple[floa
     return -math.expm1(-miss), z
 
 
+def offending(z: list[float], p: float, threshold: float) -> list[tuple[float, int]]:
+    """(minus logit, number) of the sentences to blame in a document of score p, the highest logits first."""
+    bad, miss = [], 0.0
+    for x, i in sorted((-x, i) for i, x in enumerate(z)):
+        if x > 0 and (p < threshold or -math.expm1(-miss) >= threshold):
+            break
+        bad.append((x, i))
+        miss += math.log1p(math.exp(-x)) if x > -30 else -x
+    return bad
+
+
 def bounded_sample(labelled: DataFrame, max_docs: int) -> tuple[DataFrame, dict[int, float]]:
     """About max_docs (id, toxic), up to half of them toxic, chosen by a hash of the id; and the weight of a row of each class."""
     n = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
@@ -84,10 +95,11 @@ def bounded_sample(labelled: DataFrame, max_docs: int) -> tuple[DataFrame, dict[
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_docs: int = 4000, threshold: float = 0.7,
-          worst: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+          worst: int | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Toxicity of every row of `docs`: doc_id, score (0 to 1), predicted (1 from `threshold` on) and offending.
 
-    `offending` lists up to `worst` sentences (number, logit), the highest first, whose own score is 0.5 or more.
+    `offending` lists all sentences (number, logit), the highest first, whose own score is 0.5 or more, and in a predicted
+    document as many of the next as carry it over the threshold. `worst` cuts the list.
     Learned from at most about `max_docs` labelled documents that `learn` (a condition on the id column) admits.
 
     Null and empty texts have no sentences: score 0. Null labels or ids teach nothing; a document labelled twice has the
@@ -131,7 +143,7 @@ def _fit_rows(chosen: pa.Table, class_weight: dict[int, float]) -> tuple[np.ndar
     return w.astype(np.float32), b
 
 
-def _score(w: np.ndarray, b: float, threshold: float, worst: int):
+def _score(w: np.ndarray, b: float, threshold: float, worst: int | None):
     offence = pa.struct([("sentence", pa.int32()), ("logit", pa.float64())])
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("offending", pa.list_(offence))])
 
@@ -140,7 +152,7 @@ def _score(w: np.ndarray, b: float, threshold: float, worst: int):
         for batch in batches:
             for doc, text in zip(batch.column("doc_id"), batch.column("text")):
                 p, z = judge(w, b, cache, text.as_py())
-                bad = sorted((-x, i) for i, x in enumerate(z) if x >= 0)[:worst]
+                bad = offending(z, p, threshold)[:worst]
                 yield doc.as_py(), p, int(p >= threshold), [{"sentence": i, "logit": -x} for x, i in bad]
             cache.trim()
 

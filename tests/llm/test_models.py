@@ -130,6 +130,14 @@ def test_toxicity_learns_and_locates(spark):
     assert none.where("predicted = 1").count() == 0
 
 
+def test_all_offending_sentences():
+    assert [i for _, i in toxicity.offending([-9.0] + [2.0] * 10, 1.0, 0.7)] == list(range(1, 11))
+    weak = [-0.5, -9.0, -0.4, -0.6, -8.0]
+    p = 1 - np.prod([1 / (1 + np.exp(x)) for x in weak])
+    assert p >= 0.7 and [i for _, i in toxicity.offending(weak, p, 0.7)] == [2, 0, 3]
+    assert toxicity.offending([-0.5, -9.0], 0.38, 0.7) == [] == toxicity.offending([], 0.0, 0.7)
+
+
 def test_quality_separates_junk(spark):
     rng = random.Random(5)
     pairs = [(i, _talk(rng, EN, 60)) for i in range(150)]
