@@ -175,9 +175,10 @@ def identify(docs: DataFrame, model: Model, penalty: float = 24.0, id_col: str =
                                                       "spans array<struct<lang:string,first:int,after:int>>")
 
 
-def keep_known(docs: DataFrame, model: Model, min_score: float, penalty: float = 24.0, text_col: str = "text",
+def keep_known(docs: DataFrame, model: Model, min_score: float = 0.0, penalty: float = 24.0, text_col: str = "text",
                lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs` with a language of at least `min_score`; a null language is filled with the one found.
+    """The rows of `docs` with a language of at least `min_score`, which is a share of words and no confidence: by default
+    documents of several languages stay. A null language is filled with the one found.
 
     Rows pass through one scan with all their columns. Null texts and texts without letters go.
     """

@@ -138,6 +138,19 @@ def test_all_offending_sentences():
     assert toxicity.offending([-0.5, -9.0], 0.38, 0.7) == [] == toxicity.offending([], 0.0, 0.7)
 
 
+def test_clean_mixed_document_stays(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    third = "kaksi yksi kolme talo vesi metsä järvi kala lintu puu".split()
+    learn = [(i, _talk(rng, (EN, FR, third)[i % 3], 30)) for i in range(90)] + [
+        (100, " ".join([_talk(rng, EN, 45), _talk(rng, FR, 35), _talk(rng, third, 20)])), (101, "12 34"), (102, None)]
+    lang = F.when(F.col("doc_id") < 90, F.element_at(F.array(F.lit("en"), F.lit("fr"), F.lit("fi")), (F.col("doc_id") % 3 + 1).cast("int")))
+    docs = documents(spark, learn).withColumn("lang", lang)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert kept == set(range(90)) | {100}
+
+
 def test_quality_separates_junk(spark):
     rng = random.Random(5)
     pairs = [(i, _talk(rng, EN, 60)) for i in range(150)]
