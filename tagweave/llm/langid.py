@@ -148,13 +148,28 @@ def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
     return np.array(path[::-1])
 
 
+def quotas(n: dict[str, int], total: int) -> dict[str, float]:
+    """Rows to take of each language, all of the small ones and equal parts of the others, `total` at most."""
+    out, left = {}, total
+    for done, lang in enumerate(sorted(n, key=lambda x: (n[x], x))):
+        out[lang] = min(float(n[lang]), left / (len(n) - done))
+        left -= out[lang]
+    return out
+
+
 def fit(docs: DataFrame, learn: Column | None = None, max_docs: int = 20_000, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang") -> Model:
-    """Learn from at most about `max_docs` rows with text and language that `learn` admits, chosen by a hash of the id."""
-    able = docs.where(F.col(lang_col).isNotNull() & (F.lit(True) if learn is None else learn))
-    share = min(1.0, max_docs / max(1, able.count()))
+    """Learn from at most about `max_docs` rows with text and language that `learn` admits, chosen by a hash of the id.
+
+    Languages have equal parts of max_docs, and what one does not need goes to the others. Scores are by language, so the
+    parts need no weights.
+    """
+    able = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if learn is None else learn))
+    n = {r[0]: r["count"] for r in able.groupBy(lang_col).count().collect()}
+    shares = [(lang, quota / n[lang]) for lang, quota in quotas(n, max_docs).items()]
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares for x in pair]), F.col(lang_col)) if shares else F.lit(0.0)
     u = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30)
-    rows = able.where((u < share) & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = able.where(u < share).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counted = rows.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counted.column("lang").to_pylist()))
     counts = np.zeros((len(langs), GRAMS + len(NAMES)))

@@ -151,6 +151,15 @@ def test_clean_mixed_document_stays(spark):
     assert kept == set(range(90)) | {100}
 
 
+def test_rare_language_is_learned(spark):
+    rng = random.Random(9)
+    rows = documents(spark, [(i, _talk(rng, FR if i < 8 else EN, 12)) for i in range(4000)]).withColumn(
+        "lang", F.when(F.col("doc_id") < 8, "fr").otherwise("en"))
+    assert langid.fit(rows, max_docs=40).langs == ["en", "fr"]
+    assert langid.quotas({"a": 8, "b": 4000, "c": 3000}, 40) == {"a": 8, "b": 16, "c": 16}
+    assert langid.quotas({"a": 8, "b": 4}, 40) == {"a": 8, "b": 4}
+
+
 def test_quality_separates_junk(spark):
     rng = random.Random(5)
     pairs = [(i, _talk(rng, EN, 60)) for i in range(150)]
