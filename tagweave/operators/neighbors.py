@@ -229,16 +229,27 @@ def _search(items: DataFrame, n: int, k: int, block_rows: int) -> DataFrame:
     return cut_lineage(edges.unionByName(others))
 
 
-def knn_graph_lsh(df: DataFrame, k: int = 10, max_distance: float = 1.0, id_col: str = ID, vec: str = "embedding",
+def knn_graph_lsh(df: DataFrame, k: int = 10, max_distance: float | None = None, id_col: str = ID, vec: str = "embedding",
                   bucket_length: float = 0.5, tables: int = 6, seed: int = 7) -> DataFrame:
-    """Approximate graph by random-projection hashing of unit vectors; opt-in where recall below 1 is fine."""
+    """Approximate graph by random-projection hashing of unit vectors; opt-in where recall below 1 is fine.
+
+    Rows for which the hashes find fewer than k are searched exactly, so every row has k neighbours if there are as many.
+    With `max_distance` (between unit vectors) farther pairs are left out, and rows have fewer.
+    """
     data = df.select(F.col(id_col).cast("long").alias("id"), array_to_vector(l2_normalize(vec)).alias("x"))
     model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=bucket_length, numHashTables=tables,
                                         seed=seed).fit(data)
-    pairs = model.approxSimilarityJoin(data, data, max_distance, "gap").select(
+    pairs = model.approxSimilarityJoin(data, data, float("inf") if max_distance is None else max_distance, "gap").select(
         F.col("datasetA.id").alias("src"), F.col("datasetB.id").alias("dst"),
         (F.col("gap") * F.col("gap") / 2.0).alias("dist"))
-    return best_k(pairs.where(F.col("src") != F.col("dst")), k)
+    found = best_k(pairs.where(F.col("src") != F.col("dst")), k)
+    if max_distance is not None:
+        return found
+    found = cut_lineage(found)
+    full = found.where(F.col("rank") == k).select(F.col("src").alias(id_col))
+    short = df.join(full, id_col, "left_anti")
+    exact = knn_query(short, df, k, "cosine", id_col, vec, exclude_self=True)
+    return found.join(full.withColumnRenamed(id_col, "src"), "src", "left_semi").select("src", "dst", "dist", "rank").unionByName(exact)
 
 
 def nearest_in_queue(z: DataFrame, queue: DataFrame, id_col: str = ID, vec: str = "embedding") -> DataFrame:

@@ -65,6 +65,14 @@ def test_lsh_recall_on_planted(spark):
     assert np.mean([len(set(got.get(i, [])) & set(want[i])) / 5 for i in range(160)]) > 0.8
 
 
+def test_lsh_gives_k_neighbours_of_spread_vectors(spark):
+    x = np.random.default_rng(6).normal(size=(60, 48))
+    got = neighbours(neighbors.knn_graph_lsh(frame_of(spark, x), 5, tables=1))
+    assert all(len(set(got.get(i, [])) - {i}) == 5 for i in range(60))
+    near = neighbors.knn_graph_lsh(frame_of(spark, x), 5, 0.5, tables=1)
+    assert near.count() == 0
+
+
 def test_queue_returns_own_row(spark, cloud):
     x, _ = cloud
     df = frame_of(spark, unit(x))
