@@ -26,10 +26,6 @@ def frame(spark):
                                        "class1 double, class2 double")
 
 
-def ids(df, col="item_id"):
-    return sorted(r[col] for r in df.select(col).collect())
-
-
 @pytest.fixture(scope="session")
 def half(spark):
     """100 rows, the first 50 have foo=1, bar is unknown; scores foo = id/99, bar = 1."""

@@ -1,5 +1,5 @@
 import pytest
-from conftest import ids
+from row_helpers import ids
 from pyspark.sql import functions as F
 
 from tagweave.operators import edits, encode, filters

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import ids
+from row_helpers import ids
 from pyspark.sql import functions as F
 
 from tagweave.functions.scoring import shannon_entropy
