@@ -1,11 +1,7 @@
-import os
 import random
-import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
 WORDS = [a + b for a in ("ba", "ko", "mi", "tu", "re", "sa", "no", "li") for b in ("n", "r", "st", "la", "vi", "do")]
 
 
