@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import decontaminate, langid, linejoin, nearest, neardup, packing, quality, slots, substring, toxicity
+from tagweave.llm import decontaminate, langid, lexical, linejoin, nearest, neardup, packing, partcodes, quality, slots, substring, toxicity
+from tagweave.llm import sql
 from tagweave.llm.registry import register, table
 from tagweave.session import scratch_path
 
@@ -69,3 +70,14 @@ def op1_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op3_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register(sql.PART_CODES)
+def op12_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = partcodes.encode_parts(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(partcodes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+@register(sql.RANKED_DOCUMENTS)
+def op13_ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
