@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm import decontaminate, langid, lexical, linejoin, nearest, neardup, packing, partcodes, quality, slots, substring, toxicity
-from tagweave.llm import sql
+from tagweave.llm import decontaminate, langid, lexical, linejoin, nearest, neardup, packing, partcodes, quality, slots, sql, substring, tilejoin, toxicity
 from tagweave.llm.registry import register, table
 from tagweave.session import scratch_path
 
@@ -72,6 +71,11 @@ def op3_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@register(sql.JACCARD_COMPONENTS)
+def op11_jaccard_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tilejoin.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 @register(sql.PART_CODES)
 def op12_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, books = partcodes.encode_parts(table(spark, sf_dir, "embeddings"))

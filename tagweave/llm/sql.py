@@ -59,3 +59,26 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
 WHERE rank <= 10
 """
+
+
+def _components(k: int, percent: int = 80, more: str = "") -> str:
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format('coalesce(text, chr(32))')}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest([array_to_string(w[i : i + {k - 1}], ' ') for i in range(1, greatest(len(w) - {k - 1}, 1) + 1)]) AS s
+  FROM w WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (
+  SELECT u, v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM s a JOIN s b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2)
+  JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * common >= {percent} * (x.n + y.n - common)),
+reach(doc_id, low) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.v, reach.low FROM reach JOIN l ON l.u = reach.doc_id WHERE reach.low < l.v),
+c AS (SELECT doc_id, min(low) AS component_id FROM reach GROUP BY doc_id),
+m AS (SELECT u AS doc_id, count(*) AS n_links FROM l GROUP BY u)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id{more}
+FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
+JACCARD_COMPONENTS = _components(5, more=", coalesce(n_links, 0) AS n_links")
+SHINGLE_COMPONENTS = _components(2, more=", doc_id = component_id AS kept")
