@@ -2,19 +2,20 @@
 
 1. Documents with equal shingle sets are one class; the member with the smallest doc_id stands for it.
 2. Which classes can meet: all shingles have one global order, those common in the corpus last. Two sets that link share a
-   shingle among the first s - ceil(percent * s / 100) + 1 of each. So classes that share no such shingle, not even over others, are
-   in different clouds (connected components, found over one star per shingle), and a link never leaves a cloud. This step has
-   no false negatives; what it lets through is compared below.
+   shingle among the first s - ceil(percent * s / 100) + 1 of each. Classes that share one are paired where their sizes, the places of the
+   shingle and their bitmaps (4.) allow a link. Common shingles give chains of classes in place of pairs. A link never leaves a
+   connected component of these pairs, a cloud. This step has no false negatives; what it lets through is compared below.
 3. A cloud's classes fall into bands of set size so that links join equal or neighbouring bands only. Bands are dealt into
    blocks of bounded rows and bytes, and two blocks are a tile: every pair of a cloud is met in exactly one tile.
-4. In a tile each set becomes a bitmap of hashed positions, wider in bands of larger sets. Every differing bit stands for at least
+4. In a tile each set becomes a bitmap of hashed positions, wider in tiles of larger sets. Every differing bit stands for at least
    one shingle that only one set has, so the overlap is at most (s1 + s2 - differing bits) / 2; pairs below the needed overlap
    end here. The others are decided by the size of the intersection of their sorted arrays.
 5. A tile returns links per class (counted in documents) and one spanning link per class, never its pairs. Components of
    the spanning links are those of all links.
 
-Cost: texts are read up to three times (class keys; leading shingles of one document per class; sets of classes that meet
-others). About a fifth of a class's shingles go through one shuffle as (hash, id). Sets travel to the tiles of their cloud only.
+Cost: texts are read three times (class keys; leading shingles; sets of classes in clouds, the one join that moves texts). About a
+fifth of the shingles, of each class once per task, go through one shuffle as (hash, class, size, place). Common shingles do not: a task chains
+its own documents and passes on one of them per size group. Shingles and classes are told apart by 64-bit and 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,8 +33,13 @@ from tagweave.llm.neardup import shingle_set
 BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 2_000_000
 BATCH_SHINGLES = 4_000_000
-BATCH_SHARE = 8  # common: in two classes of a batch, and that in more than one of so many batches
+COMMON, MAX_COMMON = 64, 1_000_000
+PAIRED = 64  # shingles of so many classes at most give pairs, others chains
 MIN_BITS, MAX_BITS = 256, 1 << 16
+_KEYED = "doc_id long, n_shingles long, k1 long, k2 long"
+_SETS = "k1 long, k2 long, rep long, copies long, cloud long, shingles array<long>"
+_SETS_NAMES = [c.split()[0] for c in _SETS.split(", ")]
+_TILE = "struct<tile_cloud:bigint,band:int,kind:int,i:int,j:int,side:int>"
 
 
 def jaccard_join(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,29 +55,24 @@ def jaccard_join(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_
     """
     scratch = Scratch(docs.sparkSession, "tilejoin")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    keyed = scratch.write(rows.mapInArrow(_class_keys(shingle_words), "doc_id long, n_shingles long, k1 long, k2 long, common array<long>"),
-                          "keyed")
+    keyed = scratch.write(rows.mapInArrow(_class_keys(shingle_words), f"{_KEYED}, common array<long>, counts array<int>"), "keyed")
     members = keyed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = scratch.write(members.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
-
-    reps = rows.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    leading = scratch.write(reps.mapInArrow(_leading(shingle_words, percent, _common_shingles(keyed)), "node long, keys array<long>")
-                            .select("node", F.explode("keys").alias("key")), "leading")
-    shared = leading.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
-    star = scratch.write(leading.join(shared.select("key", "centre"), "key").where("node <> centre")
-                         .select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "star")
-    scratch.drop("leading")
-    roots = components(star, scratch, "clouds")
+    classes = scratch.write(members.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"),
+                                                            F.count(F.lit(1)).alias("copies")), "classes")
+    leading = scratch.write(rows.where("doc_id IS NOT NULL").mapInArrow(
+        _leading(shingle_words, percent, _common_shingles(keyed)),
+        "node long, size int, keys array<long>, groups array<long>, centres array<long>, bitmap binary"), "leading")
+    chains = scratch.write(_chains(leading, percent, scratch), "chains")
+    scratch.drop("leading", "pairs")
+    roots = components(chains, scratch, "clouds")
     clouds = (roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-              .select(F.col("node").alias("doc_id"), F.col("root").alias("cloud")))
+              .select(F.col("node").alias("k1"), F.col("root").alias("cloud")))
 
-    sets = scratch.write(reps.join(clouds, "doc_id")
-                         .mapInArrow(_sets(shingle_words), "k1 long, k2 long, rep long, cloud long, shingles array<long>")
-                         .join(classes, ["k1", "k2", "rep"]), "sets")
-    found = _place(sets, percent).groupBy("cloud", "band", "kind", "i", "j").applyInArrow(
-        _compare(percent), "k1 long, k2 long, u long, v long, n_links long")
-    links = scratch.write(found, "links")
-    scratch.drop("sets")
+    placed = _place(scratch.write(classes.join(clouds, "k1"), "members"), percent)
+    sets = (rows.join(placed.withColumnRenamed("rep", "doc_id"), "doc_id")
+            .mapInArrow(_sets(shingle_words), f"{_SETS}, tiles array<{_TILE}>").select("*", F.explode("tiles").alias("tile")))
+    links = scratch.write(sets.select("tile.*", *_SETS_NAMES).groupBy("tile_cloud", "band", "kind", "i", "j").applyInArrow(
+        _compare(percent), "k1 long, k2 long, u long, v long, n_links long"), "links")
 
     # A doc_id with several texts ties their classes together.
     key = F.struct("k1", "k2")
@@ -90,15 +91,16 @@ def jaccard_join(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_
 
 
 def _common_shingles(keyed: DataFrame) -> np.ndarray:
-    """Sorted hashes of shingles that are common in the corpus: in two classes of a batch, in more than one of BATCH_SHARE batches.
+    """Sorted hashes of the shingles that are common in the corpus.
 
-    The list only says which shingles come last in the order, so no link depends on it. As each entry stands in so many batches, it is no longer than
-    BATCH_SHARE / 2 times the shingles of one batch, however large the corpus."""
-    batches = keyed.where("common IS NOT NULL")
-    n = batches.count()
-    held = batches.select(F.explode("common").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    found = held.where((F.col("n") >= 2) & (F.col("n") * BATCH_SHARE > n)).select("key").toArrow()
-    return np.sort(found.column("key").to_numpy().astype(np.int64).view(np.uint64))
+    The list only says which shingles come last in the order, so no link depends on it. Counted are all documents, but in each
+    batch only shingles of two classes or more. An entry has COMMON classes at least, and more in a corpus of over COMMON * MAX_COMMON
+    shingles, so that the list is never longer than MAX_COMMON."""
+    total = keyed.agg(F.sum("n_shingles")).first()[0] or 0
+    held = (keyed.where("common IS NOT NULL").select(F.explode(F.arrays_zip("common", "counts")).alias("c"))
+            .groupBy("c.common").agg(F.sum("c.counts").alias("n")))
+    found = held.where(F.col("n") >= max(COMMON, total // MAX_COMMON)).select("common").toArrow()
+    return np.sort(found.column("common").to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _class_key(shingles: np.ndarray) -> list[int]:
@@ -108,11 +110,11 @@ def _class_key(shingles: np.ndarray) -> list[int]:
 def _class_keys(k: int):
     """A row per document, and one with the repeated shingles for every BATCH_SHINGLES shingles."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
-                        ("common", pa.list_(pa.int64()))])
+                        ("common", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
 
     def repeated(seen: dict) -> tuple:
         value, count = np.unique(np.concatenate(list(seen.values())), return_counts=True)
-        return None, None, None, None, value[count > 1].view(np.int64)
+        return None, None, None, None, value[count > 1].view(np.int64), count[count > 1].astype(np.int32)
 
     def rows(batches):
         cache, seen, size = Cache(xxhash.xxh3_64_digest), {}, 0
@@ -120,10 +122,10 @@ def _class_keys(k: int):
             for doc, text in zip(batch.column("doc_id"), batch.column("text")):
                 s = shingle_set(cache, text.as_py(), k)
                 if not len(s):
-                    yield doc.as_py(), 0, None, None, None
+                    yield doc.as_py(), 0, None, None, None, None
                     continue
                 k1, k2 = _class_key(s)
-                yield doc.as_py(), len(s), k1, k2, None
+                yield doc.as_py(), len(s), k1, k2, None, None
                 if (k1, k2) not in seen:
                     seen[k1, k2] = s
                     size += len(s)
@@ -134,102 +136,216 @@ def _class_keys(k: int):
         if seen:
             yield repeated(seen)
 
-    return lambda batches: arrow_rows(schema, rows(batches), weigh=lambda r: 0 if r[4] is None else 8 * len(r[4]))
+    return lambda batches: arrow_rows(schema, rows(batches), weigh=lambda r: 0 if r[4] is None else 12 * len(r[4]))
 
 
-def leading_shingles(shingles: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
-    """The first of a sorted set in the order of all shingles, so many that two sets that link have one of them in common."""
+def leading_shingles(shingles: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of a sorted set in the order of all shingles, so many that two sets that link have one of them in common: those
+    that are not common in the corpus, in their places, and the common ones after them."""
     n = len(shingles) + percent * len(shingles) // -100 + 1
     if not len(common):
-        return shingles[:n]
+        return shingles[:n], shingles[:0]
     late = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
-    return np.concatenate([shingles[~late], shingles[late]])[:n]
+    early = shingles[~late][:n]
+    return early, shingles[late][:n - len(early)]
+
+
+def _band(size, percent: int):
+    """Sizes that can link are in equal or neighbouring bands: their ratio is a little above 100 / percent."""
+    return np.floor(np.log(size) / np.log(100.0 / percent * 1.001))
 
 
 def _leading(k: int, percent: int, common: np.ndarray):
-    schema = pa.schema([("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """Per task and class: its leading shingles (`keys`, in their places), its bitmap, and for common ones the classes met first in
+    this task in the same size group (`centres`), or the group itself where this class is the first (`groups`)."""
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int32())] + [(c, pa.list_(pa.int64())) for c in ("keys", "groups", "centres")]
+                       + [("bitmap", pa.binary())])
 
     def rows(batches):
-        cache = Cache(xxhash.xxh3_64_digest)
+        cache, seen, first = Cache(xxhash.xxh3_64_digest), set(), {}
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id"), batch.column("text")):
+            for text in batch.column("text"):
                 s = shingle_set(cache, text.as_py(), k)
-                yield doc.as_py(), leading_shingles(s, percent, common).view(np.int64)
+                node = _class_key(s)[0] if len(s) else None
+                if node is None or node in seen:
+                    continue
+                seen.add(node)
+                early, late = leading_shingles(s, percent, common)
+                groups, centres = [], set()
+                band = int(_band(len(s), percent))
+                for key in late.view(np.int64).tolist():
+                    for group in ((key, band), (key, band + 1)):
+                        centre = first.setdefault(group, node)
+                        if centre == node:
+                            groups.append(xxhash.xxh3_64_intdigest(b"%d %d" % group) - (1 << 63))
+                        else:
+                            centres.add(centre)
+                yield node, len(s), early.view(np.int64), groups, list(centres), bitmap(s, width(len(s))).tobytes()
             cache.trim()
 
-    return lambda batches: arrow_rows(schema, rows(batches), weigh=lambda r: 8 * len(r[1]))
+    return lambda batches: arrow_rows(schema, rows(batches), weigh=lambda r: 8 * (len(r[2]) + len(r[3]) + len(r[4])) + len(r[5]))
+
+
+def _chains(leading: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) of classes whose connected components hold every link."""
+    keys = leading.select("node", "size", F.posexplode("keys").alias("place", "key"))
+    groups = leading.select("node", F.lit(-1).alias("size"), F.lit(0).alias("place"), F.explode("groups").alias("key"))
+    pairs = scratch.write(keys.unionByName(groups).repartition("key").sortWithinPartitions("key", "size", "node")
+                          .mapInArrow(_pairs(percent), "u long, v long, tested boolean").distinct(), "pairs")
+    of = {c: leading.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bitmap").alias(f"bitmap_{c}"))
+          .dropDuplicates([c]) for c in "uv"}
+    near = pairs.where("tested").join(of["u"], "u").join(of["v"], "v").mapInArrow(_near(percent), "u long, v long")
+    centres = leading.select(F.col("node").alias("u"), F.explode("centres").alias("v"))
+    return near.unionByName(pairs.where("NOT tested").select("u", "v")).unionByName(centres.distinct())
+
+
+def _pairs(percent: int):
+    """Pairs of classes that share a shingle, from rows in the order of shingles and sizes.
+
+    Up to PAIRED classes are tested pair by pair: with the shingle at places i and j, as the first common one, the overlap is at most
+    min(s1 - i, s2 - j). More are chained while the sizes of neighbours allow a link: whatever lies between two sizes that can
+    link can link with both. Rows of size -1, which lead a size group of a common shingle in some task, are chained without a test."""
+    def pairs(key, node, size, place):
+        run = np.r_[0, np.cumsum(key[1:] != key[:-1])]
+        many = np.bincount(run)[run] > PAIRED
+        at, out = np.arange(len(key)), []
+        for step in range(1, PAIRED):
+            at = at[at >= step]
+            at = at[key[at] == key[at - step]]
+            if not len(at):
+                break
+            back = at - step
+            total = percent * (size[at] + size[back])
+            fits = np.minimum(size[at] - place[at], size[back] - place[back]) * (100 + percent) >= total
+            chained = many[at] | (size[at] < 0)
+            keep = np.where(chained, (step == 1) & ((size[at] < 0) | (size[back] * 100 >= size[at] * percent)), fits)
+            keep &= node[at] != node[back]
+            a, b = node[at[keep]], node[back[keep]]
+            out.append(np.stack([np.maximum(a, b), np.minimum(a, b), ~chained[keep]], axis=1))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            new = [batch.column(c).to_numpy().astype(np.int64) for c in ("key", "node", "size", "place")]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            yield [x[:cut] for x in held]
+            held = [x[cut:] for x in held]
+        if held is not None:
+            yield held
+
+    def found(batches):
+        for part in run(batches):
+            if len(part[0]):
+                u, v, tested = pairs(*part).T
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(tested.astype(bool))], names=["u", "v", "tested"])
+    return found
+
+
+def _near(percent: int):
+    """The pairs whose bitmaps allow a link."""
+    def run(batches):
+        for batch in batches:
+            size = [batch.column(f"size_{c}").to_numpy().astype(np.int64) for c in "uv"]
+            total = size[0] + size[1]
+            apart = np.array([differing(*(np.frombuffer(b.as_py(), np.uint64) for b in pair))
+                              for pair in zip(batch.column("bitmap_u"), batch.column("bitmap_v"))], np.int64)
+            keep = pa.array((total - apart) // 2 * (100 + percent) >= percent * total)
+            yield batch.select(["u", "v"]).filter(keep)
+    return run
 
 
 def _sets(k: int):
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("rep", pa.int64()), ("cloud", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-
-    def rows(batches):
+    def run(batches):
         cache = Cache(xxhash.xxh3_64_digest)
         for batch in batches:
-            for doc, text, cloud in zip(batch.column("doc_id"), batch.column("text"), batch.column("cloud")):
+            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+            held, sets, size = [], [], 0
+            for i, text in enumerate(batch.column("text")):
                 s = shingle_set(cache, text.as_py(), k)
-                if len(s):
-                    yield *_class_key(s), doc.as_py(), cloud.as_py(), s.view(np.int64)
+                if len(s) and _class_key(s) == [k1[i], k2[i]]:
+                    held.append(i)
+                    sets.append(s)
+                    size += len(s)
+                if held and (size > BLOCK_SHINGLES or i == len(batch) - 1):
+                    part = batch.take(pa.array(held))
+                    ends = pa.array(np.r_[0, np.cumsum([len(x) for x in sets])], pa.int32())
+                    shingles = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("k1"), part.column("k2"), part.column("doc_id"), part.column("copies"), part.column("cloud"), shingles,
+                         part.column("tiles")], names=_SETS_NAMES + ["tiles"])
+                    held, sets, size = [], [], 0
             cache.trim()
-
-    return lambda batches: arrow_rows(schema, rows(batches), weigh=lambda r: 8 * len(r[4]))
+    return run
 
 
-def _place(sets: DataFrame, percent: int) -> DataFrame:
-    """Every set once for each tile that it is in: (cloud, band, kind, i, j) is a tile, `side` its row or column block.
+def _place(members: DataFrame, percent: int) -> DataFrame:
+    """The tiles of every class, as an array.
 
     kind 0 compares a block with itself, 1 two blocks of a band, 2 a block of a band with one of the next band, and 3 holds
-    whole small clouds (cloud -1, many in one tile). The ratio of neighbouring bands is a little above 100 / percent, so
-    sizes that can link are never two bands apart.
+    whole small clouds (tile_cloud -1, many in one tile). `side` says whether a class is in the first or second block.
     """
-    size = F.size("shingles")
     base = float(np.log(100.0 / percent * 1.001))
-    banded = sets.withColumn("band", F.floor(F.log(size.cast("double")) / F.lit(base)).cast("int"))
-    per_cloud = banded.groupBy("cloud").agg(F.count(F.lit(1)).alias("cloud_rows"), F.sum(size).alias("cloud_shingles"))
-    small = (F.col("cloud_rows") <= BLOCK_ROWS) & (F.col("cloud_shingles") <= BLOCK_SHINGLES)
-    per_cloud = per_cloud.withColumn("small", small)
-    bins = max(1, (per_cloud.where("small").agg(F.sum("cloud_shingles")).first()[0] or 0) // BLOCK_SHINGLES + 1)
+    banded = members.withColumn("band", F.floor(F.log(F.col("size").cast("double")) / F.lit(base)).cast("int"))
+    per_cloud = banded.groupBy("cloud").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("shingles"))
+    per_cloud = per_cloud.select("cloud", "shingles", ((F.col("rows") <= BLOCK_ROWS) & (F.col("shingles") <= BLOCK_SHINGLES)).alias("small"))
+    bins = (per_cloud.where("small").agg(F.sum("shingles")).first()[0] or 0) // BLOCK_SHINGLES + 1
 
     per_band = (banded.join(per_cloud.where("NOT small").select("cloud"), "cloud").groupBy("cloud", "band")
-                .agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(size) / BLOCK_SHINGLES)).cast("int").alias("blocks")))
-    of = [per_band.select("cloud", (F.col("band") + step).alias("band"), F.col("blocks").alias(name)) for step, name in ((0, "own"), (-1, "above"), (1, "below"))]
-    grid = of[0].join(of[1], ["cloud", "band"], "left").join(of[2], ["cloud", "band"], "left").na.fill(0)
-
-    def tiles(n: str, make) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.col(n)), make)
-
-    def tile(band, kind, i, j, side) -> Column:
-        return F.struct(band.cast("int").alias("band"), F.lit(kind).cast("int").alias("kind"), i.cast("int").alias("i"),
-                        j.cast("int").alias("j"), side.cast("int").alias("side"))
-
-    at, band = F.col("at"), F.col("band")
-    inside = tiles("own", lambda o: F.when(o - 1 == at, tile(band, 0, at, at, F.lit(0))).otherwise(
-        tile(band, 1, F.least(at, o - 1), F.greatest(at, o - 1), (at > o - 1).cast("int"))))
-    none = F.array().cast("array<struct<band:int,kind:int,i:int,j:int,side:int>>")
-    above = F.when(F.col("above") > 0, tiles("above", lambda o: tile(band, 2, at, o - 1, F.lit(0)))).otherwise(none)
-    below = F.when(F.col("below") > 0, tiles("below", lambda o: tile(band - 1, 2, o - 1, at, F.lit(1)))).otherwise(none)
-    payload = [F.col("cloud").alias("of_cloud"), "k1", "k2", "rep", "copies", "shingles"]
+                .agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")))
+    own, above, below = (per_band.select("cloud", (F.col("band") + step).alias("band"), F.col("blocks").alias(name))
+                         for step, name in ((0, "own"), (-1, "above"), (1, "below")))
+    grid = own.join(above, ["cloud", "band"], "left").join(below, ["cloud", "band"], "left").na.fill(0)
+
+    def tile(cloud, band, kind, i, j, side) -> Column:
+        fields = dict(tile_cloud=cloud, band=band, kind=kind, i=i, j=j, side=side)
+        made = F.struct(*[(v if isinstance(v, Column) else F.lit(v)).alias(name) for name, v in fields.items()])
+        return made.cast(_TILE)
+
+    def each(n: str, make) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1), make)
+
+    cloud, band, at, none = F.col("cloud"), F.col("band"), F.col("at"), F.array().cast(f"array<{_TILE}>")
+    inside = each("own", lambda o: F.when(o == at, tile(cloud, band, 0, at, at, 0)).otherwise(
+        tile(cloud, band, 1, F.least(at, o), F.greatest(at, o), at > o)))
+    up = F.when(F.col("above") > 0, each("above", lambda o: tile(cloud, band, 2, at, o, 0))).otherwise(none)
+    down = F.when(F.col("below") > 0, each("below", lambda o: tile(cloud, band - 1, 2, o, at, 1))).otherwise(none)
+    columns = ["rep", "k1", "k2", "copies", "cloud"]
     large = (banded.join(grid, ["cloud", "band"]).withColumn("at", F.pmod(F.xxhash64("k1", "k2"), F.col("own")))
-             .withColumn("tile", F.explode(F.concat(inside, above, below)))
-             .select("cloud", "tile.*", *payload))
+             .select(*columns, F.concat(inside, up, down).alias("tiles")))
     whole = (banded.join(per_cloud.where("small").select("cloud"), "cloud")
-             .select(F.lit(-1).cast("long").alias("cloud"), F.lit(0).alias("band"), F.lit(3).alias("kind"),
-                     F.pmod(F.xxhash64("cloud"), F.lit(bins)).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), *payload))
+             .select(*columns, F.array(tile(-1, 0, 3, F.pmod(F.xxhash64("cloud"), F.lit(bins)), 0, 0)).alias("tiles")))
     return large.unionByName(whole)
 
 
+def width(size: int) -> int:
+    """Bits of the bitmap of a set."""
+    return min(MAX_BITS, max(MIN_BITS, 1 << int(2 * size - 1).bit_length()))
+
+
+def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
+    marks = np.zeros(bits, np.uint8)
+    marks[shingles.view(np.uint64) & np.uint64(bits - 1)] = 1
+    return np.packbits(marks).view(np.uint64)
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two bitmaps differ; the wider one is folded."""
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[:len(a) // 2] | a[len(a) // 2:]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 class Block:
     """Sets of one tile with their bitmaps, and their shingles numbered in sorted order."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.size = np.array([len(s) for s in sets])
-        bits = MIN_BITS
-        while bits < 2 * self.size.max() and bits < MAX_BITS:
-            bits *= 2
-        marks = np.zeros((len(sets), bits), np.uint8)
-        for i, s in enumerate(sets):
-            marks[i, s.view(np.uint64) & np.uint64(bits - 1)] = 1
-        self.bitmaps = np.packbits(marks, axis=1).view(np.uint64)
+        bits = width(int(self.size.max()))
+        self.bitmaps = np.stack([bitmap(s, bits) for s in sets])
         values, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
         self.ends = np.r_[0, np.cumsum(self.size)]
         self.held = np.zeros(len(values), bool)
@@ -273,7 +389,7 @@ def compare_sets(sets: list[np.ndarray], side: np.ndarray | None, copies: np.nda
 def _compare(percent: int):
     def run(key: tuple, group: pa.Table) -> pa.Table:
         kind = key[2].as_py()
-        cloud, side = group.column("of_cloud").to_numpy(), group.column("side").to_numpy()
+        cloud, side = group.column("cloud").to_numpy(), group.column("side").to_numpy()
         k1, k2 = group.column("k1").to_numpy(), group.column("k2").to_numpy()
         order = np.lexsort((k2, k1, side, cloud))
         # Of repeated rows of one representative only one takes part.
