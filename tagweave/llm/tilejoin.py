@@ -34,7 +34,7 @@ BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 2_000_000
 BATCH_SHINGLES = 4_000_000
 COMMON, MAX_COMMON = 64, 1_000_000
-PAIRED = 64  # shingles of so many classes at most give pairs, others chains
+PAIRED = 1024  # shingles of so many classes at most give pairs, others chains
 MIN_BITS, MAX_BITS = 256, 1 << 16
 _KEYED = "doc_id long, n_shingles long, k1 long, k2 long"
 _SETS = "k1 long, k2 long, rep long, copies long, cloud long, shingles array<long>"
@@ -94,12 +94,19 @@ def _common_shingles(keyed: DataFrame) -> np.ndarray:
     """Sorted hashes of the shingles that are common in the corpus.
 
     The list only says which shingles come last in the order, so no link depends on it. Counted are all documents, but in each
-    batch only shingles of two classes or more. An entry has COMMON classes at least, and more in a corpus of over COMMON * MAX_COMMON
-    shingles, so that the list is never longer than MAX_COMMON."""
-    total = keyed.agg(F.sum("n_shingles")).first()[0] or 0
+    batch only shingles of two classes or more. An entry has COMMON classes at least, or the smallest power of two times that for which
+    the list has at most MAX_COMMON entries."""
     held = (keyed.where("common IS NOT NULL").select(F.explode(F.arrays_zip("common", "counts")).alias("c"))
-            .groupBy("c.common").agg(F.sum("c.counts").alias("n")))
-    found = held.where(F.col("n") >= max(COMMON, total // MAX_COMMON)).select("common").toArrow()
+            .groupBy("c.common").agg(F.sum("c.counts").alias("n")).where(F.col("n") >= COMMON))
+    level = F.floor(F.log2(F.col("n") / COMMON)).cast("int")
+    least, entries = 0, 0
+    for r in held.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        entries += r["count"]
+        least = r["level"]
+        if entries > MAX_COMMON:
+            least = r["level"] + 1
+            break
+    found = held.where(F.col("n") >= COMMON << least).select("common").toArrow()
     return np.sort(found.column("common").to_numpy().astype(np.int64).view(np.uint64))
 
 
