@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tagweave.catalog.fixtures import (PLANTED, TASKS, as_label_events, embed_labels, embed_table, label_table,
-                                       planted_labels, planted_table, sql, table, view_pairs, CLASSES)
+                                       planted_labels, planted_table, sql, table, u, view_pairs, CLASSES)
 from tagweave.catalog.registry import query, rounded
 from tagweave.catalog.tables import _applied
 from tagweave.catalog.vectors import KNN10
@@ -16,7 +16,7 @@ from tagweave.operators import metrics
 from tagweave.operators.edits import BOOLEAN_FIELDS
 from tagweave.operators.encode import class_codes, encode_classes
 from tagweave.operators.sample import with_param_draws
-from tagweave.plans import cluster, evaluate, propagate, training
+from tagweave.plans import cluster, evaluate, propagate, rounds, training
 from tagweave.session import scratch_path
 from tagweave.streaming import edits as streams
 
@@ -178,6 +178,53 @@ def _(spark, sf):
     return _quality(state["summary"])
 
 
+def _planted_sql(extra: dict, body: str) -> str:
+    labels = """SELECT item_id, (item_id % 17 = 0) AS exclude, (item_id % 5 = 0) AS validation,
+        CASE WHEN item_id % 3 <> 1 THEN CAST(item_id % 4 < 2 AS INTEGER)::DOUBLE END AS low,
+        CASE WHEN (item_id // 4) % 2 = 0 THEN CAST(item_id % 4 = 3 AS INTEGER)::DOUBLE END AS last FROM embed_table"""
+    points = """SELECT item_id, list_transform(embedding, lambda x, j: x * 4.0::DOUBLE + CASE WHEN j = item_id % 4 + 1 THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END) AS x
+        FROM embed_table"""
+    return sql("embed_table", extra={"planted_labels": labels, "points": points, **extra}, body=body)
+
+
+def _rounds_sql(n: int = 3, m: int = 20) -> str:
+    """Each round labels the m first open rows by the draw of that round."""
+    ctes = {"l0": "SELECT *, CAST(NULL AS INTEGER) AS round FROM planted_labels"}
+    for r in range(1, n + 1):
+        ctes[f"p{r}"] = f"""SELECT item_id FROM l{r - 1} WHERE low IS NULL AND last IS NULL AND NOT exclude
+                            ORDER BY {u(f'0:{r}', 'item_id')}, item_id LIMIT {m}"""
+        ctes[f"l{r}"] = f"""SELECT l.item_id, l.exclude, l.validation, CASE WHEN p.item_id IS NULL THEN low ELSE CAST(l.item_id % 4 < 2 AS INTEGER) END AS low,
+                            CASE WHEN p.item_id IS NULL THEN last ELSE CAST(l.item_id % 4 = 3 AS INTEGER) END AS last,
+                            CASE WHEN p.item_id IS NULL THEN round ELSE {r} END AS round FROM l{r - 1} l LEFT JOIN p{r} p USING (item_id)"""
+    return _planted_sql(ctes, f"SELECT item_id, CAST(low AS DOUBLE) AS low, CAST(last AS DOUBLE) AS last, coalesce(round, 0) AS round FROM l{n}")
+
+
+@query("h13_resumed_rounds", _rounds_sql())
+def _(spark, sf):
+    """Three rounds, the second of which fails once after its rows were picked."""
+    labels, vectors = planted_labels(spark, sf), planted_table(spark, sf)
+    preds = vectors.select("item_id", *[F.lit(0.5).alias(c) for c in PLANTED])
+    failures = [2]
+
+    def annotate(picked, no):
+        if no in failures:
+            failures.remove(no)
+            raise InterruptedError("planned")
+        each = F.explode(F.array(F.struct(F.lit("low").alias("field"), (F.col("c") < 2).cast("double").alias("value")),
+                                 F.struct(F.lit("last").alias("field"), (F.col("c") == 3).cast("double").alias("value"))))
+        return picked.join(vectors, "item_id").select(F.lit(no).alias("ts"), F.col("item_id").alias("event_id"), "item_id",
+                                                      each.alias("e")).select("ts", "event_id", "item_id", "e.*")
+
+    path, log = scratch_path(spark, "rounds"), None
+    while log is None:
+        try:
+            log = rounds.label_rounds(path, labels, preds, vectors, annotate, 20, 3, classes=PLANTED, sort_by="random", steps=5)
+        except InterruptedError:
+            continue
+    picked = log.history("picked").select("item_id", "round")
+    return log.read("labels").select("item_id", *PLANTED).join(picked, "item_id", "left").na.fill(0, ["round"])
+
+
 @query("h14_representation_report")
 def _(spark, sf):
     return evaluate.representation_report(planted_table(spark, sf), view_pairs(spark, sf), "c")
