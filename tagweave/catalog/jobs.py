@@ -16,7 +16,7 @@ from tagweave.operators import metrics
 from tagweave.operators.edits import BOOLEAN_FIELDS
 from tagweave.operators.encode import class_codes, encode_classes
 from tagweave.operators.sample import with_param_draws
-from tagweave.plans import cluster, evaluate, propagate, rounds, training
+from tagweave.plans import cluster, evaluate, propagate, rounds, training, trials
 from tagweave.session import scratch_path
 from tagweave.streaming import edits as streams
 
@@ -155,11 +155,63 @@ def _(spark, sf):
     return metrics.task_accuracy(scored, {x: (f"{x}_code", f"{x}_probs") for x in TASKS})
 
 
+def _trials(vectors):
+    one = vectors.select(F.col("c").alias("trial")).distinct()
+    return with_param_draws(one, "trial", (0.0, 0.1), (0.05, 0.5), lr_decay=True, optimizer=True, sampling=True)
+
+
 @query("h12_random_search")
 def _(spark, sf):
     vectors = planted_table(spark, sf)
-    trials = with_param_draws(vectors.select(F.col("c").alias("trial")).distinct(), "trial", lam=(0.0, 0.1), sampling=True)
-    return evaluate.random_search(vectors, planted_labels(spark, sf), trials, PLANTED, 8)
+    return evaluate.random_search(vectors, planted_labels(spark, sf), _trials(vectors), PLANTED, 8)
+
+
+def _planted_sql(extra: dict, body: str) -> str:
+    labels = """SELECT item_id, (item_id % 17 = 0) AS exclude, (item_id % 5 = 0) AS validation,
+        CASE WHEN item_id % 3 <> 1 THEN CAST(item_id % 4 < 2 AS INTEGER)::DOUBLE END AS low,
+        CASE WHEN (item_id // 4) % 2 = 0 THEN CAST(item_id % 4 = 3 AS INTEGER)::DOUBLE END AS last FROM embed_table"""
+    points = """SELECT item_id, list_transform(embedding, lambda x, j: x * 4.0::DOUBLE + CASE WHEN j = item_id % 4 + 1 THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END) AS x
+        FROM embed_table"""
+    return sql("embed_table", extra={"planted_labels": labels, "points": points, **extra}, body=body)
+
+
+def _two_steps_sql() -> str:
+    """Two full-batch steps of every trial from zero weights, position 64 being the bias."""
+    return _planted_sql({
+        "t": f"""SELECT trial, {u('0:lam', 'trial')} * 0.1::DOUBLE AS lam,
+            exp(ln(0.05::DOUBLE) + {u('0:rate', 'trial')} * (ln(0.5::DOUBLE) - ln(0.05::DOUBLE))) AS rate,
+            floor({u('0:decay', 'trial')} * 2) = 1 AS cosine, floor({u('0:optimizer', 'trial')} * 2) = 0 AS adam,
+            (['class', 'instance', 'squareroot'])[CAST(floor({u('0:sampling', 'trial')} * 3) AS INTEGER) + 1] AS mode
+            FROM (SELECT unnest(range(0, 4)) AS trial)""",
+        "known": """SELECT * FROM (SELECT item_id, 'low' AS class, low AS y FROM planted_labels WHERE NOT exclude AND NOT validation
+            UNION ALL SELECT item_id, 'last', last FROM planted_labels WHERE NOT exclude AND NOT validation) WHERE y IS NOT NULL""",
+        "size": "SELECT class, y, CAST(count(*) AS DOUBLE) AS n FROM known GROUP BY class, y",
+        "share": """SELECT mode, class, y, n, CASE mode WHEN 'class' THEN 1.0::DOUBLE WHEN 'instance' THEN n ELSE sqrt(n) END AS s
+            FROM size, (SELECT unnest(['class', 'instance', 'squareroot']) AS mode)""",
+        "stratum": "SELECT mode, class, y, s / sum(s) OVER (PARTITION BY mode) / n * sum(n) OVER (PARTITION BY mode) AS w FROM share",
+        "weight": "SELECT item_id, mode, sum(w) AS w FROM known JOIN stratum USING (class, y) GROUP BY item_id, mode",
+        "cell": "SELECT trial, k.item_id, k.class, k.y, w.w FROM t JOIN weight w USING (mode) JOIN known k USING (item_id)",
+        "total": "SELECT trial, sum(w) AS total FROM cell GROUP BY trial",
+        "xs": "SELECT item_id, unnest(range(0, 65)) AS j, unnest(list_append(x, 1.0::DOUBLE)) AS v FROM points",
+        "g1": """SELECT trial, class, j, sum(w * (0.5::DOUBLE - y) * v) / any_value(total) AS g
+            FROM cell JOIN total USING (trial) JOIN xs USING (item_id) GROUP BY trial, class, j""",
+        "th1": "SELECT trial, class, j, g, CASE WHEN adam THEN -rate * g / (abs(g) + 1e-8::DOUBLE) ELSE -rate * g END AS th FROM g1 JOIN t USING (trial)",
+        "p": """SELECT c.trial, c.class, c.item_id, any_value(c.w) AS w, any_value(c.y) AS y, 1 / (1 + exp(-sum(th * v))) AS p
+            FROM cell c JOIN xs USING (item_id) JOIN th1 ON th1.trial = c.trial AND th1.class = c.class AND th1.j = xs.j GROUP BY c.trial, c.class, c.item_id""",
+        "g2": """SELECT trial, class, j, sum(w * (p - y) * v) / any_value(total) AS g FROM p JOIN total USING (trial) JOIN xs USING (item_id) GROUP BY trial, class, j""",
+        "both": """SELECT trial, class, j, th, a.g AS g1, b.g + CASE WHEN j < 64 THEN lam * th ELSE 0 END AS g2, adam, rate * CASE WHEN cosine THEN 0.5 ELSE 1 END AS rate
+            FROM th1 a JOIN g2 b USING (trial, class, j) JOIN t USING (trial)"""}, """
+        SELECT CAST(trial AS BIGINT) AS trial, class, CAST(j AS INTEGER) AS position, round(CASE WHEN adam
+            THEN th - rate * ((0.09::DOUBLE * g1 + 0.1::DOUBLE * g2) / 0.19::DOUBLE) / (sqrt((0.000999::DOUBLE * g1 * g1 + 0.001::DOUBLE * g2 * g2) / 0.001999::DOUBLE) + 1e-8::DOUBLE)
+            ELSE th - rate * (0.9::DOUBLE * g1 + g2) END, 6) + 0.0 AS value FROM both""")
+
+
+@query("h12_trial_steps", _two_steps_sql().replace("both", "merged"))
+def _(spark, sf):
+    vectors, labels = planted_table(spark, sf), planted_labels(spark, sf)
+    fits = trials.fit_trials(trials.training_cells(labels, {None: vectors}, PLANTED), trials.read_trials(_trials(vectors)), PLANTED, 2)
+    values = F.concat("weights", F.array("bias"))
+    return rounded(fits.table(spark).select("trial", "class", F.posexplode(values).alias("position", "value")), "value")
 
 
 @query("h13_active_round")
@@ -178,15 +230,6 @@ def _(spark, sf):
     return _quality(state["summary"])
 
 
-def _planted_sql(extra: dict, body: str) -> str:
-    labels = """SELECT item_id, (item_id % 17 = 0) AS exclude, (item_id % 5 = 0) AS validation,
-        CASE WHEN item_id % 3 <> 1 THEN CAST(item_id % 4 < 2 AS INTEGER)::DOUBLE END AS low,
-        CASE WHEN (item_id // 4) % 2 = 0 THEN CAST(item_id % 4 = 3 AS INTEGER)::DOUBLE END AS last FROM embed_table"""
-    points = """SELECT item_id, list_transform(embedding, lambda x, j: x * 4.0::DOUBLE + CASE WHEN j = item_id % 4 + 1 THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END) AS x
-        FROM embed_table"""
-    return sql("embed_table", extra={"planted_labels": labels, "points": points, **extra}, body=body)
-
-
 def _rounds_sql(n: int = 3, m: int = 20) -> str:
     """Each round labels the m first open rows by the draw of that round."""
     ctes = {"l0": "SELECT *, CAST(NULL AS INTEGER) AS round FROM planted_labels"}

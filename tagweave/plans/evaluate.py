@@ -12,14 +12,16 @@ from tagweave.functions.vectors import as_double
 from tagweave.operators.contrast import alignment, avg_cosine, uniformity
 from tagweave.operators.edits import apply_label_events
 from tagweave.operators.features import apply_scaler, fit_scaler
-from tagweave.operators.filters import predict_join, training_rows, validation_rows
-from tagweave.operators.metrics import (accuracy_estimate, auc, auc_by_group, confusion_counts, long_scores, masked_bce,
+from tagweave.operators.filters import predict_join, training_rows
+from tagweave.operators.metrics import (accuracy_estimate, auc, auc_by_group, confusion_counts, masked_bce,
                                         run_summary)
 from tagweave.operators.sample import add_label_noise, learning_curve_size, learning_curve_subsample, test_domain
 from tagweave.operators.select import pick
+from tagweave.plans import trials
 from tagweave.plans.training import LinearHeads, linear_probe, train_heads
 from tagweave.schema import ID, class_columns
 from tagweave.session import cut_lineage
+from tagweave.sources.store import log_metrics
 
 
 def sample_and_evaluate(extractors: dict[str, DataFrame], labels: DataFrame, category: str, experiments: int = 10,
@@ -103,23 +105,24 @@ def train_and_report(vectors: DataFrame, labels: DataFrame, classes=None, id_col
     return heads, scores, estimate.join(areas, "class")
 
 
-def random_search(vectors: DataFrame, labels: DataFrame, trials: DataFrame, classes=None, steps: int = 20, id_col: str = ID,
-                  vec: str = "embedding") -> DataFrame:
-    """Train one set of heads per trial row (trial, lam as weight decay, sampling) and report AUC and accuracy per class on the
-    validation rows, for all trials in one pass.
+def random_search(vectors: DataFrame, labels: DataFrame, table: DataFrame, classes=None, steps: int = 20, id_col: str = ID,
+                  vec: str = "embedding", log_path: str | None = None, run_id: str = "search") -> DataFrame:
+    """Train the heads of every trial row, all in the same scans, and report AUC and accuracy per trial and class on the
+    validation rows.
 
-    The trial table is the list of fits to run; its rows are the only thing that reaches the driver.
+    Of a trial its weight decay (`lam`), learning_rate, lr_decay, optimizer and sampling hold; `finetune` names the epoch from which
+    a feature network is trained and means nothing for fixed vectors. With `log_path`, the loss of each trial by step and the final
+    numbers are appended there by `log_metrics`.
     """
-    classes = class_columns(labels, classes, id_col)
-    held_out = validation_rows(labels)
-    points = vectors.join(held_out.select(id_col), id_col, "left_semi")
-    scores = None
-    for t in trials.orderBy("trial").collect():
-        heads = train_heads(vectors, labels, classes, mode=t["sampling"] if "sampling" in trials.columns else "class",
-                            weight_decay=t["lam"] if "lam" in trials.columns else 0.0, steps=steps, id_col=id_col, vec=vec)
-        long = long_scores(held_out, heads.predict(points, id_col, vec), classes, id_col).withColumn("trial", F.lit(t["trial"]))
-        scores = long if scores is None else scores.unionByName(long)
-    return auc_by_group(scores, ["trial", "class"])
+    report, fits = trials.search(vectors, labels, table, classes, steps, id_col, vec)
+    if log_path is not None:
+        spark = vectors.sparkSession
+        report = cut_lineage(report)
+        final = report.unpivot(["trial", "class"], ["auc", "accuracy"], "metric", "value")
+        log_metrics(fits.log(spark, run_id).unionByName(final.select(
+            F.lit(run_id).alias("run_id"), F.lit(steps).cast("long").alias("step"),
+            F.concat(F.lit("trial_"), F.col("trial"), F.lit("_"), F.col("class"), F.lit("_"), F.col("metric")).alias("name"), "value")), log_path)
+    return report
 
 
 def run_this_epoch(every, epoch: int) -> bool:
