@@ -1,99 +1,25 @@
-"""Learning-curve experiments, random search, representation reports and labelling rounds."""
+"""Random search, representation reports and labelling rounds."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.functions.vectors import as_double
 from tagweave.operators.contrast import alignment, avg_cosine, uniformity
 from tagweave.operators.edits import apply_label_events
-from tagweave.operators.features import apply_scaler, fit_scaler
-from tagweave.operators.filters import predict_join, training_rows
+from tagweave.operators.filters import predict_join
 from tagweave.operators.metrics import (accuracy_estimate, auc, auc_by_group, confusion_counts, masked_bce,
                                         run_summary)
-from tagweave.operators.sample import add_label_noise, learning_curve_size, learning_curve_subsample, test_domain
 from tagweave.operators.select import pick
 from tagweave.plans import trials
+from tagweave.plans.experiments import sample_and_evaluate  # noqa: F401
 from tagweave.plans.training import LinearHeads, linear_probe, train_heads
 from tagweave.schema import ID, class_columns
 from tagweave.session import cut_lineage
 from tagweave.sources.store import log_metrics
 
 
-def sample_and_evaluate(extractors: dict[str, DataFrame], labels: DataFrame, category: str, experiments: int = 10,
-                        smallest: int = 20, c: float = 1.0, pos_prob: float | None = None, noise: float = 0.0,
-                        domains: bool = False, rescale: bool = False, holdout: bool = False, max_tries: int = 100,
-                        seed=0, id_col: str = ID, vec: str = "embedding") -> DataFrame:
-    """One row per experiment and extractor: size, noise, train and test accuracy, error and AUC.
-
-    An experiment draws a training subsample of the training rows (optionally all domains but one), flips labels, fits a
-    logistic regression per extractor and tests on the other domain, on the held-out rows or on the same pool. Draws
-    without both classes are repeated; after `max_tries` of them an error is raised, so no experiment is lost. `n` is the
-    number of rows drawn, which a rare class can make smaller than asked. A test side without both classes has NULL results.
-    """
-    spark = labels.sparkSession
-    pool = training_rows(labels).where(F.col(category).isNotNull())
-    pool = pool.select(id_col, F.col(category).cast("double").alias("y"), *(["subset"] if domains else []))
-    settings, scored = [], None
-    for e in range(experiments):
-        for attempt in range(max_tries):
-            tag = f"{seed}:{e}:{attempt}"
-            test_name = test_domain(pool, tag) if domains else None
-            train_pool = pool.where(F.col("subset") != test_name) if domains else pool
-            test_pool = pool.where(F.col("subset") == test_name) if domains else pool
-            n = learning_curve_size(train_pool.count(), smallest, tag, e)
-            drawn = learning_curve_subsample(train_pool, n, "y", pos_prob, id_col, tag)
-            drawn = cut_lineage(add_label_noise(drawn.select(id_col, "y"), ["y"], noise, id_col, tag))
-            low, high, n = drawn.agg(F.min("y"), F.max("y"), F.count(F.lit(1))).first()
-            if low == 0 and high == 1:
-                break
-        else:
-            raise ValueError(f"no draw of {category!r} has both classes in {max_tries} tries")
-        if holdout and not domains:
-            test_pool = test_pool.join(drawn.select(id_col), id_col, "left_anti")
-        for name, vectors in extractors.items():
-            settings.append((e, name, n, float(noise), test_name))
-            part = _fit_and_score(drawn, test_pool.select(id_col, "y"), vectors, c, n, rescale, id_col, vec)
-            part = part.select(F.lit(e).alias("experiment"), F.lit(name).alias("extractor"), "side", "y", "p")
-            scored = part if scored is None else scored.unionByName(part)
-    about = spark.createDataFrame(settings, "experiment int, extractor string, n long, label_noise double, test_domain string")
-    if scored is None:
-        return about
-    # One pass over all scores of all experiments.
-    found = auc_by_group(scored, ["experiment", "extractor", "side"])
-
-    def of(side, name):
-        return F.max(F.when((F.col("side") == side) & (F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col(name)))
-
-    wide = found.groupBy("experiment", "extractor").agg(
-        of("train", "accuracy").alias("train_accuracy"), of("test", "accuracy").alias("test_accuracy"),
-        of("train", "auc").alias("train_auc"), of("test", "auc").alias("test_auc"))
-    return about.join(wide, ["experiment", "extractor"]).withColumns(
-        {"train_error": 1 - F.col("train_accuracy"), "test_error": 1 - F.col("test_accuracy")})
-
-
-def _fit_and_score(train_y, test_y, vectors, c, n, rescale, id_col, vec) -> DataFrame:
-    """Scores (side, y, p) of the training sample and of the test rows."""
-    train, test = (y.join(vectors.select(id_col, vec), id_col) for y in (train_y, test_y))
-    if rescale:
-        scaler = fit_scaler(train, vec)
-        train, test = (apply_scaler(d, scaler, vec) for d in (train, test))
-    train, test = (d.select("y", array_to_vector(as_double(vec)).alias("features")) for d in (train, test))
-    train.persist()
-    try:
-        # The penalty 1/C on a summed loss is 1/(C·n) on MLlib's mean loss.
-        model = LogisticRegression(labelCol="y", regParam=1.0 / (c * n), standardization=False, maxIter=100).fit(train)
-    finally:
-        train.unpersist()
-    sides = [model.transform(d).select(F.lit(s).alias("side"), "y", F.element_at(vector_to_array("probability"), 2).alias("p"))
-             for s, d in (("train", train), ("test", test))]
-    return sides[0].unionByName(sides[1])
-
-
 def train_and_report(vectors: DataFrame, labels: DataFrame, classes=None, id_col: str = ID, vec: str = "embedding",
                      **options) -> tuple[LinearHeads, DataFrame, DataFrame]:
     """Fit heads, score every row, and give the accuracy estimate with AUC per class: (heads, scores, metrics)."""

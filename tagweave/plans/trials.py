@@ -196,8 +196,25 @@ class Descent:
         return self.best[0] if self.best is not None and not self.done else self.point
 
 
-def fit_trials(cells: DataFrame, trials: list[dict], classes, steps: int, extractors=(None,)) -> Fits:
-    """Fit all trials on `cells` (see `training_cells`; with a column `part`, each on its own rows). One job per step."""
+def fit_trials(cells: DataFrame, trials: list[dict], classes, steps: int, extractors=(None,), scalers=None) -> Fits:
+    """Fit all trials on `cells` (see `training_cells`; with a column `part`, each on its own rows). One job per step.
+
+    With `scalers`, a (mean, scale) per trial, a trial descends on its standardised vectors; the data stay as they are, as
+    weights on standardised vectors are other weights on the given ones. The returned weights fit the given vectors.
+    """
+    def outer(i, theta):
+        if scalers is None:
+            return theta
+        mean, scale = scalers[i]
+        inner = theta[:-1] / scale[:, None]
+        return np.concatenate([inner, theta[-1:] - mean @ inner])
+
+    def inner_gradient(i, grad):
+        if scalers is None:
+            return grad
+        mean, scale = scalers[i]
+        return np.concatenate([(grad[:-1] - np.outer(mean, grad[-1])) / scale[:, None], grad[-1:]])
+
     rows = cells.persist()
     try:
         dims = rows.agg(*[F.max(F.size(f"x_{n}")).alias(f"d{n}") for n in range(len(extractors))]).first()
@@ -210,7 +227,7 @@ def fit_trials(cells: DataFrame, trials: list[dict], classes, steps: int, extrac
         fits = [Descent(t, (dims[where[i]] + 1, len(classes)), steps) for i, t in enumerate(trials)]
         history = []
         for step in range(steps):
-            theta = [f.point for f in fits]
+            theta = [outer(i, f.point) for i, f in enumerate(fits)]
 
             def partial(batches, theta=theta):
                 sums: dict[int, np.ndarray] = {}
@@ -225,12 +242,12 @@ def fit_trials(cells: DataFrame, trials: list[dict], classes, steps: int, extrac
                 if fits[i].done or g[-1] <= 0:
                     continue
                 history.append((trials[i]["trial"], step, float(g[-2] / g[-1])))
-                fits[i].feed(g[-2] / g[-1], g[:-2].reshape(fits[i].point.shape) / g[-1])
+                fits[i].feed(g[-2] / g[-1], inner_gradient(i, g[:-2].reshape(fits[i].point.shape) / g[-1]))
             if all(f.done for f in fits):
                 break
     finally:
         rows.unpersist()
-    final = [f.result() for f in fits]
+    final = [outer(i, f.result()) for i, f in enumerate(fits)]
     return Fits(trials, list(classes), [t[:-1] for t in final], [t[-1] for t in final], sorted(history))
 
 
