@@ -405,6 +405,23 @@ def _(spark, sf):
     return diversity.kpp_sample(e, 4, unavailable=e.where(F.col("odd").isNotNull()))
 
 
+@query("f09_oversampled_candidates", sql("embed_table", extra={
+    "pts": "SELECT item_id, embedding AS v, odd IS NULL AS open FROM embed_table",
+    "k0": f"SELECT item_id, v FROM pts WHERE open ORDER BY {u('0:0', 'item_id')}, item_id LIMIT 1",
+    "d1": """SELECT p.item_id, p.v, p.open, least(power(list_distance(p.v, k.v), 2), (SELECT min(power(list_distance(p.v, t.v), 2)) FROM pts t WHERE NOT t.open)) AS d2
+             FROM pts p, k0 k""",
+    "k1": f"SELECT item_id, v FROM d1 WHERE open AND d2 > 1e-9 AND {u('0:round:1', 'item_id')} < 40 * d2 / (SELECT sum(d2) FROM d1 WHERE open)",
+    "d2": "SELECT p.item_id, p.open, least(p.d2, (SELECT min(power(list_distance(p.v, k.v), 2)) FROM k1 k)) AS d2 FROM d1 p",
+    "k2": f"SELECT item_id FROM d2 WHERE open AND d2 > 1e-9 AND {u('0:round:2', 'item_id')} < 40 * d2 / (SELECT sum(d2) FROM d2 WHERE open)"}, body="""
+    SELECT item_id, 0 AS round FROM k0 WHERE item_id IN (SELECT item_id FROM d1 WHERE d2 IS NOT NULL)
+    UNION ALL SELECT item_id, 1 FROM k1 UNION ALL SELECT item_id, 2 FROM k2"""))
+def _(spark, sf):
+    """Two oversampling rounds next to the labelled rows. Round 0 draws by distance too where something is unavailable."""
+    e = embed_table(spark, sf)
+    found, _ = diversity.oversampled_candidates(e, 40, 2, e.where(F.col("odd").isNotNull()))
+    return found.select(F.col("id").alias("item_id"), "round")
+
+
 @query("e06_pick_diversity", sql("embed_labels", extra={
     "pts": "SELECT item_id, embedding AS v FROM embed_table", "taken": "SELECT p.* FROM pts p JOIN embed_labels l ON p.item_id = l.item_id WHERE l.odd IS NOT NULL OR l.exclude",
     "d0": """SELECT p.item_id, p.v, p.item_id NOT IN (SELECT item_id FROM taken) AS open,

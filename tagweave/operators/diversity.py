@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ def _shrink(d2, matrix, centres):
 
 
 def kpp_sample(vectors: DataFrame, k: int, unavailable: DataFrame | None = None, include: DataFrame | None = None,
-               seed=0, id_col: str = ID, vec: str = "embedding", first_uniform: bool = True) -> DataFrame:
+               seed=0, id_col: str = ID, vec: str = "embedding", first_uniform: bool = True, mode: str = "exact") -> DataFrame:
     """k-means++ picks as (id, pick): the first uniform, later ones in proportion to the squared distance to the nearest
     unavailable vector (given or already picked). Stops early when no weight is left.
 
@@ -44,7 +46,14 @@ def kpp_sample(vectors: DataFrame, k: int, unavailable: DataFrame | None = None,
     driver settles pick after pick on them as long as the winner beats every row that was not returned. The distance
     column is updated incrementally: only centres picked since its last rewrite are compared.
     To continue an earlier call, pass its picks as unavailable and first_uniform=False.
+
+    That takes about k / AHEAD passes. For many picks use mode="oversample" (see `kpp_oversample`), whose number of passes does not
+    grow with k.
     """
+    if mode == "oversample":
+        return kpp_oversample(vectors, k, unavailable, include, seed, id_col, vec, first_uniform)
+    if mode != "exact":
+        raise ValueError(f"mode must be 'exact' or 'oversample', not {mode!r}")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), as_double(vec).alias("v"))
     used = (unavailable.select(F.col(id_col).cast("long").alias("id")).distinct().withColumn("_used", F.lit(True))
             if unavailable is not None else None)
@@ -160,6 +169,129 @@ def _refresh(state: DataFrame, recent, gone) -> DataFrame:
     return state.mapInArrow(update, _STATE)
 
 
+def _distances(vectors: DataFrame, state: DataFrame, centres: DataFrame) -> DataFrame:
+    """`state` (id, open, base, d2, near) with the nearest of some more centres taken into account. Vectors are read, not rewritten."""
+    near = knn_query(vectors, centres, 1, "sqeuclid", "id", "v").select(F.col("src").alias("id"), F.col("dist").alias("_d"), F.col("dst").alias("_n"))
+    closer = F.col("_d").isNotNull() & (F.col("_d") < F.col("_r"))
+    joined = state.withColumnRenamed("d2", "_r").join(near, "id", "left")
+    # Only picks are counted as near; `base` is the distance to what was unavailable from the start.
+    return joined.select("id", "open", "base", F.when(closer, F.col("_d")).otherwise(F.col("_r")).alias("d2"),
+                         F.when(closer, F.col("_n")).otherwise(F.col("near")).alias("near"))
+
+
+def oversampled_candidates(vectors: DataFrame, expected: float, rounds: int, unavailable: DataFrame | None = None,
+                           include: DataFrame | None = None, seed=0, id_col: str = ID, vec: str = "embedding", first_uniform: bool = True,
+                           at_least: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(candidates, state) of the oversampling rounds of k-means||.
+
+    Round 0 takes one open row uniformly. Each further round takes every open row for itself with the probability expected * d2 / (sum of
+    d2), d2 being the squared distance to the nearest unavailable row or candidate. More rounds follow until there are `at_least`
+    candidates or no distance is left. candidates: (id, round, base); state: (id, open, base, d2, near) for all rows.
+    """
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), as_double(vec).alias("v"))
+    none = F.lit(None).cast("boolean")
+    used = unavailable.select(F.col(id_col).cast("long").alias("id")).distinct() if unavailable is not None else None
+    marked = rows.select("id")
+    marked = marked.join(used.withColumn("_used", F.lit(True)), "id", "left") if used is not None else marked.withColumn("_used", none)
+    if include is not None:
+        marked = marked.join(include.select(F.col(id_col).cast("long").alias("id")).distinct().withColumn("_in", F.lit(True)), "id", "left")
+    else:
+        marked = marked.withColumn("_in", F.lit(True))
+    state = marked.select("id", (F.coalesce("_in", F.lit(False)) & F.col("_used").isNull()).alias("open"))
+    far = F.lit(float("inf"))
+    if used is not None:
+        base = knn_query(rows, rows.join(used, "id", "left_semi"), 1, "sqeuclid", "id", "v").select(F.col("src").alias("id"), F.col("dist").alias("base"))
+        state = state.join(base, "id", "left").withColumn("base", F.coalesce("base", far))
+    else:
+        state = state.withColumn("base", far)
+    state = cut_lineage(state.select("id", "open", "base", F.col("base").alias("d2"), F.lit(None).cast("long").alias("near")))
+
+    def sampled(no: int, total: float) -> DataFrame:
+        if no == 0 and first_uniform or np.isinf(total):
+            return state.where("open").orderBy(hash_uniform(f"{seed}:0", "id"), "id").limit(1)
+        chance = F.col("d2") * F.lit(expected / total)
+        return state.where("open AND d2 > 0").where(hash_uniform(f"{seed}:round:{no}", "id") < chance)
+
+    found, candidates, no, n = [], None, 0, 0
+    while no <= rounds or n < at_least:
+        total = state.where("open").agg(F.sum("d2")).first()[0]
+        if not total or total <= 0:
+            break
+        fresh = cut_lineage(sampled(no, total).select("id", F.lit(no).alias("round"), "base"))
+        n += fresh.count()
+        found.append(fresh)
+        state = cut_lineage(_distances(rows, state, rows.join(fresh.select("id"), "id", "left_semi")))
+        no += 1
+    for f in found:
+        candidates = f if candidates is None else candidates.unionByName(f)
+    if candidates is None:
+        candidates = state.where("false").select("id", F.lit(0).alias("round"), "base")
+    return candidates, state
+
+
+DRIVER_BYTES = 64 << 20   # vectors of candidates that may come to the driver
+
+
+def kpp_oversample(vectors: DataFrame, k: int, unavailable: DataFrame | None = None, include: DataFrame | None = None, seed=0,
+                   id_col: str = ID, vec: str = "embedding", first_uniform: bool = True, rounds: int = 5, factor: float = 2.0) -> DataFrame:
+    """k picks as (id, pick) by oversampling (k-means||): about `rounds` * `factor` * k candidates from a few passes, each weighted by the number
+    of rows that it is nearest to, and weighted k-means++ over the candidates.
+
+    The first pick is that of the exact sampler. Picks are open rows, all different, and none is at distance 0 from an unavailable
+    row or another pick; there are fewer than k only if no distance is left. Distances and nearest candidates are a narrow
+    table next to the vectors, which are read once a round and never rewritten. What the driver reduces has at most DRIVER_BYTES of vectors;
+    more picks than that allows are made in several such turns, each away from the picks before.
+    """
+    spark = vectors.sparkSession
+    width = vectors.select(F.size(vec).alias("d")).limit(1).collect()
+    if not width or k <= 0:
+        return spark.createDataFrame([], f"`{id_col}` long, pick int")
+    turn = max(1, int(DRIVER_BYTES / (8 * max(1, width[0]["d"]) * factor * (rounds + 1))))
+    picked: list[int] = []
+    while len(picked) < k:
+        want = min(turn, k - len(picked))
+        taken = unavailable
+        if picked:
+            mine = spark.createDataFrame([(p,) for p in picked], f"`{id_col}` long")
+            taken = mine if unavailable is None else unavailable.select(F.col(id_col).cast("long").alias(id_col)).unionByName(mine)
+        tag = f"{seed}" if not picked else f"{seed}:{len(picked)}"
+        new = _reduced(vectors, want, taken, include, tag, id_col, vec, first_uniform and not picked, rounds, factor)
+        picked += new
+        if not new:
+            break
+    return spark.createDataFrame([(p, i) for i, p in enumerate(picked)], f"`{id_col}` long, pick int")
+
+
+def _reduced(vectors, k: int, unavailable, include, seed, id_col, vec, first_uniform, rounds, factor) -> list[int]:
+    candidates, state = oversampled_candidates(vectors, factor * k, rounds, unavailable, include, seed, id_col, vec, first_uniform, k)
+    weight = state.where("open AND near IS NOT NULL").groupBy(F.col("near").alias("id")).agg(F.count(F.lit(1)).alias("w"))
+    points = vectors.select(F.col(id_col).cast("long").alias("id"), as_double(vec).alias("v"))
+    found = (candidates.join(weight, "id", "left").join(points, "id").orderBy("id")
+             .select("id", "round", "base", F.coalesce("w", F.lit(1)).cast("double").alias("w"), "v").toArrow().combine_chunks())
+    if not found.num_rows:
+        return []
+    ids, order, d2, w = (found.column(c).to_numpy() for c in ("id", "round", "base", "w"))
+    x = B.matrix_of(found.column("v").chunk(0))
+    d2, free, picked = d2.copy(), np.ones(len(ids), bool), []
+    rng = np.random.default_rng(_number_of(seed))
+    while len(picked) < k:
+        if not picked and (first_uniform or np.isinf(d2).all()):
+            at = int(np.flatnonzero(order == 0)[0])
+        else:
+            mass = np.where(free, w * d2, 0.0)
+            if not mass.sum() > 0:
+                break
+            at = int(np.argmin(np.where(mass > 0, -np.log(1 - rng.random(len(ids))) / np.where(mass > 0, mass, 1.0), np.inf)))
+        picked.append(int(ids[at]))
+        free[at] = False
+        d2 = _shrink(d2, x, [x[at]])
+    return picked
+
+
+def _number_of(seed) -> int:
+    return int(hashlib.md5(f"{seed}:reduce".encode()).hexdigest()[:13], 16)
+
+
 def badge_embeddings(hidden: DataFrame, preds: DataFrame, classes, select_class: str | None = None,
                      id_col: str = ID, vec: str = "embedding") -> DataFrame:
     """Gradient of the mean cross-entropy against the rounded own score with respect to the last kernel.
@@ -175,17 +307,17 @@ def badge_embeddings(hidden: DataFrame, preds: DataFrame, classes, select_class:
     return ready.select(id_col, grad.alias(vec))
 
 
-def badge_sample(labels: DataFrame, hidden: DataFrame, preds: DataFrame, n: int | None = None, classes=None,
+def badge_sample(labels: DataFrame, hidden: DataFrame, preds: DataFrame, n: int, classes=None,
                  select_class: str | None = None, with_excluded: bool = False, id_col: str = ID, vec: str = "embedding",
-                 seed=0) -> DataFrame:
-    """k-means++ picks on gradient embeddings; labelled (and optionally excluded) rows are unavailable."""
+                 seed=0, mode: str = "exact") -> DataFrame:
+    """n k-means++ picks on gradient embeddings, fewer if fewer rows are open; labelled (and optionally excluded) rows are unavailable."""
     from tagweave.operators.filters import unavailable_ids
 
     classes = class_columns(labels, classes, id_col)
     taken = unavailable_ids(labels, classes, id_col) if with_excluded else labeled_ids(labels, classes, id_col)
     grads = badge_embeddings(hidden, preds, classes, select_class, id_col, vec)
     room = grads.join(taken, id_col, "left_anti").count()
-    return kpp_sample(grads, room if n is None else min(n, room), taken, seed=seed, id_col=id_col, vec=vec)
+    return kpp_sample(grads, min(n, room), taken, seed=seed, id_col=id_col, vec=vec, mode=mode)
 
 
 def projected_diversity_sample(labels: DataFrame, vectors: DataFrame, k: int, d_out: int, classes=None,
