@@ -7,13 +7,16 @@ numbered inside a bucket, and bucket totals (at most `buckets` rows per group) g
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.functions.hashing import hash_uniform
 from tagweave.session import cut_lineage
 
 TOP_ROWS = 100_000
+DRAWN_SHARE = 64
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -43,6 +46,46 @@ def bucket_offsets(marked: DataFrame, group) -> DataFrame:
     return counts.select(*group, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
 
 
+def find_rows(draws: DataFrame, rows: DataFrame, key: str, n_draws: int, group=(), n_rows: int | None = None,
+              seed="row") -> DataFrame:
+    """`draws` with the `key` of the row that has their `row_no` in `hash_index(rows, key, group, seed)`, without numbering all rows.
+
+    The hash order is cut into far more buckets than there are draws. One aggregate counts the rows per group and bucket; a draw
+    finds its bucket in two steps of about sqrt(buckets) counts each, and only rows of buckets that were drawn are sorted
+    and numbered. What remains per row is its hash, a count and a look at the list of drawn buckets. Where `n_rows` says that the
+    table has fewer than DRAWN_SHARE rows per draw, most of it would be drawn, and all of it is numbered.
+    """
+    group = list(group)
+    if n_rows is not None and n_rows < DRAWN_SHARE * n_draws:
+        return draws.join(hash_index(rows, key, group, seed), [*group, "row_no"])
+    side = max(32, min(1024, math.isqrt(DRAWN_SHARE * max(1, n_draws)) + 1))
+    buckets = side * side
+    marked = rows.withColumn("_u", hash_uniform(seed, key)).withColumn(
+        "_b", F.coalesce(F.floor(F.col("_u") * buckets).cast("int"), F.lit(0))).withColumn("_all", F.lit(0))
+    of = ["_all", *group]
+    counts = marked.groupBy(*of, "_b").agg(F.count(F.lit(1)).alias("n")).withColumn("_c", F.floor(F.col("_b") / side).cast("int"))
+    fine = counts.groupBy(*of, "_c").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.col("_b").alias("at"), "n"))).alias("_fine"))
+    coarse = fine.groupBy(*of).agg(F.sort_array(F.collect_list(F.struct(F.col("_c").alias("at"), "n"))).alias("_coarse"))
+
+    def place(steps: str, number: str) -> Column:
+        """(at, off): the entry that holds a number, and how many rows stand before it."""
+        def walk(seen, step):
+            gone = seen["off"] + step["n"]
+            advance = F.struct(gone.alias("off"), seen["at"].alias("at"))
+            stop = F.struct(seen["off"].alias("off"), step["at"].alias("at"))
+            return F.when(seen["at"] >= 0, seen).when(gone <= F.col(number), advance).otherwise(stop)
+        return F.aggregate(steps, F.struct(F.lit(0).cast("long").alias("off"), F.lit(-1).alias("at")), walk)
+
+    near = (draws.withColumn("_all", F.lit(0)).join(coarse, of).withColumn("_f", place("_coarse", "row_no"))
+            .withColumn("_c", F.col("_f.at")).withColumn("_rest", F.col("row_no") - F.col("_f.off")).drop("_coarse", "_f"))
+    target = (near.join(fine.drop("n"), [*of, "_c"]).withColumn("_f", place("_fine", "_rest"))
+              .withColumn("_b", F.col("_f.at")).withColumn("_r", F.col("_rest") - F.col("_f.off")).drop("_fine", "_f", "_c", "_rest"))
+    per_bucket = Window.partitionBy(*of, "_b").orderBy("_u", key)
+    drawn = (marked.select(*of, "_b", "_u", key).join(target.select(*of, "_b").distinct(), [*of, "_b"], "left_semi")
+             .withColumn("_r", (F.row_number().over(per_bucket) - 1).cast("long")))
+    return target.join(drawn.drop("_u"), [*of, "_b", "_r"]).drop("_all", "_b", "_r")
+
+
 def running_total(df: DataFrame, order_by, totals: dict[str, str], group=()) -> DataFrame:
     """Exact sum over all earlier rows of the group, for each {source column: output column}.
 

@@ -1,8 +1,8 @@
 """Draws with and without replacement.
 
 A draw with replacement is a row of a table of N draws: it gets a stratum and a row number inside the stratum from two
-hash uniforms and finds its item by an equi-join on both. Strata are numbered with `ranking.hash_index`, so a stratum
-that holds most of the table stays spread over many tasks.
+hash uniforms and finds its item with `ranking.find_rows`, which counts the table once and then sorts only the small parts of it
+that were drawn. A stratum that holds most of the table stays spread over many tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.hashing import hash_uniform
 from tagweave.operators.filters import is_unlabeled, training_rows
-from tagweave.operators.ranking import first_rows, hash_index, ordered_index
+from tagweave.operators.ranking import find_rows, first_rows, hash_index, ordered_index
 from tagweave.schema import ID, class_columns, melt_classes
 
 
@@ -80,8 +80,7 @@ def stratified_sample(df: DataFrame, n: int = 1000, mode: str = "class", classes
         choice = F.when(F.col("_u1") < bound, value) if choice is None else choice.when(F.col("_u1") < bound, value)
     draws = draw_table(df, n, seed).withColumn("_s", choice).select(
         "draw", "_s.class", "_s.value", F.floor(F.col("_u2") * F.col("_s.n")).cast("long").alias("row_no"))
-    rows = hash_index(strata(df, classes, id_col), id_col, ["class", "value"])
-    found = draws.join(rows, ["class", "value", "row_no"]).select("draw", id_col, "class", "value")
+    found = find_rows(draws, strata(df, classes, id_col), id_col, n, ["class", "value"], sum(s for *_, s in sizes)).select("draw", id_col, "class", "value")
     labels = df.select(id_col, *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c) for c in classes])
     return found.join(labels, id_col)
 
@@ -94,7 +93,7 @@ def grouped_sample(rows: DataFrame, n: int, group: str, id_col: str = ID, seed=0
     draws = (draw_table(rows, n, seed).withColumn("ordinal", F.floor(F.col("_u1") * total).cast("long"))
              .join(numbered, "ordinal")
              .select("draw", "ordinal", group, F.floor(F.col("_u2") * F.col("n")).cast("long").alias("row_no")))
-    return draws.join(hash_index(rows, id_col, [group]), [group, "row_no"]).select("draw", id_col, group, "ordinal")
+    return find_rows(draws, rows, id_col, n, [group]).select("draw", id_col, group, "ordinal")
 
 
 def subset_sample(df: DataFrame, n: int = 1000, id_col: str = ID, seed=0) -> DataFrame:
@@ -109,7 +108,7 @@ def uniform_sample(rows: DataFrame, n: int, id_col: str = ID, seed=0) -> DataFra
     """n uniform draws with replacement from all rows."""
     total = rows.count()
     draws = draw_table(rows, n, seed).select("draw", F.floor(F.col("_u2") * total).cast("long").alias("row_no"))
-    return draws.join(hash_index(rows.select(id_col), id_col), "row_no").select("draw", id_col)
+    return find_rows(draws, rows.select(id_col), id_col, n, n_rows=total).select("draw", id_col)
 
 
 def unlabeled_sample(df: DataFrame, n: int = 1000, classes=None, id_col: str = ID, seed=0) -> DataFrame:
@@ -134,13 +133,13 @@ def cluster_stratified(assignment: DataFrame, mult: int = 1, cluster: str = "clu
     per = mult * (total // (int(top) + 1))
     sizes = assignment.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
     numbered = ordered_index(sizes, [cluster], out="ordinal")
-    slots = assignment.sparkSession.range(numbered.count() * per).select(
+    n = numbered.count() * per
+    slots = assignment.sparkSession.range(n).select(
         F.floor(F.col("id") / max(per, 1)).cast("long").alias("ordinal"), F.pmod("id", F.lit(max(per, 1))).alias("slot"))
     draws = slots.join(numbered, "ordinal").select(
         cluster, "slot", F.floor(hash_uniform(f"{seed}:row", cluster, "slot") * F.col("n")).cast("long").alias("row_no"),
         hash_uniform(f"{seed}:order", cluster, "slot").alias("order_key"))
-    rows = hash_index(assignment.select(id_col, cluster), id_col, [cluster])
-    return draws.join(rows, [cluster, "row_no"]).select(id_col, cluster, "slot", "order_key")
+    return find_rows(draws, assignment.select(id_col, cluster), id_col, n, [cluster], total).select(id_col, cluster, "slot", "order_key")
 
 
 def missingness_weights(df: DataFrame, tasks, id_col: str = ID) -> DataFrame:
@@ -163,12 +162,11 @@ def missingness_sample(df: DataFrame, tasks, n: int, balanced: bool = True, id_c
     present = [t for t in tasks if known[t] > 0]
     long = df.unpivot([id_col], [F.col(t).cast("string").alias(t) for t in present], "task", "category").where(
         F.col("category").isNotNull())
-    rows = hash_index(long.select(id_col, "task"), id_col, ["task"])
     table = F.array(*[F.struct(F.lit(t).alias("task"), F.lit(known[t]).cast("long").alias("n")) for t in present])
     pick = F.element_at(table, (F.floor(F.col("_u1") * len(present)) + 1).cast("int"))
     draws = draw_table(df, n, seed).withColumn("_t", pick).select(
         "draw", "_t.task", F.floor(F.col("_u2") * F.col("_t.n")).cast("long").alias("row_no"))
-    return draws.join(rows, ["task", "row_no"]).select("draw", id_col, "task")
+    return find_rows(draws, long.select(id_col, "task"), id_col, n, ["task"], sum(known[t] for t in present)).select("draw", id_col, "task")
 
 
 def learning_curve_size(total: int, smallest: int, seed=0, trial: int = 0) -> int:

@@ -204,3 +204,29 @@ def test_many_first_rows_without_a_single_task(half, monkeypatch):
     few = ids(select.pick(labels, preds, 30, sort_by="highest: foo"))
     monkeypatch.setattr(ranking, "TOP_ROWS", 10)
     assert ids(select.pick(labels, preds, 30, sort_by="highest: foo")) == few
+
+
+def test_drawn_rows_are_those_of_the_whole_numbering(spark):
+    rows = spark.range(5000).select(F.col("id").alias("item_id"), F.when(F.col("id") % 10 < 9, "hot").otherwise("cold").alias("g"))
+    whole = {(r["g"], r["row_no"]): r["item_id"] for r in ranking.hash_index(rows, "item_id", ["g"]).collect()}
+    draws = spark.range(300).select(F.col("id").alias("draw"), F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("g"),
+                                    (F.col("id") * 37 % 500).alias("row_no"))
+    draws = draws.unionByName(spark.createDataFrame([(1000, "hot", 4499), (1001, "cold", 499), (1002, "hot", 0), (1003, "hot", 0)], draws.schema))
+    for n in (4, 300, 10**6):
+        got = ranking.find_rows(draws, rows, "item_id", n, ["g"]).collect()
+        assert len(got) == 304 and all(whole[r["g"], r["row_no"]] == r["item_id"] for r in got)
+    alone = {r["row_no"]: r["item_id"] for r in ranking.hash_index(rows, "item_id").collect()}
+    got = ranking.find_rows(draws.drop("g"), rows.select("item_id"), "item_id", 300).collect()
+    assert len(got) == 304 and all(alone[r["row_no"]] == r["item_id"] for r in got)
+
+
+def test_draws_sort_only_what_was_drawn(spark):
+    """The only sort of rows stands above the join with the drawn buckets."""
+    import re
+
+    rows = spark.range(200_000).select(F.col("id").alias("item_id"))
+    out = sample.uniform_sample(rows, 20)
+    assert out.count() == 20
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    window = next(i for i, line in enumerate(plan) if re.search(r"Window \[row_number", line))
+    assert any("LeftSemi" in line for line in plan[window:window + 3])
