@@ -4,15 +4,17 @@
    numbered 0 to n - 1: by stored part, then by place in it. The store fixes the numbering; a resumed run reads it again.
 2. A Feistel network over the next even number of bits, walked along its cycle until it lands below n, is a
    permutation of 0 to n - 1 that needs no table and no sort of the whole.
-3. Slots are cut into shards of `per_shard` sequences. Some ranges of shards are written at a time: their rows are partitioned
-   by shard, sorted by slot and streamed into files with one record every `stride` bytes, so record i of a shard is at
-   i * stride. A range is complete when its manifest is; complete ranges are skipped by a later run.
+3. Slots are cut into shards of `per_shard` sequences. Some ranges of shards are written at a time: as slots have no gaps, the
+   range partition of a row is its shard; a partition is sorted by slot and streamed into a file with one record every `stride` bytes,
+   so record i of a shard is at i * stride. A range is complete when its manifest is; a later run skips complete ranges and
+   makes others anew. What a folder was made of is written there first, and a run with anything else is refused.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 import struct
 import uuid
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import Cache, Scratch, arrow_rows
+from tagweave.llm.common import Cache, Scratch, arrow_rows, remove_path
 
 ROUNDS = 4
 HEADER = "<qiI"
@@ -93,14 +95,17 @@ def materialise(docs: DataFrame, path: str, key: int = 1, seq_len: int = 256, pe
     `path`/shards/shard-<number>.bin; a record is doc_id (int64), piece (int32), n_tokens (uint32) and seq_len token ids
     (uint16), the rest filled with `pad`. Read back with `read_shard`. A null doc_id is stored as -2 ** 63.
 
-    A run that finds the token store of `path` complete uses it, and skips ranges whose manifest is complete.
+    A run that finds the token store of `path` complete uses it, and skips ranges whose manifest is complete. Incomplete parts, as a
+    lost run leaves them, are written again. ValueError if `path` was begun with other documents or parameters.
     Null and empty texts have no sequences. Repeated rows are sequences of their own. Other columns are ignored; no rows
     give no shards and an empty manifest. The vocabulary must have at most 65 536 ids.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "slots")
     scratch.root = path
+    _same_run(docs, path, id_col, text_col, key=key, seq_len=seq_len, per_shard=per_shard, passes=passes, tokenizer=os.path.basename(tokenizer), pad=pad)
     if not _exists(spark, f"{path}/tokens/_SUCCESS"):
+        remove_path(spark, f"{path}/tokens")
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         scratch.write(rows.mapInArrow(_tokenise(tokenizer, seq_len), _STORE), "tokens", "zstd")
     store = spark.read.schema(_STORE).parquet(f"{path}/tokens")
@@ -115,14 +120,17 @@ def materialise(docs: DataFrame, path: str, key: int = 1, seq_len: int = 256, pe
     def slot_of(index: pd.Series) -> pd.Series:
         return pd.Series(feistel(index.to_numpy(), n, key))
 
+    slot_of = slot_of.asNondeterministic()  # so that the filter on shards reads the column and does not compute it again
     placed = (store.join(F.broadcast(base), "part")
               .withColumn("slot", slot_of(F.col("base") + F.col("row"))).drop("part", "row", "base")
               .withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long")))
     step = max(1, -(-shards // passes))
     for lo in range(0, shards, step):
         if not _exists(spark, f"{path}/manifest/from={lo}/_SUCCESS"):
+            remove_path(spark, f"{path}/manifest/from={lo}")
             mine = placed.where((F.col("shard") >= lo) & (F.col("shard") < lo + step))
-            dealt = mine.repartition(min(step, shards - lo), "shard").sortWithinPartitions("shard", "slot")
+            dealt = (mine.repartitionById(min(step, shards - lo), (F.col("shard") - lo).cast("int"))
+                     .sortWithinPartitions("slot"))
             scratch.write(dealt.mapInArrow(_write_shards(path, seq_len, per_shard, pad), _MANIFEST), f"manifest/from={lo}")
     ready = [f"{path}/manifest/from={lo}" for lo in range(0, shards, step)]
     return spark.read.schema(_MANIFEST).parquet(*ready) if ready else spark.createDataFrame([], _MANIFEST)
@@ -137,6 +145,33 @@ def _exists(spark, path: str) -> bool:
     return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
 
 
+def _same_run(docs: DataFrame, path: str, id_col: str, text_col: str, **parameters) -> None:
+    """Write what the run is made of to `path`, or compare with what is there."""
+    spark = docs.sparkSession
+    marks = docs.agg(F.count(F.lit(1)), F.sum(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).cast("decimal(38,0)"))).first()
+    mine = json.dumps({**parameters, "rows": marks[0], "sum": str(marks[1])}, sort_keys=True)
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/parameters.json")
+    system = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not system.exists(target):
+        if system.exists(target.getParent()) and len(system.listStatus(target.getParent())):
+            raise ValueError(f"{path} is not empty and does not say what it was made of")
+        draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/parameters.{uuid.uuid4().hex}")
+        stream = system.create(draft, True)
+        try:
+            stream.write(bytearray(mine.encode()))
+        finally:
+            stream.close()
+        system.rename(draft, target)
+        return
+    stream = system.open(target)
+    try:
+        there = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    if there != mine:
+        raise ValueError(f"{path} was begun with {there}, this run has {mine}")
+
+
 def _tokenise(tokenizer: str, seq_len: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("n_tokens", pa.int32()), ("tokens", pa.binary()),
                         ("part", pa.int64()), ("row", pa.int64())])
@@ -182,6 +217,8 @@ def _close(system, out, names) -> None:
     """A shard file gets its name when it is whole, so a task that runs twice leaves one whole file."""
     if out is not None:
         out.close()
+        if system.get_file_info(names[1]).type != fs.FileType.NotFound:
+            system.delete_file(names[1])
         system.move(*names)
 
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest_llm import documents
@@ -76,6 +77,37 @@ def test_shards_round_trip_and_resume(spark, messy, tmp_path):
     assert slots.materialise(documents(spark, []), f"file://{tmp_path}/none").count() == 0
 
 
+def test_a_lost_run_is_resumed_and_another_one_refused(spark, messy, tmp_path, monkeypatch):
+    docs, path = documents(spark, messy), f"file://{tmp_path}/out"
+    go = dict(seq_len=16, per_shard=50, passes=3)
+    whole = slots.materialise(docs, f"file://{tmp_path}/whole", **go)
+    real = slots.Scratch.write
+
+    def lost(at, marker):
+        """Fail at one table, leaving some of its files without the mark of completeness."""
+        def write(self, df, name, *a, **k):
+            out = real(self, df, name, *a, **k)
+            if name.startswith(at):
+                (tmp_path / "out" / marker / "_SUCCESS").unlink()
+                raise InterruptedError
+            return out
+        return write
+
+    second = sorted(p.name for p in (tmp_path / "whole" / "manifest").iterdir())[1]
+    for at, marker in (("tokens", "tokens"), (f"manifest/{second}", f"manifest/{second}")):
+        monkeypatch.setattr(slots.Scratch, "write", lost(at, marker))
+        with pytest.raises(InterruptedError):
+            slots.materialise(docs, path, **go)
+    monkeypatch.setattr(slots.Scratch, "write", real)
+    assert Counter(map(tuple, slots.materialise(docs, path, **go).collect())) == Counter(map(tuple, whole.collect()))
+    for shard in range(-(-whole.count() // 50)):
+        assert list(slots.read_shard(path, shard, 16)) == list(slots.read_shard(f"file://{tmp_path}/whole", shard, 16))
+    more = documents(spark, [*messy, (999, "new words")])
+    for other, rows in (({"key": 2}, docs), ({"passes": 2}, docs), ({"per_shard": 60}, docs), ({"seq_len": 8}, docs), ({}, more)):
+        with pytest.raises(ValueError, match="was begun with"):
+            slots.materialise(rows, path, **{**go, **other})
+
+
 def _talk(rng, words, n):
     return " ".join(rng.choice(words) for _ in range(n))
 
