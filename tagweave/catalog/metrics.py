@@ -40,10 +40,26 @@ def _(spark, sf):
     return rounded(M.accuracy_estimate(counts).drop("interval_low", "interval_high", "prob_above_base_rate"), "accuracy", "base_rate")
 
 
-@query("d04_accuracy_interval")
+def _tail(x: str) -> str:
+    """P(share <= x) as a binomial tail, which is the incomplete beta function of whole parameters."""
+    n = "(tp + tn + fp + fn)"
+    return f"""list_sum([exp(lgamma(10.0::DOUBLE + {n}) - lgamma(j + 1.0::DOUBLE) - lgamma(10.0::DOUBLE + {n} - j)
+        + j * ln({x}) + (9.0::DOUBLE + {n} - j) * ln(1 - {x})) for j in range(5 + tp + tn, 10 + {n})])"""
+
+
+_HALVES = f"""SELECT class, q, 0 AS step, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM est, (SELECT unnest([0.05::DOUBLE, 0.95::DOUBLE]) AS q)
+    UNION ALL SELECT h.class, q, step + 1, CASE WHEN {_tail("((lo + hi) / 2)")} < q THEN (lo + hi) / 2 ELSE lo END,
+        CASE WHEN {_tail("((lo + hi) / 2)")} < q THEN hi ELSE (lo + hi) / 2 END
+    FROM halves h JOIN est USING (class) WHERE step < 45"""
+
+
+@query("d04_accuracy_interval", sql("known", extra={"est": _ESTIMATE, "halves": _HALVES, "found": """
+        SELECT class, max(CASE WHEN q < 0.5 THEN lo END) AS low, max(CASE WHEN q > 0.5 THEN lo END) AS high FROM halves WHERE step = 45 GROUP BY class"""}, body=f"""
+    SELECT class, tp, tn, fp, fn, round(accuracy, 6) AS accuracy, round(low, 6) AS interval_low, round(high, 6) AS interval_high,
+        round(base_rate, 6) AS base_rate, round(1 - {_tail("base_rate")}, 6) AS prob_above_base_rate FROM est JOIN found USING (class)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, sf):
     counts = M.confusion_counts(label_table(spark, sf), pred_table(spark, sf), 0.5, CLASSES)
-    return M.accuracy_estimate(counts)
+    return rounded(M.accuracy_estimate(counts), "accuracy", "interval_low", "interval_high", "base_rate", "prob_above_base_rate")
 
 
 @query("d04_prob_above_base_rate", sql("known", extra={"est": _ESTIMATE}, body="""

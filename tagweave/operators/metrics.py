@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagweave.functions.beta import beta_cdf, beta_quantile
 from tagweave.functions.scoring import binary_crossentropy, label_smoothing, sigmoid
 from tagweave.functions.vectors import array_sum, as_double
 from tagweave.operators.filters import align, is_unlabeled
@@ -69,46 +70,6 @@ def confusion_counts(labels: DataFrame, preds: DataFrame, threshold: float = 0.5
     return out.where((F.col("tp") + F.col("fn") > 0) & (F.col("tn") + F.col("fp") > 0))
 
 
-def _beta_tail_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz evaluation)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    value = d
-    for m in range(1, 10000):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for term in (even, odd):
-            d = 1.0 + term * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + term / c
-            c = c if abs(c) > tiny else tiny
-            step = c * d
-            value *= step
-        if abs(step - 1.0) < 1e-14:
-            break
-    return value
-
-
-def beta_cdf(x: float, a: float, b: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_tail_fraction(a, b, x) / a
-    return 1.0 - front * _beta_tail_fraction(b, a, 1.0 - x) / b
-
-
-def beta_quantile(q: float, a: float, b: float) -> float:
-    lo, hi = 0.0, 1.0
-    for _ in range(60):
-        mid = 0.5 * (lo + hi)
-        lo, hi = (mid, hi) if beta_cdf(mid, a, b) < q else (lo, mid)
-    return 0.5 * (lo + hi)
-
-
 def accuracy_estimate(counts: DataFrame, alpha: float = 5, beta: float = 5, as_text: bool = False) -> DataFrame:
     """Beta-binomial view of tp, fp, tn, fn: posterior mean accuracy, its 90 % interval, base rate, P(accuracy > base).
 
@@ -120,7 +81,7 @@ def accuracy_estimate(counts: DataFrame, alpha: float = 5, beta: float = 5, as_t
 
     @F.pandas_udf("struct<low double, high double, above double>")
     def interval(a: pd.Series, b: pd.Series, base: pd.Series) -> pd.DataFrame:
-        rows = [(beta_quantile(0.05, x, y), beta_quantile(0.95, x, y), 1.0 - beta_cdf(r, x, y))
+        rows = [(beta_quantile(0.05, x, y), beta_quantile(0.95, x, y), beta_cdf(1.0 - r, y, x))
                 for x, y, r in zip(a, b, base)]
         return pd.DataFrame(rows, columns=["low", "high", "above"])
 

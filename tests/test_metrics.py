@@ -95,3 +95,44 @@ def test_fixmatch_and_worst(spark):
 def test_cluster_sizes_include_empty(spark):
     a = spark.createDataFrame([(0,), (2,), (2,)], "cluster int")
     assert sorted(map(tuple, M.cluster_sizes(a, 4).collect())) == [(0, 1), (1, 0), (2, 2), (3, 0)]
+
+
+def exact_tail(x, a, b):
+    """P(share <= x) for whole parameters in 60 digits, by the terms of the binomial sum around its largest one."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    x, n = Decimal(x), a + b - 1
+    odds = x / (1 - x)
+    # Ratios of neighbouring terms need no factorials; the whole sum normalises them.
+    middle = int(n * x)
+    up, term, total_up, j = [], Decimal(1), Decimal(0), middle
+    above, below = Decimal(0), Decimal(0)
+    while term > Decimal(10) ** -30:
+        above, below = (above + term, below) if j >= a else (above, below + term)
+        term, j = term * (n - j) / (j + 1) * odds, j + 1
+    term, j = Decimal(1), middle
+    while term > Decimal(10) ** -30 and j > 0:
+        term, j = term * j / (n - j + 1) / odds, j - 1
+        above, below = (above + term, below) if j >= a else (above, below + term)
+    return float(above / (above + below))
+
+
+def test_beta_for_large_counts():
+    """Against sums in 60 digits where they have few enough terms, and the median and symmetry beyond."""
+    from tagweave.functions.beta import beta_cdf, beta_quantile
+
+    for a, b in ((15, 7), (500_003, 500_001), (900_000, 100_000), (2_000_000, 3_000_000), (1_000_000_000, 1_000)):
+        mean = a / (a + b)
+        for z in (-2.5, -0.7, 0.0, 1.3):
+            x = mean + z * math.sqrt(mean * (1 - mean) / (a + b))
+            if 0 < x < 1:
+                assert abs(beta_cdf(x, a, b) - exact_tail(x, a, b)) < (2e-8 if b < 1e5 < a else 1e-9)
+    for n in (1e6, 1e9, 1e11, 1e12):
+        assert abs(beta_cdf(0.5, n / 2, n / 2) - 0.5) < 1e-9
+        for q in (0.05, 0.95):
+            x = beta_quantile(q, 0.7 * n, 0.3 * n)
+            assert abs(beta_cdf(x, 0.7 * n, 0.3 * n) - q) < 1e-9
+            # The normal law is the limit; its first correction is of order 1 / sqrt(n).
+            z = (x - 0.7) / math.sqrt(0.21 / n)
+            assert abs(abs(z) - 1.6448536269514722) < 3 / math.sqrt(n) + 1e-6
