@@ -15,13 +15,13 @@ def op7_nearest_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-@register()
+@register(sql.PASSAGES)
 def op5_passage_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring.remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-@register()
+@register(sql.SHINGLE_COMPONENTS)
 def op6_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 

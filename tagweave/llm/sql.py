@@ -82,3 +82,16 @@ FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN m USIN
 
 JACCARD_COMPONENTS = _components(5, more=", coalesce(n_links, 0) AS n_links")
 SHINGLE_COMPONENTS = _components(2, more=", doc_id = component_id AS kept")
+
+PASSAGES = """
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) > 12)),
+f AS (SELECT k, min(doc_id) AS f FROM win GROUP BY k),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN f USING (k) WHERE f < doc_id),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+cut AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""

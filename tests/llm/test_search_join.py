@@ -236,7 +236,7 @@ def test_registered_queries_against_their_sql(spark):
     con = duckdb.connect()
     for name in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
-    for name in ("op11_jaccard_tiles", "op12_part_codes", "op13_ranked_documents"):
+    for name in ("op5_passage_repeats", "op6_minhash_groups", "op11_jaccard_tiles", "op12_part_codes", "op13_ranked_documents"):
         df = getattr(queries, name)(spark, sf)
         cols = sorted(df.columns)
         want = con.sql(ORACLES[name])
