@@ -16,7 +16,7 @@ from tagweave.operators import metrics
 from tagweave.operators.edits import BOOLEAN_FIELDS
 from tagweave.operators.encode import class_codes, encode_classes
 from tagweave.operators.sample import with_param_draws
-from tagweave.plans import cluster, evaluate, propagate, rounds, training, trials
+from tagweave.plans import cluster, evaluate, network, propagate, rounds, training, trials
 from tagweave.session import scratch_path
 from tagweave.streaming import edits as streams
 
@@ -45,6 +45,25 @@ def _(spark, sf):
     return rounded(out, "odd")
 
 
+def _planted_sql(extra: dict, body: str) -> str:
+    labels = """SELECT item_id, (item_id % 17 = 0) AS exclude, (item_id % 5 = 0) AS validation,
+        CASE WHEN item_id % 3 <> 1 THEN CAST(item_id % 4 < 2 AS INTEGER)::DOUBLE END AS low,
+        CASE WHEN (item_id // 4) % 2 = 0 THEN CAST(item_id % 4 = 3 AS INTEGER)::DOUBLE END AS last FROM embed_table"""
+    points = """SELECT item_id, list_transform(embedding, lambda x, j: x * 4.0::DOUBLE + CASE WHEN j = item_id % 4 + 1 THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END) AS x
+        FROM embed_table"""
+    return sql("embed_table", extra={"planted_labels": labels, "points": points, **extra}, body=body)
+
+
+_KNOWN = {
+    "known": """SELECT * FROM (SELECT item_id, 'low' AS class, low AS y FROM planted_labels WHERE NOT exclude AND NOT validation
+        UNION ALL SELECT item_id, 'last', last FROM planted_labels WHERE NOT exclude AND NOT validation) WHERE y IS NOT NULL""",
+    "size": "SELECT class, y, CAST(count(*) AS DOUBLE) AS n FROM known GROUP BY class, y",
+    "share": """SELECT mode, class, y, n, CASE mode WHEN 'class' THEN 1.0::DOUBLE WHEN 'instance' THEN n ELSE sqrt(n) END AS s
+        FROM size, (SELECT unnest(['class', 'instance', 'squareroot']) AS mode)""",
+    "stratum": "SELECT mode, class, y, s / sum(s) OVER (PARTITION BY mode) / n * sum(n) OVER (PARTITION BY mode) AS w FROM share",
+    "weight": "SELECT item_id, mode, sum(w) AS w FROM known JOIN stratum USING (class, y) GROUP BY item_id, mode"}
+
+
 def _quality(summary):
     return summary.select("class", "num_validation_points", "num_training_points", "val_auc", "val_acc")
 
@@ -76,6 +95,53 @@ def _(spark, sf):
     return _quality(metrics.run_summary(labels, training.predict_mlp(models, vectors), PLANTED))
 
 
+def _network_sql(units: int = 3, steps: int = 2, rate: float = 0.05) -> str:
+    """Steps of one hidden layer from fixed weights; unit `units` and position 64 are the biases."""
+    start = "sin(0.3::DOUBLE * ({0} + 1)) / 4"
+    ctes = {**_KNOWN,
+            "cell": "SELECT k.item_id, k.class, k.y, w.w FROM known k JOIN weight w USING (item_id) WHERE mode = 'class'",
+            "xs": "SELECT item_id, unnest(range(0, 65)) AS j, unnest(list_append(x, 1.0::DOUBLE)) AS v FROM points WHERE item_id IN (SELECT item_id FROM cell)",
+            "c": "SELECT * FROM (VALUES ('low', 0), ('last', 1)) t(class, k)",
+            "a0": f"""SELECT j, u, CASE WHEN j = 64 THEN 0.0::DOUBLE ELSE {start.format(f'j * {units} + u')} END AS th, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v
+                FROM (SELECT unnest(range(0, 65)) AS j), (SELECT unnest(range(0, {units})) AS u)""",
+            "b0": f"""SELECT u, class, CASE WHEN u = {units} THEN 0.0::DOUBLE ELSE {start.format('u * 2 + k')} END AS th, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v
+                FROM (SELECT unnest(range(0, {units + 1})) AS u), c"""}
+    for t in range(steps):
+        moved = f"""th - {rate}::DOUBLE * ((0.9::DOUBLE * m + 0.1::DOUBLE * g) / {1 - 0.9 ** (t + 1)!r}::DOUBLE)
+            / (sqrt((0.999::DOUBLE * v + 0.001::DOUBLE * g * g) / {1 - 0.999 ** (t + 1)!r}::DOUBLE) + 1e-8::DOUBLE) AS th, 0.9::DOUBLE * m + 0.1::DOUBLE * g AS m,
+            0.999::DOUBLE * v + 0.001::DOUBLE * g * g AS v"""
+        ctes |= {
+            f"h{t}": f"""SELECT item_id, u, greatest(sum(x.v * a.th), 0) AS h FROM xs x JOIN a{t} a USING (j) GROUP BY item_id, u
+                UNION ALL SELECT DISTINCT item_id, {units}, 1.0::DOUBLE FROM xs""",
+            f"s{t}": f"""SELECT item_id, class, (1 / (1 + exp(-any_value(z))) - any_value(y)) * any_value(w) AS slope FROM cell JOIN (
+                SELECT item_id, class, sum(h * th) AS z FROM h{t} JOIN b{t} USING (u) GROUP BY item_id, class) USING (item_id, class) GROUP BY item_id, class""",
+            f"gb{t}": f"SELECT u, class, sum(slope * h) / (SELECT sum(w) FROM cell) AS g FROM s{t} JOIN h{t} USING (item_id) GROUP BY u, class",
+            f"back{t}": f"""SELECT s.item_id, b.u, sum(slope * th) AS d FROM s{t} s JOIN b{t} b USING (class) JOIN h{t} h ON h.item_id = s.item_id AND h.u = b.u
+                WHERE h > 0 AND b.u < {units} GROUP BY s.item_id, b.u""",
+            f"ga{t}": f"SELECT j, u, sum(d * v) / (SELECT sum(w) FROM cell) AS g FROM back{t} JOIN xs USING (item_id) GROUP BY j, u",
+            f"a{t + 1}": f"SELECT j, u, {moved} FROM (SELECT a.*, coalesce(g, 0) AS g FROM a{t} a LEFT JOIN ga{t} USING (j, u))",
+            f"b{t + 1}": f"SELECT u, class, {moved} FROM (SELECT b.*, coalesce(g, 0) AS g FROM b{t} b LEFT JOIN gb{t} USING (u, class))"}
+    return _planted_sql(ctes, f"""
+        SELECT 0 AS layer, CAST(j AS INTEGER) AS i, CAST(u AS INTEGER) AS j, round(th, 6) + 0.0 AS value FROM a{steps}
+        UNION ALL SELECT 1, CAST(u AS INTEGER), k, round(th, 6) + 0.0 FROM b{steps} JOIN c USING (class)""")
+
+
+@query("h03_network_steps", _network_sql())
+def _(spark, sf):
+    """Two steps of a network with three hidden units from fixed weights."""
+    start = [np.concatenate([np.sin(0.3 * np.arange(1, a * b + 1)).reshape(a, b) / 4, np.zeros((1, b))]) for a, b in ((64, 3), (3, 2))]
+    net = network.train_network(planted_table(spark, sf), planted_labels(spark, sf), PLANTED, (3,), 2, 0.05, layers=start)
+    rows = [(n, i, j, float(v)) for n, w in enumerate(net.layers) for i, line in enumerate(w) for j, v in enumerate(line)]
+    return rounded(spark.createDataFrame(rows, "layer int, i int, j int, value double"), "value")
+
+
+@query("h03_shared_network")
+def _(spark, sf):
+    labels, vectors = planted_labels(spark, sf), planted_table(spark, sf)
+    net = network.train_network(vectors, labels, PLANTED, (8,), 40, 0.05, dropout=0.1)
+    return _quality(metrics.run_summary(labels, net.predict(vectors), PLANTED))
+
+
 @query("h04_linear_probe")
 def _(spark, sf):
     _, matrix = training.linear_probe(planted_table(spark, sf), "c")
@@ -166,15 +232,6 @@ def _(spark, sf):
     return evaluate.random_search(vectors, planted_labels(spark, sf), _trials(vectors), PLANTED, 8)
 
 
-def _planted_sql(extra: dict, body: str) -> str:
-    labels = """SELECT item_id, (item_id % 17 = 0) AS exclude, (item_id % 5 = 0) AS validation,
-        CASE WHEN item_id % 3 <> 1 THEN CAST(item_id % 4 < 2 AS INTEGER)::DOUBLE END AS low,
-        CASE WHEN (item_id // 4) % 2 = 0 THEN CAST(item_id % 4 = 3 AS INTEGER)::DOUBLE END AS last FROM embed_table"""
-    points = """SELECT item_id, list_transform(embedding, lambda x, j: x * 4.0::DOUBLE + CASE WHEN j = item_id % 4 + 1 THEN 4.0::DOUBLE ELSE 0.0::DOUBLE END) AS x
-        FROM embed_table"""
-    return sql("embed_table", extra={"planted_labels": labels, "points": points, **extra}, body=body)
-
-
 def _two_steps_sql() -> str:
     """Two full-batch steps of every trial from zero weights, position 64 being the bias."""
     return _planted_sql({
@@ -183,13 +240,7 @@ def _two_steps_sql() -> str:
             floor({u('0:decay', 'trial')} * 2) = 1 AS cosine, floor({u('0:optimizer', 'trial')} * 2) = 0 AS adam,
             (['class', 'instance', 'squareroot'])[CAST(floor({u('0:sampling', 'trial')} * 3) AS INTEGER) + 1] AS mode
             FROM (SELECT unnest(range(0, 4)) AS trial)""",
-        "known": """SELECT * FROM (SELECT item_id, 'low' AS class, low AS y FROM planted_labels WHERE NOT exclude AND NOT validation
-            UNION ALL SELECT item_id, 'last', last FROM planted_labels WHERE NOT exclude AND NOT validation) WHERE y IS NOT NULL""",
-        "size": "SELECT class, y, CAST(count(*) AS DOUBLE) AS n FROM known GROUP BY class, y",
-        "share": """SELECT mode, class, y, n, CASE mode WHEN 'class' THEN 1.0::DOUBLE WHEN 'instance' THEN n ELSE sqrt(n) END AS s
-            FROM size, (SELECT unnest(['class', 'instance', 'squareroot']) AS mode)""",
-        "stratum": "SELECT mode, class, y, s / sum(s) OVER (PARTITION BY mode) / n * sum(n) OVER (PARTITION BY mode) AS w FROM share",
-        "weight": "SELECT item_id, mode, sum(w) AS w FROM known JOIN stratum USING (class, y) GROUP BY item_id, mode",
+        **_KNOWN,
         "cell": "SELECT trial, k.item_id, k.class, k.y, w.w FROM t JOIN weight w USING (mode) JOIN known k USING (item_id)",
         "total": "SELECT trial, sum(w) AS total FROM cell GROUP BY trial",
         "xs": "SELECT item_id, unnest(range(0, 65)) AS j, unnest(list_append(x, 1.0::DOUBLE)) AS v FROM points",
