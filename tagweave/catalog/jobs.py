@@ -186,6 +186,29 @@ def _(spark, sf):
     return cluster.som_assign(embed_table(spark, sf), grid)
 
 
+_ASSIGNED = """SELECT item_id, embedding, i, j FROM (SELECT e.item_id, e.embedding, g.i, g.j, row_number() OVER (PARTITION BY e.item_id
+    ORDER BY round(list_dot_product(g.w, g.w) - 2 * list_dot_product(e.embedding, g.w), 12), g.i * 4 + g.j) AS r FROM embed_table e, grid g) WHERE r = 1"""
+
+
+@query("h08_som_epoch", sql("embed_table", extra={
+    "grid": _GRID, "best": _ASSIGNED,
+    "unit": "SELECT i, j, count(*) AS c FROM best GROUP BY i, j",
+    "total": "SELECT i, j, k, sum(x) AS s FROM (SELECT i, j, unnest(range(0, 64)) AS k, unnest(embedding) AS x FROM best) GROUP BY i, j, k",
+    "near": """SELECT g.i, g.j, u.i AS bi, u.j AS bj, u.c, exp(-((g.i - u.i) * (g.i - u.i) + (g.j - u.j) * (g.j - u.j)) / 3.0::DOUBLE) AS h
+               FROM grid g JOIN unit u ON g.i - u.i BETWEEN -3 AND 2 AND g.j - u.j BETWEEN -3 AND 2""",
+    "share": "SELECT i, j, 1 - exp(sum(c * ln(1 - 0.02::DOUBLE * h))) AS share, sum(h * c) AS weight FROM near GROUP BY i, j",
+    "pull": "SELECT n.i, n.j, k, sum(h * s) AS pull FROM near n JOIN total t ON t.i = n.bi AND t.j = n.bj GROUP BY n.i, n.j, k",
+    "was": "SELECT i, j, unnest(range(0, 64)) AS k, unnest(w) AS w FROM grid"}, body="""
+    SELECT CAST(i AS INTEGER) AS gi, CAST(j AS INTEGER) AS gj, CAST(k AS INTEGER) AS k, round(CASE WHEN weight > 0 THEN w + share * (pull / weight - w) ELSE w END, 6) + 0.0 AS value
+    FROM was LEFT JOIN share USING (i, j) LEFT JOIN pull USING (i, j, k)"""))
+def _(spark, sf):
+    """One epoch from a fixed grid."""
+    unit = np.arange(12).reshape(3, 4, 1) + 1.0
+    grid = cluster.som_train(embed_table(spark, sf), np.sin(0.3 * unit * (np.arange(64)[None, None, :] + 1.0)) / 8, 0.02, 1.5, epochs=1)
+    rows = [(i, j, k, float(grid[i, j, k])) for i in range(3) for j in range(4) for k in range(64)]
+    return rounded(spark.createDataFrame(rows, "gi int, gj int, k int, value double"), "value")
+
+
 @query("h08_som_train")
 def _(spark, sf):
     vectors = planted_table(spark, sf)

@@ -106,43 +106,55 @@ def som_assign(df: DataFrame, grid: np.ndarray, id_col: str = ID, vec: str = "em
 _SUMS = T.StructType([T.StructField("unit", T.IntegerType()), T.StructField("s", T.ArrayType(T.DoubleType()))])
 
 
+WINDOW = range(-3, 3)   # fixed value: rows and columns of the map, counted from the best unit, that an update reaches
+
+
 def som_train(df: DataFrame, grid: np.ndarray, learn_rate: float = 0.1, radius_sq: float = 1.0, lr_decay: float = 0.1,
-              radius_decay: float = 0.1, epochs: int = 10, step: int = 3, vec: str = "embedding") -> np.ndarray:
-    """Batch self-organising map. Each epoch assigns all rows, adds them up per unit in the tasks, and moves every unit
-    to the neighbourhood-weighted mean, by 1 - (1 - rate·h)^count as repeated single updates would."""
-    grid = np.array(grid, float)
-    m, n, d = grid.shape
+              radius_decay: float = 0.1, epochs: int = 10, vec: str = "embedding") -> np.ndarray:
+    """Batch self-organising map: an epoch adds all rows up per best unit in the tasks, then moves the whole grid at once.
+
+    A unit whose window of best units holds c_k rows at neighbourhood weight h_k moves to their weighted mean by the share
+    1 - prod (1 - rate * h_k) ** c_k, which is what single updates towards one point would do.
+    """
+    units = np.array(grid, float)
+    shape = units.shape
     rows = df.select(as_double(vec).alias("_v")).persist()
     try:
-        rate, radius = learn_rate, radius_sq
         for epoch in range(epochs):
-            sums, counts = _som_sums(rows, grid.reshape(m * n, d))
-            new = grid.copy()
-            for i in range(m):
-                for j in range(n):
-                    keep, pull, weight = 1.0, np.zeros(d), 0.0
-                    for gi in range(m):
-                        for gj in range(n):
-                            unit = gi * n + gj
-                            inside = gi - step <= i < gi + step and gj - step <= j < gj + step
-                            if counts[unit] == 0 or not inside:
-                                continue
-                            if radius < 1e-3:
-                                h = 1.0 if (gi, gj) == (i, j) else 0.0
-                            else:
-                                h = np.exp(-((i - gi) ** 2 + (j - gj) ** 2) / 2.0 / radius)
-                            if h > 0:
-                                keep *= (1.0 - min(rate * h, 1.0)) ** counts[unit]
-                                pull += h * sums[unit]
-                                weight += h * counts[unit]
-                    if weight > 0:
-                        new[i, j] = keep * grid[i, j] + (1.0 - keep) * pull / weight
-            grid = new
-            rate = learn_rate * np.exp(-epoch * lr_decay)
-            radius = radius_sq * np.exp(-epoch * radius_decay)
+            faded = max(epoch - 1, 0)
+            sums, counts = _som_sums(rows, units.reshape(-1, shape[2]))
+            units = _moved(units, sums.reshape(shape), counts.reshape(shape[:2]), learn_rate * np.exp(-faded * lr_decay),
+                           radius_sq * np.exp(-faded * radius_decay))
     finally:
         rows.unpersist()
-    return grid
+    return units
+
+
+def _moved(units: np.ndarray, sums: np.ndarray, counts: np.ndarray, rate: float, radius: float) -> np.ndarray:
+    """The grid after one epoch. Every offset of the window is one operation on the whole grid."""
+    stays, pull, weight = np.zeros(counts.shape), np.zeros(units.shape), np.zeros(counts.shape)
+    for down in WINDOW:
+        for across in WINDOW:
+            apart = down * down + across * across
+            h = 1.0 if apart == 0 else (np.exp(-apart / (2.0 * radius)) if radius > 0 else 0.0)
+            to, of = _overlap(counts.shape, down, across)
+            here = counts[of]
+            pull[to] += h * sums[of]
+            weight[to] += h * here
+            with np.errstate(divide="ignore", invalid="ignore"):
+                stays[to] += np.where(here > 0, here * np.log1p(-min(rate * h, 1.0)), 0.0)
+    share = -np.expm1(stays)[..., None]
+    mean = pull / np.where(weight > 0, weight, 1.0)[..., None]
+    return np.where(weight[..., None] > 0, units + share * (mean - units), units)
+
+
+def _overlap(shape, down: int, across: int):
+    """Slices (units, best units) of all places that lie `down` rows and `across` columns after a best unit."""
+    to, of = [], []
+    for length, step in zip(shape, (down, across)):
+        to.append(slice(max(0, step), length + min(0, step)))
+        of.append(slice(max(0, -step), length + min(0, -step)))
+    return tuple(to), tuple(of)
 
 
 def _som_sums(rows: DataFrame, units: np.ndarray):

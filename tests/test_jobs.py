@@ -124,6 +124,25 @@ def test_deepcluster(planted):
     assert metrics.nmi(both, "cluster", "c").first()[0] > 0.9 and centres.shape == (4, 4) and held.count() == 5
 
 
+def test_map_epoch_equals_the_sum_over_pairs_of_units():
+    rng = np.random.default_rng(2)
+    units, counts = rng.normal(size=(7, 5, 3)), rng.integers(0, 4, (7, 5)).astype(float)
+    sums = rng.normal(size=(7, 5, 3)) * counts[..., None]
+    for rate, radius in ((0.1, 1.0), (1.0, 2.0), (0.3, 0.0)):
+        got = cluster._moved(units, sums, counts, rate, radius)
+        for place in np.ndindex(7, 5):
+            keep, pull, weight = 1.0, np.zeros(3), 0.0
+            for best in np.ndindex(7, 5):
+                down, across = place[0] - best[0], place[1] - best[1]
+                if down in cluster.WINDOW and across in cluster.WINDOW:
+                    d2 = down ** 2 + across ** 2
+                    h = float(d2 == 0) if radius == 0 else np.exp(-d2 / 2 / radius)
+                    keep *= (1 - rate * h) ** counts[best]
+                    pull, weight = pull + h * sums[best], weight + h * counts[best]
+            want = units[place] if weight == 0 else keep * units[place] + (1 - keep) * pull / weight
+            assert np.allclose(got[place], want)
+
+
 def test_som(spark, planted):
     x, _, vectors, _ = planted
     grid = np.random.default_rng(0).normal(size=(3, 5, 6))
