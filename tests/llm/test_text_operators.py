@@ -217,3 +217,11 @@ def test_no_rows(spark):
     assert linejoin.dedup_lines(empty).count() == 0
     assert packing.pack(empty).count() == 0
     assert "source" in linejoin.dedup_lines(empty.select("*", F.lit(1).alias("n_lines"))).columns
+
+
+def test_lines_keep_columns_with_clashing_names(spark):
+    df = documents(spark, [(1, "one two three\nfour five six"), (2, "one two three\nother words here")])
+    clash = df.withColumns({"_cut": F.lit(5), "_d": F.lit("x"), "_key": F.col("doc_id") * 2, "_KEY_": F.lit(7)})
+    got = {r["doc_id"]: r for r in linejoin.dedup_lines(clash).collect()}
+    assert got[1]["text"] == "one two three\nfour five six" and got[2]["text"] == "other words here"
+    assert all((r["_cut"], r["_d"], r["_key"], r["_KEY_"]) == (5, "x", 2 * d, 7) for d, r in got.items())
