@@ -41,7 +41,8 @@ def annotated(text: Column, starts: bool = True) -> Column:
     t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;] )(\p{Lu}\p{Ll}+)", f"{NAME}$1")
     if starts:
         t = F.regexp_replace(t, r"(?<!\S)([\p{Ps}\p{Pi}\"']*)(\p{Lu}\p{Ll}+)", f"$1{START}$2")
-    t = F.regexp_replace(t, r"(?<![^\s(\[$€£])(\d\S*)", f"{NUMBER}$1")
+    # The digit is looked for first: looking back from every character costs more than all other passes together.
+    t = F.regexp_replace(t, r"(?=\d)(?<![^\s(\[$€£])(\d\S*)", f"{NUMBER}$1")
     t = F.regexp_replace(t, rf"(?<=\d )({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"{UNIT}$1")
     t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}\s{NAME}{NUMBER}{UNIT}{START}]+", "")
     return F.regexp_replace(t, r"^\s+|\s+$", "")
