@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest_llm import documents, words_of  # noqa: I001
@@ -170,6 +171,56 @@ def test_templates_find_excerpts_and_names_that_begin_sentences(spark):
     assert got == {(1, 1, False), (3, 2, True), (4, 2, False), (6, 2, True)}
 
 
+def test_templates_agree_over_shifts(spark):
+    item = ("every monday the teacher Alice counts all of the red apples in the big garden while the teacher Alice also "
+            "counts all of the green pears near the wall")
+    head, tail = item.split(" while ")
+    one, two = (lambda name: head.replace("Alice", name)), (lambda name: "while " + tail.replace("Alice", name))
+    pairs = [(1, f"so {one('Bob')} and yet {two('Bob')} today"), (2, f"so {one('Bob')} and yet {two('Carol')} today"),
+             (3, f"so {one('Bob')} x {two('Carol')} y {two('Bob')} z"), (4, f"so {item.replace('Alice', 'Bob')} and {item.replace('Alice', 'Carol')}")]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    # By coverage only: no half is as long as RUN words would need.
+    old, decontaminate.RUN = decontaminate.RUN, 40
+    try:
+        got = {r.doc_id: (r.covered, r.changed) for r in decontaminate.contaminated(documents(spark, pairs), items).collect()}
+    finally:
+        decontaminate.RUN = old
+    n = len(item.split())
+    assert got == {1: (n, True), 3: (n, True), 4: (n, True)}
+
+
+def test_templates_in_a_very_long_repeat(spark):
+    items = spark.createDataFrame([(1, "again " * 30), (2, "a b c d e f g")], "item_id long, text string")
+    docs = documents(spark, [(1, "again " * 20000), (2, "again " * 20), (3, "again " * 7), (4, "z a b c d e f g"), (5, "a b c d e f z g")])
+    got = {(r.doc_id, r.item_id, r.covered) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1, 30), (2, 1, 30), (4, 2, 7)}
+
+
+@pytest.mark.parametrize("width", range(1, 9))
+def test_window_hashes_of_every_width(spark, width):
+    rng = random.Random(width)
+    words = [[rng.choice(["a", "b", "\x01Eve", "\x021", "\x044x", "\x04Bo", "c"]) for _ in range(rng.randrange(1, 14))] for _ in range(60)]
+    rows = decontaminate.window_hashes(spark.createDataFrame(list(enumerate(words)), "i int, words array<string>"), [width], True).collect()
+
+    def parts(w):
+        code = [ord(x[0]) if x[0] < "\x04" else x.replace("\x04", "") for x in w]
+        slots = sum(isinstance(c, int) for c in code)
+        own = slots and width - slots < decontaminate.LITERAL
+        named = [1 if x[0] == "\x04" else c for x, c in zip(w, code)]
+        own = ("own", *[x.strip("\x01\x02\x03\x04") for x in w]) if own else None
+        return own or tuple(code), None if named == code else own or tuple(named)
+
+    seen = {}
+    for r in rows:
+        n = len(r.words)
+        for j in range(n):
+            first, second = parts(r.words[j:j + width]) if j + width <= n else (None, None)
+            for value, h in ((first, r.windows[j]), (second, r.windows[n + j])):
+                assert (value is None) == (h is None)
+                assert value is None or seen.setdefault(value, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_best_buckets_is_optimal():
     from itertools import combinations
 
