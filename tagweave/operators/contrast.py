@@ -1,7 +1,7 @@
 """Measures of representations: contrastive reports, alignment, uniformity, covariance, domain gaps.
 
-Batches of view pairs are packed into blocks; a batch larger than one block is cut and its blocks meet through an
-equi-join. Kernels return sums per anchor, never pairs.
+Batches of view pairs are packed into blocks; a batch larger than one block is cut into parts that meet in cogroups.
+Kernels return sums per anchor, never pairs.
 """
 
 from __future__ import annotations
@@ -35,60 +35,72 @@ def anchor_stats(views: DataFrame, temp: float, eps: float = 0.0, beta: float =
     sizes = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
     biggest = sizes.agg(F.max("n")).first()[0] or 0
 
-    def stats(batch_id, a, b):
-        ia, ib = a.field("id").to_numpy(), b.field("id").to_numpy()
-        za = [B.matrix_of(a.field(f)) for f in ("z1", "z2")]
-        zb = [B.matrix_of(b.field(f)) for f in ("z1", "z2")]
-        same = ia[:, None] == ib[None, :]
+    def stats(batch_id, ia, za, ib, zb, meet):
+        """`meet`: pairs may be on both sides."""
+        same = ia[:, None] == ib[None, :] if meet else None
+        n_same = same.sum(1) if meet else 0
         own = (za[0] * za[1]).sum(1)
         out = []
         for view in (0, 1):
             s = [za[view] @ zb[w].T for w in (0, 1)]
-            neg = [np.where(same, -np.inf, x) for x in s]
-            e = [np.exp((x + eps) / temp) for x in neg]
-            imp = [np.exp(beta * x / temp) if beta else (~same).astype(float) for x in neg]
+            neg = [np.where(same, -np.inf, x) for x in s] if meet else s
+            neg_sum = sum(np.exp((x + eps) / temp).sum(1) for x in neg)
+            n_neg = 2 * (len(ib) - n_same) + np.zeros(len(ia), np.int64)
+            if beta:
+                imp = [np.exp(beta * x / temp) for x in neg]
+                imp_sum, imp_neg = imp[0].sum(1) + imp[1].sum(1), sum((i * np.exp(x / temp)).sum(1) for i, x in zip(imp, neg))
+            else:
+                imp_sum, imp_neg = n_neg.astype(float), neg_sum if eps == 0 else sum(np.exp(x / temp).sum(1) for x in neg)
             cross = s[1 - view]
             best = cross.max(1)
+            # Only what rounding could make equal to the best is rounded.
+            r, c = np.nonzero(cross >= (best - 1e-11)[:, None])
+            tied = np.round(cross[r, c], 12) >= np.round(best, 12)[r]
+            arg = np.full(len(ia), np.iinfo(np.int64).max)
+            np.minimum.at(arg, r[tied], ib[c[tied]])
             out.append({
                 "batch_id": np.full(len(ia), batch_id), "pair_id": ia, "view": np.full(len(ia), view, np.int32), "pos": own,
-                "n_neg": 2 * (~same).sum(1), "neg_sum": e[0].sum(1) + e[1].sum(1),
-                "neg_max": np.maximum(neg[0].max(1), neg[1].max(1)), "imp_sum": imp[0].sum(1) + imp[1].sum(1),
-                "imp_neg": sum((i * np.exp(x / temp)).sum(1) for i, x in zip(imp, neg)),
-                "cross_sum": np.exp((cross - 1.0) / temp).sum(1), "cross_max": best,
-                "cross_arg": np.where(np.round(cross, 12) >= np.round(best, 12)[:, None], ib[None, :],
-                                      np.iinfo(np.int64).max).min(1)})
+                "n_neg": n_neg, "neg_sum": neg_sum, "neg_max": np.maximum(neg[0].max(1), neg[1].max(1)), "imp_sum": imp_sum,
+                "imp_neg": imp_neg, "cross_sum": np.exp((cross - 1.0) / temp).sum(1), "cross_max": best, "cross_arg": arg})
         return [B.to_batch(o, ANCHOR) for o in out]
 
     def one_block(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 r = B.packed_rows(batch.column("rows"), i)
-                yield from stats(batch.column("batch_id")[i].as_py(), r, r)
+                ids, z = r.field("id").to_numpy(), [B.matrix_of(r.field(f)) for f in ("z1", "z2")]
+                yield from stats(batch.column("batch_id")[i].as_py(), ids, z, ids, z, True)
+
+    def whole(batches):
+        return B.pack(batches, ["batch_id"], "pair_id", ["z1", "z2"]).mapInArrow(one_block, ANCHOR)
 
     if biggest <= block_rows:
-        return B.pack(rows, ["batch_id"], "pair_id", ["z1", "z2"]).mapInArrow(one_block, ANCHOR)
+        return whole(rows)
 
     # Only batches larger than a block are listed: at most one per block of rows, so the rows need not move to be marked.
-    large = sizes.where(F.col("n") > block_rows).select("batch_id", F.ceil(F.col("n") / block_rows).cast("int").alias("parts"))
-    cut = rows.join(large, "batch_id", "left").na.fill(1, ["parts"]).withColumn("part", F.pmod(F.xxhash64("pair_id"), F.col("parts")).cast("int"))
-    packed = B.pack(cut, ["batch_id", "parts", "part"], "pair_id", ["z1", "z2"])
-    left = packed.select("batch_id", F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    pairs = left.join(packed.select("batch_id", "part", F.col("rows").alias("b")), ["batch_id", "part"])
-
-    def two_blocks(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield from stats(batch.column("batch_id")[i].as_py(), B.packed_rows(batch.column("a"), i),
-                                 B.packed_rows(batch.column("b"), i))
-
-    partial = pairs.select("batch_id", "a", "b").mapInArrow(two_blocks, ANCHOR)
+    large = F.broadcast(sizes.where(F.col("n") > block_rows).select(
+        F.col("batch_id").alias("_large"), B.part_count_column(F.col("n"), block_rows).alias("parts")))
+    is_large = F.col("batch_id").eqNullSafe(F.col("_large"))
+    cut = rows.join(large, is_large).drop("_large").withColumn("own", B.part_of(F.col("pair_id"), F.col("parts")))
+    cut = cut.withColumn("other", B.every_part(F.col("parts"))).drop("parts")
+    left = cut.withColumnsRenamed({"own": "mine", "other": "theirs"})
+    right = cut.withColumnsRenamed({"own": "theirs", "other": "mine"})
+
+    def two_parts(a, b):
+        batch_id, meet = a.column("batch_id")[0].as_py(), a.column("mine")[0].as_py() == a.column("theirs")[0].as_py()
+        (ia, za), (ib, zb) = ((B.column_of(t, "pair_id"), [B.matrix_column(t, f) for f in ("z1", "z2")]) for t in (a, b))
+        return B.to_table([x for s in B.tiles(len(ia), len(ib))
+                           for x in stats(batch_id, ia[s], [z[s] for z in za], ib, zb, meet)], ANCHOR)
+
+    partial = B.meet(left, right, ["batch_id", "mine", "theirs"], two_parts, ANCHOR)
     best = F.max(F.struct(F.col("cross_max"), -F.col("cross_arg")))
-    return (partial.groupBy("batch_id", "pair_id", "view")
+    merged = (partial.groupBy("batch_id", "pair_id", "view")
             .agg(F.max("pos").alias("pos"), F.sum("n_neg").alias("n_neg"), F.sum("neg_sum").alias("neg_sum"),
                  F.max("neg_max").alias("neg_max"), F.sum("imp_sum").alias("imp_sum"), F.sum("imp_neg").alias("imp_neg"),
                  F.sum("cross_sum").alias("cross_sum"), best.alias("_b"))
             .select("batch_id", "pair_id", "view", "pos", "n_neg", "neg_sum", "neg_max", "imp_sum", "imp_neg", "cross_sum",
                     F.col("_b.cross_max").alias("cross_max"), (-F.col("_b.col2")).alias("cross_arg")))
+    return merged.unionByName(whole(rows.join(large, is_large, "left_anti")))
 
 
 def contrast_pairs(views: DataFrame, block_rows: int = B.BLOCK_ROWS) -> DataFrame:
@@ -197,31 +209,31 @@ def uniformity(vectors: DataFrame, t: float = 2.0, squared: bool = False, vec: s
                block_rows: int = B.BLOCK_ROWS) -> DataFrame:
     """ln of the mean over all ordered pairs (self included) of exp(-t·distance).
 
-    Exact copies are merged with a weight; each block meets itself and the later ones, the kernel returns one sum.
+    Exact copies are merged with a weight; each part meets itself and the later ones, the kernel returns one sum.
     """
     merged = vectors.select(as_double(vec).alias("v")).groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("w"))
     n, distinct = merged.agg(F.sum("w"), F.count(F.lit(1))).first()
-    blocks = max(1, -(-distinct // block_rows))
-    keyed = merged.withColumn("id", F.xxhash64("v")).withColumn("block", F.pmod(F.hash("v"), F.lit(blocks)).cast("int"))
-    packed = B.pack(keyed, ["block"], "id", ["v", "w"])
-    left = packed.select(F.col("block").alias("mine"), F.col("rows").alias("a"),
-                         F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("block"))
-    pairs = left.join(packed.withColumnRenamed("rows", "b"), "block").select("mine", "block", "a", "b")
-
-    def kernel(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                same = batch.column("mine")[i].as_py() == batch.column("block")[i].as_py()
-                a, b = B.packed_rows(batch.column("a"), i), B.packed_rows(batch.column("b"), i)
-                x, y = B.matrix_of(a.field("v")), B.matrix_of(b.field("v"))
-                d2 = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T), 0.0)
-                if same:
-                    np.fill_diagonal(d2, 0.0)
-                e = np.exp(-t * (d2 if squared else np.sqrt(d2)))
-                total = a.field("w").to_numpy() @ e @ b.field("w").to_numpy()
-                yield B.to_batch({"total": [float(total if same else 2.0 * total)]}, UNIFORM)
-
-    return pairs.mapInArrow(kernel, UNIFORM).agg(F.log(F.sum("total") / F.lit(n * n)).alias("uniformity"))
+    parts = B.part_count(distinct or 0, block_rows)
+    keyed = merged.withColumn("own", F.pmod(F.hash("v"), F.lit(parts)).cast("int"))
+    left = keyed.withColumnRenamed("own", "mine").withColumn("theirs", F.explode(F.sequence(F.col("mine"), F.lit(parts - 1))))
+    right = keyed.withColumnRenamed("own", "theirs").withColumn("mine", F.explode(F.sequence(F.lit(0), F.col("theirs"))))
+
+    def kernel(a, b):
+        same = a.column("mine")[0].as_py() == a.column("theirs")[0].as_py()
+        if same:
+            b = a
+        (x, wx), (y, wy) = ((B.matrix_column(t, "v"), B.column_of(t, "w")) for t in (a, b))
+        yy, total = (y * y).sum(1), 0.0
+        for s in B.tiles(len(x), len(y)):
+            d2 = np.maximum((x[s] * x[s]).sum(1)[:, None] + yy[None, :] - 2.0 * (x[s] @ y.T), 0.0)
+            if same:
+                d2[np.arange(len(d2)), np.arange(len(y))[s]] = 0.0
+            e = np.exp(-t * (d2 if squared else np.sqrt(d2)))
+            total += wx[s] @ e @ wy
+        return B.to_table([B.to_batch({"total": [float(total if same else 2.0 * total)]}, UNIFORM)], UNIFORM)
+
+    sums = B.meet(left, right, ["mine", "theirs"], kernel, UNIFORM)
+    return sums.agg(F.log(F.sum("total") / F.lit(n * n)).alias("uniformity"))
 
 
 def avg_cosine(vectors: DataFrame, vec: str = "embedding") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.hashing import hash_normal, hash_uniform
 from tagweave.functions.views import build_view_pairs, coordinate_mask, gaussian_noise
-from tagweave.operators import contrast, features, heads, neighbors
+from tagweave.operators import blocks, contrast, features, heads, neighbors
 
 
 def unit(m):
@@ -230,3 +230,60 @@ def test_cosine_head(spark, cloud):
     assert all(np.allclose(got[i], want[i]) for i in range(200))
 
 
+
+
+@pytest.fixture
+def sent(monkeypatch):
+    """Rows that reach the cogroups of the next calls, one number per side."""
+    counts, real = [], blocks.meet
+
+    def counted(left, right, *rest):
+        counts.extend((left.count(), right.count()))
+        return real(left, right, *rest)
+
+    monkeypatch.setattr(blocks, "meet", counted)
+    return counts
+
+
+def test_parts_stop_growing_with_the_rows(spark):
+    assert [blocks.part_count(n, 128) for n in (0, 128, 129, 10_000, 100_000, 500_000)] == [1, 1, 2, 8, 8, 8]
+    assert blocks.part_count(600_000, 128) == 10
+    sizes = spark.createDataFrame([(n,) for n in (1, 128, 129, 10_000, 100_000, 600_000)], "n long")
+    assert [r[0] for r in sizes.select(blocks.part_count_column(F.col("n"), 128)).collect()] == [1, 1, 2, 8, 8, 10]
+
+
+def test_a_large_batch_sends_a_row_to_few_parts(spark, sent):
+    z1, z2 = (unit(np.random.default_rng(s).normal(size=(240, 4))) for s in (1, 2))
+    got = contrast.contrastive_report(views_of(spark, z1, z2, 240), 0.3, block_rows=4).first()
+    assert sent == [240 * blocks.GRID] * 2
+    loss, accuracy = brute_contrast(z1, z2, 0.3)
+    assert abs(got["loss"] - loss) < 1e-9 and abs(got["accuracy"] - accuracy) < 1e-12
+
+
+@pytest.mark.parametrize("squared", [False, True])
+def test_uniformity_sends_a_row_to_few_parts(spark, sent, squared):
+    x = unit(np.random.default_rng(11).normal(size=(240, 5)))
+    got = contrast.uniformity(frame_of(spark, x), squared=squared, block_rows=4).first()[0]
+    assert sum(sent) <= 240 * (blocks.GRID + 1) * 1.5
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    assert abs(got - np.log(np.exp(-2 * (d ** 2 if squared else d)).mean())) < 1e-6
+
+
+def test_queries_meet_few_parts(spark, cloud, sent):
+    x, df = cloud
+    got = neighbors.knn_query(df, df, 3, "dot", small_rows=0, block_rows=4)
+    want = np.argsort(np.round(-(x @ x.T), 9), axis=1, kind="stable")[:, :3]
+    assert neighbours(got) == {i: want[i].tolist() for i in range(200)}
+    assert sent == [200 * blocks.GRID] * 2
+
+
+def test_a_kernel_gets_one_tile_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "TILE", 60)
+    df = frame_of(spark, np.eye(30)).coalesce(1)
+
+    def kernel(q_ids, q, c_ids, c):
+        return {"src": [len(q_ids)], "dst": [len(c_ids)], "dist": [0.0]}
+
+    for rows in (100, 0):
+        got = blocks.pairwise(df, df, kernel, neighbors.EDGE, "item_id", "embedding", small_rows=rows, block_rows=30).collect()
+        assert {r["src"] * r["dst"] for r in got} == {60} and len(got) == 15
