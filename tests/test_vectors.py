@@ -287,3 +287,10 @@ def test_a_kernel_gets_one_tile_at_a_time(spark, monkeypatch):
     for rows in (100, 0):
         got = blocks.pairwise(df, df, kernel, neighbors.EDGE, "item_id", "embedding", small_rows=rows, block_rows=30).collect()
         assert {r["src"] * r["dst"] for r in got} == {60} and len(got) == 15
+
+
+def test_knn_graph_without_structure_sends_a_row_to_few_parts(spark, cloud, sent):
+    x, df = cloud
+    got, want = neighbours(neighbors.knn_graph(df, 5, block_rows=4)), brute_knn(x, 5)
+    assert all(got[i] == want[i].tolist() for i in range(len(x)))
+    assert len(sent) == 2 and max(sent) <= 200 * (blocks.GRID + 1)
