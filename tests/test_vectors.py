@@ -2,9 +2,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tagweave.functions.hashing import hash_normal, hash_uniform
+from tagweave.functions.vectors import l2_normalize
 from tagweave.functions.views import build_view_pairs, coordinate_mask, gaussian_noise
 from tagweave.operators import blocks, contrast, features, heads, neighbors
 
@@ -294,3 +297,18 @@ def test_knn_graph_without_structure_sends_a_row_to_few_parts(spark, cloud, sent
     got, want = neighbours(neighbors.knn_graph(df, 5, block_rows=4)), brute_knn(x, 5)
     assert all(got[i] == want[i].tolist() for i in range(len(x)))
     assert len(sent) == 2 and max(sent) <= 200 * (blocks.GRID + 1)
+
+
+def test_lsh_of_full_buckets_finds_what_the_join_of_all_pairs_finds(spark, sent, monkeypatch):
+    """Two buckets a table, some rows copies; the buckets are cut into parts."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 10)
+    x = np.random.default_rng(12).normal(size=(120, 6))
+    x[30:60] = x[0]
+    got = neighbors.knn_graph_lsh(frame_of(spark, x), 4, bucket_length=100.0, tables=2).select("src", "dst", "dist", "rank").collect()
+    assert len(sent) == 2 and 240 < max(sent) <= 120 * 2 * neighbors.BUCKET_GRID * 2
+    rows = frame_of(spark, x).select("item_id", array_to_vector(l2_normalize("embedding")).alias("x"))
+    model = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=100.0, numHashTables=2, seed=7).fit(rows)
+    pairs = model.approxSimilarityJoin(rows, rows, float("inf"), "gap").select(
+        F.col("datasetA.item_id").alias("src"), F.col("datasetB.item_id").alias("dst"), (F.col("gap") * F.col("gap") / 2.0).alias("dist"))
+    want = neighbors.best_k(pairs.where("src <> dst"), 4).select("src", "dst", "dist", "rank").collect()
+    assert len(want) == 480 and sorted(map(tuple, got)) == sorted(map(tuple, want))
