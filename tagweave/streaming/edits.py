@@ -51,9 +51,11 @@ def compact_log(spark: SparkSession, log: str, target: str, fields, id_col: str
 
 
 def _rewritten(counts: DataFrame, path: str, checkpoint: str, once: bool) -> StreamingQuery:
-    """Every micro-batch writes the whole small result; the one before the last is removed."""
+    """Every micro-batch writes the whole small result; the one before the last is removed.
+
+    The rows are shuffled into one file: coalesced, all partitions of the state would be one task that holds all their tables."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.repartition(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
         _forget(batch.sparkSession, f"{path}/batch={batch_id - 2}")
 
     return _start(counts.writeStream.outputMode("complete").foreachBatch(write), checkpoint, once)

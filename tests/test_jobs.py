@@ -221,3 +221,21 @@ def test_active_round(spark, planted):
     before = labels.agg(F.count("low")).first()[0]
     assert state["labels"].agg(F.count("low")).first()[0] == before + state["picked"].count()
     assert state["summary"].count() == 2 and state["val_loss"].first()["loss"] < 0.7
+
+
+def test_state_partitions_are_not_one_task(spark, tmp_path, monkeypatch):
+    """The result is one file, but its partitions are not coalesced into the task that writes it."""
+    import glob
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    source, path = str(tmp_path / "events"), str(tmp_path / "counts")
+    spark.range(90).select((F.col("id") % 9).cast("string").alias("field"), F.timestamp_seconds(F.col("id") * 7200).alias("ts")).write.parquet(source)
+    monkeypatch.setattr(DataFrame, "coalesce", lambda *a: pytest.fail("coalesced"))
+    stream = spark.readStream.schema("field string, ts timestamp").parquet(source)
+    q = streams.windowed_label_counts(stream, path, str(tmp_path / "mark"))
+    q.awaitTermination()
+    assert q.exception() is None
+    got = streams.newest_batch(spark, path).collect()
+    assert sum(r["n"] for r in got) == 90 and len({(r["window_start"], r["field"]) for r in got}) == len(got)
+    assert len(glob.glob(f"{path}/batch=0/*.parquet")) == 1
