@@ -16,6 +16,7 @@ import base64
 import functools
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -28,13 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import Cache, Scratch, arrow_rows, remove_path
+from tagweave.llm.common import Scratch, arrow_rows, remove_path
 
 ROUNDS = 4
 HEADER = "<qiI"
 HEADER_BYTES = struct.calcsize(HEADER)
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+DOUBLE, CUT = re.compile(r"\s "), re.compile(r"(?<=\s)(?= )")  # Python's \s holds all that is white space to PATTERN
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -66,21 +68,20 @@ def encoder(path: str):
 
 
 class Tokens:
-    """Token ids of texts as little-endian 16-bit numbers. Words between single spaces are encoded once and remembered."""
+    """Token ids of texts as little-endian 16-bit numbers.
+
+    Every word is encoded with the one space before it, and no token holds a space that follows other white space: texts are cut
+    before such spaces. Elsewhere PATTERN itself starts anew at each space, so what lies between two cuts is encoded at once.
+    """
 
     def __init__(self, path: str):
-        encode = encoder(path).encode_ordinary
-        self.first = Cache(lambda w: np.array(encode(w), "<u2").tobytes())
-        self.later = Cache(lambda w: np.array(encode(" " + w), "<u2").tobytes())
+        self.encode = encoder(path).encode_ordinary
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        words = text.split(" ")
-        out = self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
-        self.first.trim()
-        self.later.trim()
-        return out
+        parts = CUT.split(text) if DOUBLE.search(text) else [text]
+        return b"".join([np.array(self.encode(p), "<u2").tobytes() for p in parts])
 
 
 def decode(ids: bytes, path: str = TOKENIZER) -> str:

@@ -48,6 +48,26 @@ def test_feistel_is_a_permutation():
     assert (slots.feistel(np.arange(1000), 1000, 1) != slots.feistel(np.arange(1000), 1000, 2)).any()
 
 
+def test_a_text_is_encoded_at_once_and_gives_the_tokens_of_its_words(monkeypatch):
+    calls = []
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return slots_encoder.encode_ordinary(text)
+
+    slots_encoder = slots.encoder(slots.TOKENIZER)
+    monkeypatch.setattr(slots, "encoder", lambda path: Counted())
+    tokens, rng = slots.Tokens(slots.TOKENIZER), np.random.default_rng(7)
+    tokens("Never seen,\nbut encoded in one call")
+    assert len(calls) == 1
+    pieces = [" ", " ", "\n", "\t", "\r\n", "\x85", "\xa0", "\u3000", "\x1c", "a", "b'", "'s", "12", "é", "中", ".", "the"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces, rng.integers(1, 14)))
+        words = [(" " if i else "") + w for i, w in enumerate(text.split(" "))]
+        assert tokens(text) == np.array([t for w in words for t in slots_encoder.encode_ordinary(w)], "<u2").tobytes()
+
+
 def test_shards_round_trip_and_resume(spark, messy, tmp_path):
     path = f"file://{tmp_path}/out"
     docs = documents(spark, messy)
