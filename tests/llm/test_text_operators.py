@@ -270,6 +270,22 @@ def test_no_rows(spark):
     assert "source" in linejoin.dedup_lines(empty.select("*", F.lit(1).alias("n_lines"))).columns
 
 
+def test_lines_store_no_rows_of_words(spark, monkeypatch):
+    rng, real, stored = random.Random(8), linejoin.Scratch.write, {}
+    rows = [(i, " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randint(0, 9)) for _ in range(40))) for i in range(60)]
+    rows += [(100 + i, t + " more") for i, t in rows[:5]]
+
+    def write(self, df, name, *more, **options):
+        out = real(self, df, name, *more, **options)
+        stored[name] = out.count()
+        return out
+
+    monkeypatch.setattr(linejoin.Scratch, "write", write)
+    got = {r.doc_id: r.n_removed for r in linejoin.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {i: int(i >= 100) for i, _ in rows}
+    assert max(n for name, n in stored.items() if not name.startswith(("star", "rest"))) == len(rows)
+
+
 def test_lines_keep_columns_with_clashing_names(spark):
     df = documents(spark, [(1, "one two three\nfour five six"), (2, "one two three\nother words here")])
     clash = df.withColumns({"_cut": F.lit(5), "_d": F.lit("x"), "_key": F.col("doc_id") * 2, "_KEY_": F.lit(7)})
