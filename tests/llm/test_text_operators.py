@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -270,6 +271,16 @@ def test_no_rows(spark):
     assert "source" in linejoin.dedup_lines(empty.select("*", F.lit(1).alias("n_lines"))).columns
 
 
+def test_marks_of_a_text_with_a_long_gap(spark):
+    """Trimming by a pattern took time by the square of a gap: minutes for this one."""
+    gap = " " * 300_000
+    texts = spark.createDataFrame([(f"\n\tAnna paid Bob 5 kg, 'Eve{gap}of 3 milesx.\x0b ",)], "text string")
+    start = time.monotonic()
+    (marked,), = texts.select(decontaminate.annotated(F.col("text"))).collect()
+    assert marked.replace(gap, " ") == "\x04anna paid \x01bob \x025 \x03kg \x04eve of \x023 milesx"
+    assert time.monotonic() - start < 20
+
+
 def test_lines_store_no_rows_of_words(spark, monkeypatch):
     rng, real, stored = random.Random(8), linejoin.Scratch.write, {}
     rows = [(i, " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randint(0, 9)) for _ in range(40))) for i in range(60)]
