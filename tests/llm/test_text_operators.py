@@ -297,6 +297,39 @@ def test_lines_store_no_rows_of_words(spark, monkeypatch):
     assert max(n for name, n in stored.items() if not name.startswith(("star", "rest"))) == len(rows)
 
 
+def test_few_pairs_of_long_lines_carry_whole_sets(spark, monkeypatch):
+    """64 parities tell little of long lines; the wide sets of all pairs that they let through filled the disk."""
+    rng, real, stored = random.Random(4), linejoin.Scratch.write, {}
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.sample(words, 150))) for i in range(80)]
+    rows += [(200 + i, t.rsplit(" ", 20)[0]) for i, t in rows[:3]]
+
+    def write(self, df, name, *more, **options):
+        out = real(self, df, name, *more, **options)
+        stored[name] = out.count()
+        return out
+
+    monkeypatch.setattr(linejoin.Scratch, "write", write)
+    got = {r.doc_id: r.n_removed for r in linejoin.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {i: int(i >= 200) for i, _ in rows}
+    assert stored["star"] + stored["rest"] > 300
+    assert stored.get("star_sets_near", stored["star"]) + stored.get("rest_sets_near", stored["rest"]) < 30
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_similar_lines_of_all_lengths(spark, percent):
+    rng, rows = random.Random(percent), []
+    for base in range(30):
+        words = [rng.choice("abcdefgh") * rng.randint(1, 40) + str(rng.randint(0, 20)) for _ in range(rng.choice((1, 2, 5, 9, 10, 11, 12, 13, 20, 60, 130)))]
+        for i in range(5):
+            kept = [w for w in words if rng.random() > rng.choice((0.02, 0.1, 0.3))] + [f"new{rng.randint(0, 99)}"] * rng.randint(0, 1)
+            rows.append((base + 100 * i, " ".join(rng.sample(kept, len(kept)))))
+    sets = [(d, frozenset(t.split())) for d, t in rows]
+    want = {d: int(any(e < d and s and 100 * len(s & o) >= percent * len(s | o) for e, o in sets)) for d, s in sets}
+    assert {r.doc_id: r.n_removed for r in linejoin.dedup_lines(documents(spark, rows), percent).collect()} == want
+    assert 0 < sum(want.values()) < len(rows)
+
+
 def test_lines_keep_columns_with_clashing_names(spark):
     df = documents(spark, [(1, "one two three\nfour five six"), (2, "one two three\nother words here")])
     clash = df.withColumns({"_cut": F.lit(5), "_d": F.lit("x"), "_key": F.col("doc_id") * 2, "_KEY_": F.lit(7)})
