@@ -22,91 +22,210 @@ ANCHOR = T.StructType([
     T.StructField("cross_max", T.DoubleType()), T.StructField("cross_arg", T.LongType())])
 
 
+SIDE = 256            # rows and columns of a tile of anchors: the matrices of a tile stay in the cache of a core
+STEPS = 2048          # table entries for each factor of two of exp
+STRIP = 1 << 15       # cells of a tile whose exp is taken at once
+EXP_CELLS = 1 << 20   # fewer cells are not worth a table
+FIRST = np.iinfo(np.int64).max
+
+
+class _Exp:
+    """exp(factor * s + shift) of tiles, in a matrix that the next call overwrites.
+
+    numpy's exp of doubles takes longer than the product that gives s. Where |s| <= bound keeps the exponents small, a table
+    of powers with a parabola between its entries is used instead (relative error below 1e-12).
+    """
+
+    def __init__(self, factor: float, shift: float, bound: float, cells: int):
+        self.factor, self.shift, self.table = factor, shift, None
+        self.e = np.empty(SIDE * SIDE)
+        reach = abs(factor) * bound + abs(shift)
+        if cells >= EXP_CELLS and reach < 64.0:
+            self.step = np.log(2.0) / STEPS
+            last = int(np.ceil(reach / self.step)) + 2
+            self.table = np.exp(np.arange(-last, last + 1) * self.step)
+            # Added to a small number, this leaves its nearest whole number in the low bits.
+            self.magic = 1.5 * 2.0 ** 52
+            self.first = np.array([self.magic]).view(np.int64)[0] - last
+            self.x, self.k, self.at = np.empty(STRIP), np.empty(STRIP), np.empty(STRIP, np.int64)
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        out = self.e[:s.size]
+        if self.table is None:
+            np.multiply(s.ravel(), self.factor, out=out)
+            out += self.shift
+            return np.exp(out, out=out).reshape(s.shape)
+        flat = s.ravel()
+        for i in range(0, s.size, STRIP):
+            e = out[i:i + STRIP]
+            x, k, at = (m[:e.size] for m in (self.x, self.k, self.at))
+            np.multiply(flat[i:i + STRIP], self.factor / self.step, out=x)
+            if self.shift:
+                x += self.shift / self.step
+            np.add(x, self.magic, out=k)
+            np.subtract(k.view(np.int64), self.first, out=at)
+            k -= self.magic
+            x -= k
+            np.multiply(x, self.step * self.step / 2.0, out=k)
+            k += self.step
+            k *= x
+            np.take(self.table, at, out=e, mode="clip")
+            k *= e
+            e += k
+        return out.reshape(s.shape)
+
+
+def _best_across(sums: dict, view: int, rows: slice, s: np.ndarray, ids: np.ndarray) -> None:
+    """Largest s of each row and the smallest id that attains it, with what earlier tiles gave."""
+    best = s.max(1)
+    # Only what rounding could make equal to the best is rounded.
+    r, c = np.nonzero(s >= (best - 1e-11)[:, None])
+    key, former = np.round(best, 12), np.round(sums["cross_max"][view, rows], 12)
+    tied = np.round(s[r, c], 12) >= key[r]
+    arg, known = np.full(len(s), FIRST), sums["cross_arg"][view, rows]
+    np.minimum.at(arg, r[tied], ids[c[tied]])
+    sums["cross_arg"][view, rows] = np.select([key < former, key == former, key > former],
+                                              [known, np.minimum(known, arg), arg], FIRST)
+    sums["cross_max"][view, rows] = np.maximum(sums["cross_max"][view, rows], best)
+
+
+def _anchor_sums(ia, za, ib, zb, temp: float, eps: float, beta: float, wanted: set) -> list[dict]:
+    """The wanted sums of anchors a over b and of anchors b over a, as matrices (view, row), from each product once.
+
+    Without b, of anchors a over themselves, again from one half of the products.
+    """
+    alone = ib is None
+    if alone:
+        ib, zb = ia, za
+    longest = [max((np.sqrt((m * m).sum(1)).max(initial=0.0) for m in z)) for z in (za, zb)]
+    exps = {"neg_sum": (1.0 / temp, eps / temp), "imp_neg": ((1.0 + beta) / temp, 0.0), "cross_sum": (1.0 / temp, -1.0 / temp)}
+    if beta:
+        exps["imp_sum"] = (beta / temp, 0.0)
+    exps = {name: _Exp(*how, longest[0] * longest[1], 4 * len(ia) * len(ib)) for name, how in exps.items() if name in wanted}
+    across = exps.pop("cross_sum", None)
+
+    def nothing(n):
+        start = {"n_neg": 0, "neg_sum": 0.0, "neg_max": -np.inf, "imp_sum": 0.0, "imp_neg": 0.0, "cross_sum": 0.0,
+                 "cross_max": -np.inf, "cross_arg": FIRST}
+        return {name: np.full((2, n), value) for name, value in start.items()}
+
+    def tiles_of(n):
+        return [(view, slice(i, min(i + SIDE, n))) for view in (0, 1) for i in range(0, n, SIDE)]
+
+    of_a = nothing(len(ia))
+    of_b = of_a if alone else nothing(len(ib))
+    product, ones, columns = np.empty(SIDE * SIDE), np.ones(SIDE), tiles_of(len(ib))
+
+    def add(sums, name, view, rows, e, by_row):
+        sums[name][view, rows] += e @ ones[:e.shape[1]] if by_row else ones[:e.shape[0]] @ e
+
+    for p, (va, a) in enumerate(tiles_of(len(ia))):
+        for q in range(p if alone else 0, len(columns)):
+            vb, b = columns[q]
+            sides = [(of_a, va, a, True)] if alone and p == q else [(of_a, va, a, True), (of_b, vb, b, False)]
+            x, y = za[va][a], zb[vb][b]
+            s = np.dot(x, y.T, out=product[:len(x) * len(y)].reshape(len(x), len(y)))
+            if va != vb and "cross_max" in wanted:
+                for sums, view, rows, by_row in sides:
+                    _best_across(sums, view, rows, *((s, ib[b]) if by_row else (s.T, ia[a])))
+            if va != vb and across:
+                e = across(s)
+                for sums, view, rows, by_row in sides:
+                    add(sums, "cross_sum", view, rows, e, by_row)
+            # Equal ids lie in the same part.
+            same = np.nonzero(ia[a][:, None] == ib[b][None, :]) if alone else None
+            if alone:
+                s[same] = -np.inf
+            for sums, view, rows, by_row in sides:
+                found = np.bincount(same[0 if by_row else 1], minlength=s.shape[0 if by_row else 1]) if alone else 0
+                sums["n_neg"][view, rows] += s.shape[1 if by_row else 0] - found
+                if "neg_max" in wanted:
+                    np.maximum(sums["neg_max"][view, rows], s.max(1 if by_row else 0), out=sums["neg_max"][view, rows])
+            if alone:
+                s[same] = 0.0
+            for name, exp in exps.items():
+                e = exp(s)
+                if alone:
+                    e[same] = 0.0
+                for sums, view, rows, by_row in sides:
+                    add(sums, name, view, rows, e, by_row)
+    out = [of_a] if alone else [of_a, of_b]
+    for sums in out:
+        if not beta:
+            sums["imp_sum"] = sums["n_neg"].astype(float)
+    return out
+
+
 def anchor_stats(views: DataFrame, temp: float, eps: float = 0.0, beta: float = 0.0,
-                 block_rows: int = B.BLOCK_ROWS) -> DataFrame:
+                 block_rows: int = B.BLOCK_ROWS, wanted=ANCHOR.names) -> DataFrame:
     """Per anchor (batch, pair, view) over its batch, from (batch_id, pair_id, z1, z2) with unit vectors:
 
     pos (dot with the own partner), n_neg, Σ exp((s+eps)/T) and max s over negatives, Σ exp(βs/T) and
     Σ exp(βs/T)·exp(s/T) over negatives, and over the other view of all pairs (own included): Σ exp((s-1)/T), max s
-    and the smallest pair id that attains it.
+    and the smallest pair id that attains it. Sums and extremes that are not wanted are neither made nor returned.
     """
+    wanted = {"batch_id", "pair_id", "view", "pos", "n_neg", *wanted}
+    wanted |= {"cross_max", "cross_arg"} if wanted & {"cross_max", "cross_arg"} else set()
+    schema = T.StructType([f for f in ANCHOR if f.name in wanted])
     rows = views.select(F.col("batch_id").cast("long").alias("batch_id"), F.col("pair_id").cast("long").alias("pair_id"),
                         as_double("z1").alias("z1"), as_double("z2").alias("z2"))
+    # A large batch is cut into an odd number of parts 2h - 1 on a circle. A part meets itself and the next h - 1 parts,
+    # so that two parts meet once and a row is sent h times as left and h times as right side.
+    half = B.part_count_column(F.col("n"), block_rows)
     sizes = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
-    biggest = sizes.agg(F.max("n")).first()[0] or 0
-
-    def stats(batch_id, ia, za, ib, zb, meet):
-        """`meet`: pairs may be on both sides."""
-        same = ia[:, None] == ib[None, :] if meet else None
-        n_same = same.sum(1) if meet else 0
-        own = (za[0] * za[1]).sum(1)
-        out = []
-        for view in (0, 1):
-            s = [za[view] @ zb[w].T for w in (0, 1)]
-            neg = [np.where(same, -np.inf, x) for x in s] if meet else s
-            neg_sum = sum(np.exp((x + eps) / temp).sum(1) for x in neg)
-            n_neg = 2 * (len(ib) - n_same) + np.zeros(len(ia), np.int64)
-            if beta:
-                imp = [np.exp(beta * x / temp) for x in neg]
-                imp_sum, imp_neg = imp[0].sum(1) + imp[1].sum(1), sum((i * np.exp(x / temp)).sum(1) for i, x in zip(imp, neg))
-            else:
-                imp_sum, imp_neg = n_neg.astype(float), neg_sum if eps == 0 else sum(np.exp(x / temp).sum(1) for x in neg)
-            cross = s[1 - view]
-            best = cross.max(1)
-            # Only what rounding could make equal to the best is rounded.
-            r, c = np.nonzero(cross >= (best - 1e-11)[:, None])
-            tied = np.round(cross[r, c], 12) >= np.round(best, 12)[r]
-            arg = np.full(len(ia), np.iinfo(np.int64).max)
-            np.minimum.at(arg, r[tied], ib[c[tied]])
-            out.append({
-                "batch_id": np.full(len(ia), batch_id), "pair_id": ia, "view": np.full(len(ia), view, np.int32), "pos": own,
-                "n_neg": n_neg, "neg_sum": neg_sum, "neg_max": np.maximum(neg[0].max(1), neg[1].max(1)), "imp_sum": imp_sum,
-                "imp_neg": imp_neg, "cross_sum": np.exp((cross - 1.0) / temp).sum(1), "cross_max": best, "cross_arg": arg})
-        return [B.to_batch(o, ANCHOR) for o in out]
+    biggest, cells = sizes.agg(F.max("n"), F.sum(F.when(F.col("n") > block_rows, half * (2 * half - 1)))).first()
+
+    def stats(batch_id, ia, za, ib=None, zb=None):
+        for ids, z, sums in zip((ia, ib), (za, zb), _anchor_sums(ia, za, ib, zb, temp, eps, beta, wanted)):
+            own = (z[0] * z[1]).sum(1)
+            for view in (0, 1):
+                yield B.to_batch({"batch_id": np.full(len(ids), batch_id), "pair_id": ids,
+                                  "view": np.full(len(ids), view, np.int32), "pos": own,
+                                  **{name: of_view[view] for name, of_view in sums.items()}}, schema)
 
     def one_block(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 r = B.packed_rows(batch.column("rows"), i)
                 ids, z = r.field("id").to_numpy(), [B.matrix_of(r.field(f)) for f in ("z1", "z2")]
-                yield from stats(batch.column("batch_id")[i].as_py(), ids, z, ids, z, True)
+                yield from stats(batch.column("batch_id")[i].as_py(), ids, z)
 
     def whole(batches):
-        return B.pack(batches, ["batch_id"], "pair_id", ["z1", "z2"]).mapInArrow(one_block, ANCHOR)
+        return B.pack(batches, ["batch_id"], "pair_id", ["z1", "z2"]).mapInArrow(one_block, schema)
 
-    if biggest <= block_rows:
+    if (biggest or 0) <= block_rows:
         return whole(rows)
 
     # Only batches larger than a block are listed: at most one per block of rows, so the rows need not move to be marked.
-    large = F.broadcast(sizes.where(F.col("n") > block_rows).select(
-        F.col("batch_id").alias("_large"), B.part_count_column(F.col("n"), block_rows).alias("parts")))
+    large = F.broadcast(sizes.where(F.col("n") > block_rows).select(F.col("batch_id").alias("_large"), half.alias("half")))
     is_large = F.col("batch_id").eqNullSafe(F.col("_large"))
-    cut = rows.join(large, is_large).drop("_large").withColumn("own", B.part_of(F.col("pair_id"), F.col("parts")))
-    cut = cut.withColumn("other", B.every_part(F.col("parts"))).drop("parts")
-    left = cut.withColumnsRenamed({"own": "mine", "other": "theirs"})
-    right = cut.withColumnsRenamed({"own": "theirs", "other": "mine"})
+    parts = 2 * F.col("half") - 1
+    cut = rows.join(large, is_large).drop("_large").withColumn("own", B.part_of(F.col("pair_id"), parts))
+    cut = cut.withColumn("step", B.every_part(F.col("half")))
+    left = cut.select("batch_id", "pair_id", "z1", "z2", F.col("own").alias("mine"),
+                      F.pmod(F.col("own") + F.col("step"), parts).alias("theirs"))
+    right = cut.select("batch_id", "pair_id", "z1", "z2", F.pmod(F.col("own") - F.col("step"), parts).alias("mine"),
+                       F.col("own").alias("theirs"))
 
     def two_parts(a, b):
         batch_id, meet = a.column("batch_id")[0].as_py(), a.column("mine")[0].as_py() == a.column("theirs")[0].as_py()
-        (ia, za), (ib, zb) = ((B.column_of(t, "pair_id"), [B.matrix_column(t, f) for f in ("z1", "z2")]) for t in (a, b))
-        return B.to_table([x for s in B.tiles(len(ia), len(ib))
-                           for x in stats(batch_id, ia[s], [z[s] for z in za], ib, zb, meet)], ANCHOR)
-
-    partial = B.meet(left, right, ["batch_id", "mine", "theirs"], two_parts, ANCHOR)
-    best = F.max(F.struct(F.col("cross_max"), -F.col("cross_arg")))
-    merged = (partial.groupBy("batch_id", "pair_id", "view")
-            .agg(F.max("pos").alias("pos"), F.sum("n_neg").alias("n_neg"), F.sum("neg_sum").alias("neg_sum"),
-                 F.max("neg_max").alias("neg_max"), F.sum("imp_sum").alias("imp_sum"), F.sum("imp_neg").alias("imp_neg"),
-                 F.sum("cross_sum").alias("cross_sum"), best.alias("_b"))
-            .select("batch_id", "pair_id", "view", "pos", "n_neg", "neg_sum", "neg_max", "imp_sum", "imp_neg", "cross_sum",
-                    F.col("_b.cross_max").alias("cross_max"), (-F.col("_b.col2")).alias("cross_arg")))
+        both = [(B.column_of(t, "pair_id"), [B.matrix_column(t, f) for f in ("z1", "z2")]) for t in ((a,) if meet else (a, b))]
+        return B.to_table(list(stats(batch_id, *(x for side in both for x in side))), schema)
+
+    partial = B.meet(left, right, ["batch_id", "mine", "theirs"], two_parts, schema, cells)
+    merge = {"pos": F.max, "neg_max": F.max, "cross_max": F.max, **dict.fromkeys(("n_neg", "neg_sum", "imp_sum", "imp_neg", "cross_sum"), F.sum)}
+    sums = [merge[name](name).alias(name) for name in schema.names if name in merge]
+    if "cross_arg" in wanted:
+        # Ties are told as in the kernel, after rounding.
+        sums.append((-F.max(F.struct(F.round("cross_max", 12), -F.col("cross_arg")))["col2"]).alias("cross_arg"))
+    merged = partial.groupBy("batch_id", "pair_id", "view").agg(*sums).select(schema.names)
     return merged.unionByName(whole(rows.join(large, is_large, "left_anti")))
 
 
 def contrast_pairs(views: DataFrame, block_rows: int = B.BLOCK_ROWS) -> DataFrame:
     """The pair structure of each batch, one row per anchor: its positive partner (pair_id, other view), the number of
     negatives (2B-2), the positive similarity and the largest negative similarity. Pairs themselves stay in the kernel."""
-    a = anchor_stats(views, 1.0, block_rows=block_rows)
+    a = anchor_stats(views, 1.0, block_rows=block_rows, wanted=["neg_max"])
     return a.select("batch_id", "pair_id", "view", (F.lit(1) - F.col("view")).alias("positive_view"), "n_neg",
                     F.col("pos").alias("positive"), F.col("neg_max").alias("hardest_negative"))
 
@@ -116,7 +235,7 @@ def contrastive_report(views: DataFrame, temp: float = 0.1, eps: float = 0.0, de
     """Per batch: contrastive loss and the share of anchors whose positive beats every negative."""
     if decoupled and q > 0:
         raise ValueError("choose either the decoupled or the robust loss")
-    a = anchor_stats(views, temp, eps, block_rows=block_rows)
+    a = anchor_stats(views, temp, eps, block_rows=block_rows, wanted=["neg_sum", "neg_max"])
     logit = (F.col("pos") - F.lit(eps)) / temp
     e_pos = F.exp(logit)
     hit = (logit > (F.col("neg_max") + eps) / temp).cast("double")
@@ -138,7 +257,7 @@ def contrastive_report(views: DataFrame, temp: float = 0.1, eps: float = 0.0, de
 def hcl_report(views: DataFrame, temp: float = 0.1, beta: float = 1.0, tau_plus: float = 0.1,
                block_rows: int = B.BLOCK_ROWS) -> DataFrame:
     """Hard-negative weighted contrastive loss and accuracy per batch."""
-    a = anchor_stats(views, temp, 0.0, beta, block_rows)
+    a = anchor_stats(views, temp, 0.0, beta, block_rows, ["neg_max", "imp_sum", "imp_neg"])
     n = F.col("n_neg").cast("double")
     e_pos = F.exp(F.col("pos") / temp)
     mean_importance = F.col("imp_sum") / (n + 2.0)
@@ -152,7 +271,7 @@ def hcl_report(views: DataFrame, temp: float = 0.1, beta: float = 1.0, tau_plus:
 def nce_pair_report(views: DataFrame, temp: float = 0.07, block_rows: int = B.BLOCK_ROWS) -> DataFrame:
     """Two-way softmax cross-entropy of z1·z2ᵀ/T with the diagonal as target; accuracy one way and averaged both ways."""
     unit = views.select("batch_id", "pair_id", l2_normalize("z1").alias("z1"), l2_normalize("z2").alias("z2"))
-    a = anchor_stats(unit, temp, block_rows=block_rows)
+    a = anchor_stats(unit, temp, block_rows=block_rows, wanted=["cross_sum", "cross_max", "cross_arg"])
     loss = F.log("cross_sum") + (1.0 - F.col("pos")) / temp
     hit = (F.col("cross_arg") == F.col("pair_id")).cast("double")
     return a.groupBy("batch_id").agg(F.avg(loss).alias("loss"), F.avg(F.when(F.col("view") == 0, hit)).alias("accuracy_one_way"),
@@ -166,7 +285,7 @@ QUEUE = T.StructType([T.StructField("pair_id", T.LongType()), T.StructField("q_s
 def queue_nce_report(views: DataFrame, buffer: DataFrame, temp: float = 0.07, buffer_id: str = "item_id",
                      vec: str = "embedding", block_rows: int = B.BLOCK_ROWS, small_rows: int = B.SMALL_ROWS) -> DataFrame:
     """Per batch: cross-entropy of z1 against all z2 of the batch plus a buffer of negatives, target = own z2."""
-    a = anchor_stats(views, temp, block_rows=block_rows).where(F.col("view") == 0)
+    a = anchor_stats(views, temp, block_rows=block_rows, wanted=["cross_sum", "cross_max", "cross_arg"]).where(F.col("view") == 0)
 
     def kernel(q_ids, q, c_ids, c):
         s = q @ c.T

@@ -2,9 +2,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagweave.functions.hashing import hash_normal, hash_uniform
 from tagweave.functions.vectors import l2_normalize
@@ -312,3 +314,84 @@ def test_lsh_of_full_buckets_finds_what_the_join_of_all_pairs_finds(spark, sent,
         F.col("datasetA.item_id").alias("src"), F.col("datasetB.item_id").alias("dst"), (F.col("gap") * F.col("gap") / 2.0).alias("dist"))
     want = neighbors.best_k(pairs.where("src <> dst"), 4).select("src", "dst", "dist", "rank").collect()
     assert len(want) == 480 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_parts_of_a_large_batch_meet_once(spark, monkeypatch):
+    z1, z2 = (unit(np.random.default_rng(s).normal(size=(90, 4))) for s in (3, 4))
+    keys, real = [], blocks.meet
+
+    def seen(left, right, *rest):
+        keys.extend({tuple(r) for r in df.select("mine", "theirs").distinct().collect()} for df in (left, right))
+        return real(left, right, *rest)
+
+    monkeypatch.setattr(blocks, "meet", seen)
+    got = contrast.contrastive_report(views_of(spark, z1, z2, 90), 0.3, block_rows=4).first()
+    parts = 2 * blocks.GRID - 1
+    for met in keys:
+        assert len(met) == parts * blocks.GRID and len({frozenset(pair) for pair in met}) == len(met)
+    loss, accuracy = brute_contrast(z1, z2, 0.3)
+    assert abs(got["loss"] - loss) < 1e-9 and abs(got["accuracy"] - accuracy) < 1e-12
+
+
+def test_few_cells_get_tasks_of_their_own(spark):
+    def where(a, b):
+        return blocks.to_table([blocks.to_batch({"task": [TaskContext.get().partitionId()]}, schema)], schema)
+
+    schema = T.StructType([T.StructField("task", T.LongType())])
+    df = spark.range(36).select((F.col("id") % 6).alias("mine"), F.floor(F.col("id") / 6).alias("theirs"))
+    tasks = [r[0] for r in blocks.meet(df, df, ["mine", "theirs"], where, schema, 36).collect()]
+    assert len(tasks) == 36 and len(set(tasks)) > 20
+
+
+@pytest.mark.parametrize("block_rows", [1000, 9])
+def test_anchor_stats_in_plain_numbers(spark, block_rows):
+    """Every column, with copies of vectors, so that ids decide, and with a wide batch next to a small one."""
+    rng, temp, eps, beta = np.random.default_rng(12), 0.4, 0.1, 0.5
+    z1, z2 = unit(rng.normal(size=(70, 5))), unit(rng.normal(size=(70, 5)))
+    z2[20:24] = z2[11]
+    z1[31] = z1[30]
+    rows = {(r["pair_id"], r["view"]): r for r in contrast.anchor_stats(views_of(spark, z1, z2, 64), temp, eps, beta, block_rows).collect()}
+    assert len(rows) == 140
+    for (i, view), r in rows.items():
+        batch = range(64) if i < 64 else range(64, 70)
+        anchor, other = (z1, z2)[view][i], (z2, z1)[view]
+        neg = np.array([anchor @ z[j] for z in (z1, z2) for j in batch if j != i])
+        cross = np.array([anchor @ other[j] for j in batch])
+        ties = np.nonzero(np.round(cross, 12) == np.round(cross, 12).max())[0]
+        want = {"pos": z1[i] @ z2[i], "n_neg": len(neg), "neg_sum": np.exp((neg + eps) / temp).sum(), "neg_max": neg.max(),
+                "imp_sum": np.exp(beta * neg / temp).sum(), "imp_neg": (np.exp(beta * neg / temp) * np.exp(neg / temp)).sum(),
+                "cross_sum": np.exp((cross - 1) / temp).sum(), "cross_max": cross.max(), "cross_arg": batch[ties[0]]}
+        assert all(abs(r[name] - value) < 1e-9 for name, value in want.items())
+
+
+def test_anchor_stats_returns_what_is_wanted(spark):
+    z = unit(np.random.default_rng(13).normal(size=(12, 3)))
+    for block_rows in (100, 4):
+        got = contrast.anchor_stats(views_of(spark, z, z, 12), 0.5, block_rows=block_rows, wanted=["neg_max"])
+        assert got.columns == ["batch_id", "pair_id", "view", "pos", "n_neg", "neg_max"] and got.count() == 24
+
+
+def test_anchor_sums_by_tiles(monkeypatch):
+    """Ids that come twice are no negatives; tiles and the table of exp change nothing."""
+    rng = np.random.default_rng(14)
+    za, zb = ([unit(rng.normal(size=(n, 6))) for _ in (1, 2)] for n in (45, 31))
+    ia, ib = np.arange(45), np.arange(100, 131)
+    ia[40:] = ia[:5]
+    whole = [contrast._anchor_sums(ia, za, *b, 0.1, 0.05, 0.5, set(contrast.ANCHOR.names)) for b in ((ib, zb), (None, None))]
+    assert sorted(set(whole[1][0]["n_neg"][0])) == [86, 88] and set(whole[0][0]["n_neg"][1]) == {62}
+    monkeypatch.setattr(contrast, "SIDE", 16)
+    monkeypatch.setattr(contrast, "STRIP", 100)
+    monkeypatch.setattr(contrast, "EXP_CELLS", 0)
+    cut = [contrast._anchor_sums(ia, za, *b, 0.1, 0.05, 0.5, set(contrast.ANCHOR.names)) for b in ((ib, zb), (None, None))]
+    for a, b in zip((x for sides in whole for x in sides), (x for sides in cut for x in sides)):
+        assert all(np.allclose(a[name], b[name], rtol=1e-11, atol=0) for name in a)
+
+
+@pytest.mark.parametrize("factor, shift", [(5.0, 0.0), (14.2857, -14.2857), (0.4, 1.0)])
+def test_table_of_exp(monkeypatch, factor, shift):
+    monkeypatch.setattr(contrast, "EXP_CELLS", 0)
+    s = np.random.default_rng(15).uniform(-1, 1, size=(200, 250))
+    s[0, :2] = -1.0, 1.0
+    exp = contrast._Exp(factor, shift, 1.0, s.size)
+    assert exp.table is not None and np.allclose(exp(s), np.exp(factor * s + shift), rtol=2e-12, atol=0)
+    assert contrast._Exp(factor, shift, 1e6, s.size).table is None and contrast._Exp(factor, shift, np.nan, s.size).table is None
